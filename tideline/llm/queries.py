@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe
-from tideline.llm.common import read_table
+from tideline.llm import bpe, decontaminate, langid, line_rules, pii, quality, secret_scan
+from tideline.llm.common import in_fold, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,8 +20,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~in_fold(F.col("label_id"), 3, 1))
+    return quality.score(docs, model, held_out=in_fold(F.col("doc_id"), 3, 1))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = langid.fit(docs, ~in_fold(F.col("doc_id"), 4, 2))
+    return langid.predict(docs, net, held_out=in_fold(F.col("doc_id"), 4, 2))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
+    "op8_rules": op8_rules,
+    "op9_language": op9_language,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
