@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, langid, line_rules, pii, quality, secret_scan
+from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, pii, quality, secret_scan
 from tideline.llm.common import in_fold, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, held_out=in_fold(F.col("doc_id"), 3, 1))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op8_rules": op8_rules,
