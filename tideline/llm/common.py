@@ -59,6 +59,12 @@ def map_texts(
     return docs.select(*(c.alias(k) for k, c in columns.items())).mapInArrow(fn, schema)
 
 
+def kinds_of(df: DataFrame, columns: dict[str, Column]) -> str:
+    """The columns as ``, name type`` for the end of a schema string."""
+    types = dict(df.select(*(e.alias(c) for c, e in columns.items())).dtypes) if columns else {}
+    return "".join(f", {c} {types[c]}" for c in columns)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lowered: what bytes.lower and bytes.split do."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

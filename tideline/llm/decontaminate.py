@@ -19,10 +19,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_texts, slices
+from tideline.llm.common import kinds_of, map_texts, slices
 
 WIDTH = 10
 SHINGLE = 3
@@ -156,11 +156,14 @@ def contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     block_words: int = BLOCK_WORDS,
+    keep_text: bool = False,
+    **more: Column,
 ) -> DataFrame:
     """Which words of each document lie inside windows of benchmark items.
 
     One row per input row: doc_id, n_words, n_hit (words inside any occurrence), n_items (items with
-    occurring windows), items_sha256 (their ids, sorted as strings, comma-joined) and contaminated.  Null
+    occurring windows), items_sha256 (their ids, sorted as strings, comma-joined) and contaminated; before
+    these the columns named in ``more``, and the text with ``keep_text``.  Null
     and empty texts have no words.  Items without words, and an empty benchmark, match nothing.  An item
     whose id is null is known as "null"; items that share an id count as one.
     """
@@ -172,11 +175,11 @@ def contamination(
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
     blocks = int(size // block_words) + 1
     if blocks == 1:
-        return _one_block(docs, _rows(items), width, doc_id, text)
+        return _one_block(docs, _rows(items), width, doc_id, text, keep_text, more)
 
     spread = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    numbered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = [_hits(numbered, _rows(spread.where(F.col("block") == b)), width) for b in range(blocks)]
+    numbered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in more.items()))
+    parts = [_hits(numbered.select("row", "doc_id", "text"), _rows(spread.where(F.col("block") == b)), width) for b in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -190,9 +193,12 @@ def contamination(
                 for a, b in zip(hits[::2], hits[1::2]):
                     hit[a:b] = True
                 rows.append(verdict(n, ranges(hit), names))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES))], ["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES))], ["row", "doc_id", *NAMES])
 
-    return merged.mapInArrow(unite, f"doc_id bigint, {SCHEMA}")
+    united = merged.mapInArrow(unite, f"row bigint, doc_id bigint, {SCHEMA}")
+    if more or keep_text:
+        united = united.join(numbered.drop("doc_id"), "row")
+    return united.select("doc_id", *more, *["text"] * keep_text, *NAMES)
 
 
 def _rows(items: DataFrame) -> list[tuple[str, str]]:
@@ -200,7 +206,8 @@ def _rows(items: DataFrame) -> list[tuple[str, str]]:
     return sorted((r["item"], r["text"]) for r in items.select("item", "text").toLocalIterator())
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str, str]], width: int, doc_id: str, text: str) -> DataFrame:
+def _one_block(docs: DataFrame, items: list[tuple[str, str]], width: int, doc_id: str, text: str, keep_text: bool, more: dict[str, Column]) -> DataFrame:
+    kept = ("doc_id", *more, *["text"] * keep_text)
     shared = docs.sparkSession.sparkContext.broadcast(Index(items, width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +215,10 @@ def _one_block(docs: DataFrame, items: list[tuple[str, str]], width: int, doc_id
         for whole in batches:
             for batch in slices(whole):
                 rows = [verdict(*x) for x in find(index, batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES))], ["doc_id", *NAMES])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES))], [*kept, *NAMES])
 
-    return map_texts(docs, run, f"doc_id bigint, {SCHEMA}", doc_id=F.col(doc_id).cast("bigint"), text=F.col(text))
+    schema = f"doc_id bigint{kinds_of(docs, more)}{', text string' * keep_text}, {SCHEMA}"
+    return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))
 
 
 def _hits(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:

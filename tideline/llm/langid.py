@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_texts, slices
+from tideline.llm.common import kinds_of, map_texts, slices
 
 WINDOW = 160
 WIDTHS = (2, 4)
@@ -210,5 +210,4 @@ def predict(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "
                 keep = [batch.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    kinds = "".join(f", {c} {dict(docs.select(e.alias(c)).dtypes)[c]}" for c, e in more.items())
-    return map_texts(docs, run, f"doc_id bigint{kinds}, lang_pred string, score double", doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))
+    return map_texts(docs, run, f"doc_id bigint{kinds_of(docs, more)}, lang_pred string, score double", doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))

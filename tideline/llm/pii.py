@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tideline.llm import spans
 from tideline.llm.spans import Span
@@ -130,6 +130,6 @@ def judged_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
     return judged + [(s, x) for s in spans.outside(ibans, base) if (x := score(text, s)) >= LIMIT]
 
 
-def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
     """Scans each whole text; see ``spans.scan`` for the columns and for null and empty texts."""
-    return spans.scan(docs, base_spans, judged_spans, KINDS, 4, redact=redact, doc_id=doc_id, text=text)
+    return spans.scan(docs, base_spans, judged_spans, KINDS, 4, redact=redact, doc_id=doc_id, text=text, **more)

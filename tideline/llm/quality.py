@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Memo, map_texts, slices
+from tideline.llm.common import Memo, kinds_of, map_texts, slices
 
 DIM = 32
 NONZERO = 4
@@ -264,14 +264,14 @@ def fit_vectors(texts: DataFrame) -> Vectors:
     return Vectors(plain.words, plain.shapes, table.astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = CUT, **more: Column) -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = CUT, keep_text: bool = False, **more: Column) -> DataFrame:
     """Scores each whole text.
 
-    One row per input row: doc_id, the columns named in ``more``, score (0 to 1, higher: label 1 likelier)
+    One row per input row: doc_id, the columns named in ``more``, the text with ``keep_text``, score (0 to 1, higher: label 1 likelier)
     and predicted (1 from ``cut`` on).  A null text scores as an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = ("doc_id", *more)
+    kept = ("doc_id", *more, *["text"] * keep_text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -282,5 +282,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 keep = [batch.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32), pa.int32())], [*kept, "score", "predicted"])
 
-    kinds = "".join(f", {c} {dict(docs.select(e.alias(c)).dtypes)[c]}" for c, e in more.items())
-    return map_texts(docs, run, f"doc_id bigint{kinds}, score double, predicted int", doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))
+    return map_texts(docs, run, f"doc_id bigint{kinds_of(docs, more)}{', text string' * keep_text}, score double, predicted int", doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))

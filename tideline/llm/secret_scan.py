@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tideline.llm import spans
 from tideline.llm.spans import Span
@@ -98,6 +98,6 @@ def entropy_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
     return [(s, bits[s]) for s in spans.outside(found, base)]
 
 
-def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
     """Scans each whole text; see ``spans.scan`` for the columns and for null and empty texts."""
-    return spans.scan(docs, base_spans, entropy_spans, KINDS, 3, redact=redact, doc_id=doc_id, text=text)
+    return spans.scan(docs, base_spans, entropy_spans, KINDS, 3, redact=redact, doc_id=doc_id, text=text, **more)

@@ -10,10 +10,10 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_texts, slices
+from tideline.llm.common import kinds_of, map_texts, slices
 
 Span = tuple[int, int, int]
 
@@ -62,11 +62,12 @@ def scan(
     redact: bool = False,
     doc_id: str = "doc_id",
     text: str = "text",
+    **more: Column,
 ) -> DataFrame:
     """Runs the two parts of a scan over each whole text.
 
     ``base`` gives the spans of the fixed patterns, ``added`` what the method finds besides and the score
-    of each span that it has judged.  One row per input row: doc_id, a count for each base kind,
+    of each span that it has judged.  One row per input row: doc_id, the columns named in ``more``, a count for each base kind,
     ``base_sha256``, ``spans``, ``n_added``, ``scores`` (kind:start:end=score) and, with ``redact``, the
     text without what was found.  A null text counts as empty, but stays null when redacted.
     """
@@ -88,9 +89,10 @@ def scan(
                     if redact:
                         cols[n_base + 4].append(t if not found and not more else redacted(t, found + more, kinds))
                 types = [pa.int64()] * n_base + [pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.string()] * redact
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols, types)], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, cols, types)], names)
 
     counts = [f"{prefix}{k}" for k in kinds[:n_base]]
-    names = ["doc_id", *counts, "base_sha256", "spans", "n_added", "scores"] + ["redacted"] * redact
-    schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in counts), "base_sha256 string", "spans string", "n_added bigint", "scores string"] + ["redacted string"] * redact)
-    return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), text=F.col(text))
+    kept = ("doc_id", *more)
+    names = [*kept, *counts, "base_sha256", "spans", "n_added", "scores"] + ["redacted"] * redact
+    schema = ", ".join([f"doc_id bigint{kinds_of(docs, more)}", *(f"{c} bigint" for c in counts), "base_sha256 string", "spans string", "n_added bigint", "scores string"] + ["redacted string"] * redact)
+    return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))
