@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, pii, quality, secret_scan
+from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, maxent_lm, pii, quality, secret_scan, substring_dedup
 from tideline.llm.common import in_fold, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,12 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = maxent_lm.fit(docs.where(~in_fold(F.col("doc_id"), 5, 1)))
+    return maxent_lm.score(docs, model, held_out=in_fold(F.col("doc_id"), 5, 1))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -56,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
+    "op4_maxent": op4_maxent,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
+    "op7_substrings": op7_substrings,
     "op8_rules": op8_rules,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
