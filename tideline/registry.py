@@ -1,10 +1,8 @@
-"""All registered queries over the event timeline, with their SQL twins."""
+"""All registered queries over timelines and tables, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tideline.catalog import ORACLE_SQL, QUERIES
+from tideline.queries import joins  # noqa: F401  each module registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
