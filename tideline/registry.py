@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from tideline.catalog import ORACLE_SQL, QUERIES
-from tideline.queries import folding, joins, windows  # noqa: F401  each module registers its queries
+from tideline.queries import folding, joins, review, windows  # noqa: F401  each module registers its queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

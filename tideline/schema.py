@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-EVENT = T.StructType.fromDDL(
+EVENT_DDL = (
     "event_id string, job_id string, source_file string, event_type string, timestamp_start double, timestamp_end double, "
     "confidence double, reel_targets array<string>, player_track_id bigint, is_goalkeeper_event boolean, frame_start bigint, "
     "frame_end bigint, bounding_box struct<x:double,y:double,width:double,height:double>, "
