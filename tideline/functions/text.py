@@ -134,7 +134,8 @@ def verdict_of(text: Column, least: float = 0.6) -> Column:
 def refinement_of(text: Column) -> Column:
     """(confirmed, confidence): the object, else the words "confirmed": true or false, else confirmed at 0.5."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    v = F.coalesce(as_variant(t), as_variant(F.regexp_extract(t, r"(?s)(\{.*\})", 1)))
+    inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    v = F.coalesce(F.when(t.startswith("{"), as_variant(t)), F.when(inner != "", as_variant(inner)))
     low = F.lower(t)
     yes, no = low.rlike(r'"confirmed": ?true'), low.rlike(r'"confirmed": ?false')
     ok = F.when(v.isNotNull(), F.coalesce(field(v, "confirmed", "boolean"), F.lit(False))).when(yes, True).when(no, False).otherwise(True)
