@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,8 +183,6 @@ def encode_documents(
 
 def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     """Bytes of a column of id arrays; null gives null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def back(column: pd.Series) -> pd.Series:
         enc = encoder(path, pattern)

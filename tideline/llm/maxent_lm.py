@@ -287,7 +287,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
     # words and tokens of each class: known words here, the rest by shape from the table
     fid_class = classes[vocabulary.fids] if len(top) else np.zeros(0, np.int64)
-    tokens = np.bincount(fid_class, vocabulary.counts, CLASSES)
+    tokens = np.zeros(CLASSES) + np.bincount(fid_class, vocabulary.counts, CLASSES)
     words = np.bincount(fid_class, minlength=CLASSES).astype(float)
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in counts.groupBy(F.col("key").bitwiseAND(F.lit(SHAPES - 1)).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
