@@ -1,0 +1,220 @@
+"""Parts of the corpus operators against plain versions, without Spark."""
+
+from __future__ import annotations
+
+import base64
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from tideline.llm import decontaminate, langid, line_rules, maxent_lm, pii, quality, secret_scan, shingle_sets, spans, substring_dedup
+from tideline.llm.bpe import Encoder, encoder
+
+PIECES = ["a", "b", " ", "  ", "\n", "é", "1", "'s", "\x1c", "\x85", "\xa0", "　", "!", "日", "the", "aaaa", "ing", "\t", "²", "中文", "🎉"]
+
+
+@pytest.fixture(scope="module")
+def enc() -> Encoder:
+    return encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def peer():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_peer_and_round_trips(enc, peer):
+    rng = random.Random(3)
+    for _ in range(2000):
+        s = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40)))
+        ids = enc.encode(s)
+        assert list(ids) == peer.encode_ordinary(s)
+        assert enc.decode(ids) == s.encode()
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, "ab" * 20_000, "x" + " " * 5000 + "y", "\n" * 3000, "é" * 9000])
+def test_bpe_long_matches(enc, peer, text):
+    assert list(enc.encode(text)) == peer.encode_ordinary(text)
+
+
+def plain_secrets(t: str) -> list[tuple[int, int, int]]:
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+
+
+def test_secret_patterns_match_plain():
+    rng = random.Random(5)
+    parts = ["password", "TOKEN", "api_key", "apikey", "ſecret", "toKen", "secret", ":", "=", " ", '"', "abcdefgh1", "x", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "é", "\n", "."]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert sorted(secret_scan.base_spans(t)) == sorted(plain_secrets(t)), t
+
+
+def test_entropy_spans_add_and_allow():
+    token = "q7Rt2LpX9vBz4KmN8sWd1Fh6"
+    found = secret_scan.entropy_spans(f"use {token} now", [])
+    assert found and found[0][0][1] == 3
+    for calm in ("your_placeholder_Token_1234567890", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "thisisaverylonglowercaseword"):
+        assert not secret_scan.entropy_spans(f"use {calm} now", [])
+    base = [(4, 0, 28)]
+    assert not secret_scan.entropy_spans(f"use {token} now", base)
+
+
+def test_dense_windows_equal_direct_entropy():
+    rng = random.Random(1)
+    s = "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(200)) + "a" * 50
+    direct = set()
+    for i in range(len(s) - 19):
+        n = Counter(s[i : i + 20])
+        if -sum(c / 20 * math.log2(c / 20) for c in n.values()) >= 3.6 - 1e-12:
+            direct |= set(range(i, i + 20))
+    got = {i for a, b in secret_scan.dense_windows(s, 3.6 - 1e-9) for i in range(a, b)}
+    assert got == direct
+
+
+def plain_pii(t: str) -> list[tuple[int, int, int]]:
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    return out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_patterns_match_plain():
+    rng = random.Random(7)
+    parts = ["a", "b.c", "@", "%x", "x@y.com", ".", "-", "1", "255", "256", "0001", " ", "4111 1111 1111 1111", "+1 (777) 555-7427", "+", "(", "é", "\n", "12", "com"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert sorted(pii.base_spans(t)) == sorted(plain_pii(t)), t
+
+
+def test_pii_long_digit_runs_are_fast():
+    assert pii.base_spans("1" * 200_000 + "." + "2" * 200_000) == []
+    assert pii.base_spans("+" * 100_000 + "@" * 50_000) == []
+
+
+def test_iban_needs_checksum_and_context():
+    good = "GB82 WEST 1234 5698 7654 32"
+    assert [s for s, _ in pii.judged_spans(f"our bank account is {good} thanks", []) if s[1] == 4] == [(20, 4, 20 + len(good))]
+    assert not [s for s, _ in pii.judged_spans("GB83 WEST 1234 5698 7654 32", []) if s[1] == 4]
+
+
+def test_spans_helpers():
+    assert spans.joined([(5, 0, 9), (1, 2, 3)], ("x", "y", "z")) == "z:1:3,x:5:9"
+    assert spans.redacted("abcdef", [(1, 0, 3), (2, 1, 4)], ("p", "q")) == "a[p]ef"
+    assert spans.outside([(0, 0, 4), (6, 0, 8)], [(3, 1, 5)]) == [(6, 0, 8)]
+
+
+def test_windows_found_as_by_brute_force():
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(12)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 10, 14])))) for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(60)] + [None, "", "--"]
+    texts += [f"{t} {i[1]} {t}" for t, i in zip(texts[:20], items)]
+    index = decontaminate.Index(items, 10)
+    windows = {}
+    for name, t in items:
+        w = decontaminate.words_of(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(name)
+    for t, (n, hits, names) in zip(texts, decontaminate.find(index, texts)):
+        w, hit, want = decontaminate.words_of(t), set(), set()
+        for size in {len(q) for q in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit |= set(range(k, k + size))
+                    want |= windows[tuple(w[k : k + size])]
+        assert n == len(w) and sorted(names) == sorted(want)
+        assert {i for a, b in zip(hits[::2], hits[1::2]) for i in range(a, b)} == hit
+
+
+def test_repeated_words_and_lines():
+    def brute(words):
+        tri = Counter(zip(words, words[1:], words[2:]))
+        return len({j for i in range(len(words) - 2) if tri[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)})
+
+    rng = random.Random(2)
+    for _ in range(300):
+        w = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        assert line_rules.repeated_words(w) == brute(w)
+    assert line_rules.counts_of("a b\na b\n\n  \nA b\x0b#*")[:5] == (8 - 1, 8 - 1, 2, 1, 0)
+
+
+def test_boundary_and_levels():
+    bound = shingle_sets.Bound(90, 100)
+    for n in range(1, 200):
+        for m in bound.partners(n):
+            assert bound.need(n, m) <= max(n, m)
+        for m in range(n, 260):
+            links = bound.need(n, m) <= n
+            if links and m > bound.boundary:
+                shared = {k for k, _ in bound.levels(n)} & {k for k, _ in bound.levels(m)}
+                assert shared, (n, m)
+                level = max(shared)
+                blocks = dict(bound.levels(m))[level]
+                assert blocks > n + m - 2 * bound.need(n, m) + shingle_sets.SPARE
+
+
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(4)
+    bound = shingle_sets.Bound(90, 100)
+    for n in [9, 10, 12, 17, 18, 19, 20, 21, 30, 64, 100, 400]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = a.copy()
+            edits = int(rng.integers(0, max(2, n // 15)))
+            b = b[rng.permutation(len(b))[: len(b) - edits]]
+            b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, max(2, n // 15)))).astype(np.uint64)]))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter < 90 * (len(a) + len(b) - inter) or np.array_equal(a, b):
+                continue
+            small = set(shingle_sets.subset_keys(a, bound)[0].tolist()) & set(shingle_sets.subset_keys(b, bound)[0].tolist())
+            large = set(shingle_sets.block_keys(a, bound).tolist()) & set(shingle_sets.block_keys(b, bound).tolist())
+            assert small or large
+
+
+def test_chunks_survive_insertions():
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200))
+    one, two = substring_dedup.chunks_of("x" * 37 + " " + passage)[0], substring_dedup.chunks_of("other words first " + passage + " and more")[0]
+    assert len(set(one) & set(two)) > 0.8 * len(one)
+    digests, ends, words = substring_dedup.chunks_of("z" * 5000 + " é")
+    assert ends[-1] == 5003 and max(np.diff(ends, prepend=0)) <= substring_dedup.LONGEST and sum(words) == 2
+    assert substring_dedup.chunks_of(None)[0] == [] and substring_dedup.chunks_of("")[0] == []
+
+
+def test_network_learns_two_languages():
+    rng = random.Random(8)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40)).encode()
+    x = np.concatenate([langid.windows_of(make(s))[:1] for _ in range(150) for s in ("abcdef", "uvwxyz")])
+    y = np.array([0, 1] * 150)
+    net = langid.Network(["a", "b"])
+    net.train(x[:200], y[:200], epochs=6)
+    assert (net.logits(x[200:], net.pair_tables()).argmax(1) == y[200:]).mean() > 0.95
+
+
+def test_class_probabilities_sum_to_one():
+    z = maxent_lm.class_logits(np.random.default_rng(0).normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32), np.array([[0, maxent_lm.FIDS, 2 * maxent_lm.FIDS, 3 * maxent_lm.FIDS]]))
+    p = np.exp(z - z.max())
+    assert abs((p / p.sum()).sum() - 1) < 1e-6
+    fids = np.array([1, 2, 3, 4, 5])
+    rows = maxent_lm.contexts(fids, np.array([2, 3]))
+    assert rows[0, 0] == maxent_lm.START and rows[2, 0] == maxent_lm.START and rows[3, 0] == 3 and rows[4, 1] == maxent_lm.FIDS + 3
+
+
+def test_quality_features_of_empty_texts():
+    v = quality.Vectors({}, {}, np.zeros((1, quality.DIM), np.float32))
+    assert quality.pooled([None, "", "a b"], v, quality.row_memo(v)).shape == (3, quality.FEATURES)
