@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,8 +86,6 @@ def flag_windows(flags: DataFrame, gap: float, pad: float, most: float) -> DataF
     Windows over ``most`` seconds are split at their largest gap, and again, until each fits; the first of
     equal gaps splits.  Columns: stream_id, start, end, labels, n_flags.
     """
-    import pandas as pd
-
     w = tm.in_order()
     new = (F.col("t") - F.lag("t").over(w) > gap) | ~F.col("zone").eqNullSafe(F.lag("zone").over(w))
     runs = flags.withColumn("run", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
