@@ -4,7 +4,8 @@ Documents with equal sets are one class; only classes are joined, so copies cost
 in shared subsets of just the size that a link needs, large ones in the inverted lists of their blocks
 (``shingle_sets`` explains both and the boundary).  A list is never paired up:
 
-1. its pivot is the member that most other lists know; each member is compared with the pivot, exactly;
+1. its pivot is the member that most other lists know; each member is compared with the pivot, exactly, and
+   what does not link goes on to the list's next pivot;
 2. a pair that both members' pivot does not already link can only link if the sets of their differences
    from the pivot overlap enough.  These differences are short, and pairs are found through their rarest
    elements with positional bounds, then counted exactly.
@@ -31,6 +32,8 @@ WIDTH = 3
 NUM, DEN = 90, 100
 #: Ids of classes with partners are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Pivots that a list is compared with before what is left of it is handled by differences alone.
+ROUNDS = 3
 
 
 def keyed(docs: DataFrame, bound: Bound, width: int, doc_id: str, text: str) -> DataFrame:
@@ -63,15 +66,52 @@ def subset_links(classes: DataFrame) -> DataFrame:
     return rows.join(pivots, "key").where(F.col("node") != F.col("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
 
 
-def stars(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, pivot) for each member of each block list with more than one member."""
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is small; a written table, so counting it is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def shared_lists(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, weight) of block lists with more than one member; weight says how much a member is shared in all."""
     postings = classes.where(F.size("blocks") > 0).select("node", F.explode("blocks").alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = scratch.table("shared", postings.join(lists, "key"))
+    lists = scratch.table("keys", postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    shared = scratch.table("shared", postings.join(small_side(lists), "key"))
     known = shared.groupBy("node").agg(F.sum(F.log2(F.col("n").cast("double")).cast("decimal(20,6)")).alias("weight"))
-    ranked = shared.join(known, "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
-    return scratch.table("stars", shared.join(pivots, "key").where(F.col("node") != F.col("pivot")).select("node", "pivot").distinct())
+    return scratch.table("lists-0", shared.join(known, "node").select("key", "node", "weight"))
+
+
+def around_pivots(lists: DataFrame) -> DataFrame:
+    """(key, node, weight, pivot): every member with the heaviest of its list, which is left out itself."""
+    pivots = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+    return lists.join(pivots, "key").where(F.col("node") != F.col("pivot"))
+
+
+def frames_of(lists: DataFrame, texts: DataFrame, bound: Bound, width: int, scratch: Scratch) -> DataFrame:
+    """(node, pivot, n, linked, differ) for all pairs that may share a pivot's frame.
+
+    Round by round each list is compared with its pivot.  What links to the pivot leaves the list.  What is
+    further from it than two links reach cannot link with what left, so it only stays in the list; what is
+    nearer also goes into the pivot's frame.  Lists that ROUNDS pivots did not use up go into frames whole.
+    """
+    frames, whole = [], False
+    for k in range(ROUNDS + 1):
+        whole = k == ROUNDS
+        members = scratch.table(f"members-{k}", around_pivots(lists))
+        seen = scratch.table(f"seen-{k}", compared(members.select("node", "pivot").distinct(), texts, bound, width, whole))
+        frames.append(seen.where(F.col("differ").isNotNull()))
+        scratch.drop(f"lists-{k}")
+        if whole:
+            break
+        left = members.join(seen.where(~F.col("linked")).select("node", "pivot"), ["node", "pivot"]).select("key", "node", "weight")
+        more = left.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("key")
+        lists = scratch.table(f"lists-{k + 1}", left.join(more, "key"))
+        scratch.drop(f"members-{k}")
+        if lists.isEmpty():
+            break
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.dropDuplicates(["node", "pivot"])
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -84,12 +124,16 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) ->
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
 
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("first"), F.col(text).alias("text"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return texts.join(side, "first").select("node", "text").mapInArrow(run, "node bigint, packed binary")
+    return texts.join(small_side(wanted), "first").select("node", "text").mapInArrow(run, "node bigint, packed binary")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int) -> DataFrame:
-    """Each (node, pivot) with both sizes, whether they link, and the elements that only one of them has."""
+def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int, whole: bool = False) -> DataFrame:
+    """Each (node, pivot) with the node's size, whether they link, and the elements that only one of them has.
+
+    The elements are null where the two are further apart than two links reach, unless ``whole``.
+    """
+    # Jaccard distance is a metric: beyond twice the distance of a link nothing linked to the pivot is in reach
+    reach = 2 * bound.num - bound.den
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -115,13 +159,15 @@ def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int) -> Da
                     if a is not None and b is not None:
                         d = np.setxor1d(a, b, assume_unique=True)
                         inter = (len(a) + len(b) - len(d)) // 2
-                        rows.append((node, pivot, len(a), len(b), bound.den * inter >= bound.num * (inter + len(d)), as_long(d)))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["node", "pivot", "n", "pivot_n", "linked", "differ"])
+                        union = inter + len(d)
+                        near = whole or bound.den * inter >= reach * union
+                        rows.append((node, pivot, len(a), bound.den * inter >= bound.num * union, as_long(d) if near else None))
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["node", "pivot", "n", "linked", "differ"])
 
     pivots = texts.select(F.col("node").alias("pivot"), F.col("packed").alias("pivot_packed"))
     rows = pairs.join(texts, "node").join(pivots, "pivot").select("node", "pivot", "packed", "pivot_packed")
-    return rows.mapInArrow(run, "node bigint, pivot bigint, n int, pivot_n int, linked boolean, differ array<bigint>")
+    return rows.mapInArrow(run, "node bigint, pivot bigint, n int, linked boolean, differ array<bigint>")
 
 
 def frame_links(frames: DataFrame, bound: Bound) -> DataFrame:
@@ -192,12 +238,12 @@ def similarity_classes(
     classes = sets.groupBy("node").agg(F.first("subsets").alias("subsets"), F.first("lesser").alias("lesser"), F.first("blocks").alias("blocks"))
     first = sets.groupBy("node").agg(F.min("doc_id").alias("first"))
     small = scratch.table("small", subset_links(classes))
-    pairs = stars(classes, scratch)
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct().join(first, "node")
-    wanted = scratch.table("wanted", wanted)
+    lists = shared_lists(classes, scratch)
+    wanted = scratch.table("wanted", lists.select("node").distinct().join(first, "node"))
+    scratch.drop("keys", "shared")
     texts = scratch.table("texts", packed_texts(docs, wanted, doc_id, text))
-    frames = scratch.table("frames", compared(pairs, texts, bound, width))
-    scratch.drop("shared", "stars", "wanted", "texts")
+    frames = scratch.table("frames", frames_of(lists, texts, bound, width, scratch))
+    scratch.drop("wanted", "texts")
     near = frames.where("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     links = small.unionByName(near).unionByName(frame_links(frames, bound))
     roots = components(links, scratch)

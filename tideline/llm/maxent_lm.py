@@ -36,7 +36,7 @@ CLASSES = 48
 #: Classes of one word each, among them the end.
 SINGLES = 16
 ANCHORS = 64
-BATCH = 4096
+BATCH = 8192
 RATE = 0.4
 END = b"\n"
 FIDS = FEATURES + SHAPES + 1
@@ -55,10 +55,13 @@ END_KEY = key_of(END)
 
 def keys_of(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, each text closed by the end, and the number of tokens of each text."""
-    split = [words_of(t) for t in texts]
-    counts = np.array([len(w) + 1 for w in split], np.int64)
-    keys = np.fromiter((k for ws in split for k in (*map(memo.__getitem__, ws), END_KEY)), np.int64, int(counts.sum()))
-    return keys, counts
+    flat, counts, get = [], [], memo.__getitem__
+    for t in texts:
+        before = len(flat)
+        flat.extend(map(get, words_of(t)))
+        flat.append(END_KEY)
+        counts.append(len(flat) - before)
+    return np.array(flat, np.int64), np.array(counts, np.int64)
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -99,8 +102,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
-    def features(self, keys: np.ndarray) -> np.ndarray:
-        at, known = self.place(keys)
+    def features(self, keys: np.ndarray, place: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        at, known = place or self.place(keys)
         return np.where(known, self.fids[at] if len(self.fids) else 0, FEATURES + (keys & (SHAPES - 1)))
 
 
@@ -120,15 +123,28 @@ def contexts(fids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 ROWS = 3 * FIDS + PAIRS
+assert ROWS < 1 << 16  # rows are sorted as 16-bit numbers
 
 
 def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    z = weights.take(rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
-        z += weights[rows[:, i]]
+        z += weights.take(rows[:, i], axis=0)
     return z
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct feature rows of a batch, the place of each among them, and how often each occurs."""
+    flat = rows.astype(np.uint16).ravel()
+    order = np.argsort(flat, kind="stable")
+    at = flat[order]
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    first = np.flatnonzero(new)
+    of = np.empty(len(flat), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return at[first].astype(np.int64), of, np.diff(np.append(first, len(at)))
+
+
 def train_local(weights: np.ndarray, batches: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Adagrad steps in place over (feature rows, class) of a task's tokens; the tokens seen for each row."""
     seen = np.zeros(ROWS, np.int64)
@@ -141,14 +157,13 @@ def train_local(weights: np.ndarray, batches: Iterable[tuple[np.ndarray, np.ndar
             np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            flat = r.ravel()
-            order = np.argsort(flat, kind="stable")
-            at = flat[order]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            n = np.diff(np.append(first, len(at)))
-            g = np.add.reduceat(p[order // r.shape[1]], first, axis=0)
+            at, of, n = distinct_rows(r)
+            # sums by row, class by class: row counts differ too much for sums over runs to be fast
+            q = np.ascontiguousarray(p.T)
+            g = np.empty((len(at), p.shape[1]), np.float32)
+            for k in range(p.shape[1]):
+                g[:, k] = np.bincount(of, np.repeat(q[k], r.shape[1]), len(at))
             g /= np.sqrt(n)[:, None]
-            at = at[first]
             seen[at] += n
             squares[at] += g * g
             weights[at] -= RATE * g / np.sqrt(squares[at])
@@ -323,7 +338,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             for batch in slices(whole, limit=1 << 20):
                 keys, counts = keys_of(batch.column("text").to_pylist(), memo)
                 at, known = vocabulary.place(keys)
-                fids = vocabulary.features(keys)
+                fids = vocabulary.features(keys, (at, known))
                 target, rows = classes[fids], contexts(fids, counts)
                 logp = np.empty(len(keys))
                 for i in range(0, len(keys), BATCH):

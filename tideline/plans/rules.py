@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import folds
 from tideline.operators import timeline as tm
+from tideline.sources.staging import staged
 
 SHOTS = ("shot_on_target", "shot_stop_diving")
 SAVES = ("shot_stop_diving", "shot_stop_standing", "punch", "catch")
@@ -95,7 +96,7 @@ def goal_inference(verdicts: DataFrame, rescored: DataFrame | None = None) -> Da
         F.when(ok & ~goal, F.least(F.col("confidence") + 0.1, F.lit(1.0))).when(~ok & goal, F.col("confidence") * 0.85).otherwise(F.col("confidence")).alias("new_confidence"),
         F.when(ok & ~goal, "INFERRED GOAL").when(~ok & goal, "DOWNGRADED").alias("new_why"),
     )
-    out = _edited(verdicts, judged)
+    out = staged(_edited(verdicts, judged), "goals")
     gone = folds.goal_dedup(confirmed(out, "goal"), GOAL_DEDUP)
     lost = confirmed(out, "goal").join(gone, ["stream_id", "seq"], "left_semi").select("stream_id", "seq", F.lit("shot_on_target").alias("new_type"), (F.col("confidence") * 0.8).alias("new_confidence"), F.lit("DEDUP").alias("new_why"))
     return _edited(out, lost)
@@ -176,7 +177,7 @@ RULE_ORDER: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
 
 
 def run_rules(verdicts: DataFrame) -> DataFrame:
-    """All rules in order; each sees what the one before left."""
-    for _, rule in RULE_ORDER:
-        verdicts = rule(verdicts)
+    """All rules in order; each sees what the one before left, as a written table."""
+    for name, rule in RULE_ORDER:
+        verdicts = rule(staged(verdicts, name))
     return verdicts
