@@ -33,7 +33,8 @@ ALLOWED = re.compile(
     r"|^[a-z]+(?:[_/=-]+[a-z]*)*$|^[-_=+/]+$|^[0-9]+(?:[-/][0-9]+)*$",
     re.I | re.A,
 )
-F_OF_COUNT = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+#: c * log2(c); one more than WINDOW, as a character enters before the oldest leaves.
+F_OF_COUNT = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 
 
