@@ -85,4 +85,9 @@ def test_keeper_plugin_gates(spark):
     ddl = "stream_id string, seq bigint, t double, event_type string, confidence double, is_goalkeeper_event boolean, similarity double, review_override boolean, x double"
     rows = [("s", 0, 10.0, "catch", 0.9, True, 0.6, None, 0.1), ("s", 1, 20.0, "catch", 0.9, True, 0.5, None, 0.1), ("s", 2, 30.0, "catch", 0.1, True, 0.9, None, 0.1), ("s", 3, 40.0, "catch", 0.1, True, 0.9, True, None), ("s", 4, 50.0, "catch", 0.9, True, 0.9, None, 0.9), ("s", 5, 60.0, "catch", 0.9, True, 0.9, None, 0.5)]
     got = reels.BUILT_IN["keeper_saves"]().select(spark.createDataFrame(rows, ddl), reels.Context())
-    assert sorted(r["seq"] for r in got.collect()) == [0, 3]
+    # a single voter settles no side, so only the gates and midfield decide
+    assert sorted(r["seq"] for r in got.collect()) == [0, 3, 4]
+    more = [("s", 6, 60.0, "catch", 0.9, True, 0.9, None, 0.1), ("s", 7, 61.0, "catch", 0.9, True, 0.9, None, 0.2), ("s", 8, 62.0, "goal_kick", 0.9, True, 0.9, None, 0.9)]
+    both = spark.createDataFrame(rows + more, ddl)
+    assert sorted(r["seq"] for r in reels.BUILT_IN["keeper_saves"]().select(both, reels.Context()).collect()) == [0, 3, 6, 7]
+    assert [r["seq"] for r in reels.BUILT_IN["keeper_goal_kick"]().select(both, reels.Context()).collect()] == [8]

@@ -142,7 +142,7 @@ class KeeperPlugin:
         gate = spatial.similarity_gate(F.col("event_type"), F.col("similarity"), self.saves_gate, goal_kick_exempt=False)
         own = rows.where(F.col("event_type").isin(*self.event_types) & keeper & should_include(F.col("threshold")) & gate)
         half = F.lit(ctx.half_t)
-        sides = ctx.sides if ctx.sides is not None else spatial.keeper_sides(rows.where(keeper), half)
+        sides = ctx.sides if ctx.sides is not None else spatial.keeper_sides(spatial.side_voters(rows), half, opposite=False)
         return spatial.own_side(own, sides, half)
 
     def post(self, clips: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ CORNER = (0.25, 0.75)
 GOAL_LINE = (0.20, 0.80)
 MIDFIELD = (0.35, 0.65)
 EXEMPT = ("penalty", "corner_kick", "goal_kick")
+SIDE_EXEMPT = ("corner_kick", "goal_kick")
+VOTER_CONFIDENCE, VOTER_SIMILARITY = 0.75, 0.77
 STATIONARY = (0.04, 0.08)
 
 
@@ -50,13 +52,21 @@ def similarity_gate(kind: Column, similarity: Column, saves: float = 0.60, goal_
     return F.when(kind.isin(*exempt), True).when(kind.isin("shot_stop_diving", "shot_stop_standing", "punch", "catch"), s >= saves).otherwise(s >= 0.75)
 
 
-def keeper_sides(df: DataFrame, half_t: Column, share: float = 0.55, least: int = 2) -> DataFrame:
+def side_voters(df: DataFrame) -> DataFrame:
+    """Keeper events that say where the keeper stands: sure, alike, placed outside midfield, and no restart."""
+    mid = (F.col("x") > MIDFIELD[0]) & (F.col("x") < MIDFIELD[1])
+    sure = (F.col("confidence") >= VOTER_CONFIDENCE) & (F.col("similarity") >= VOTER_SIMILARITY)
+    return df.where(F.col("is_goalkeeper_event") & F.col("x").isNotNull() & ~mid & sure & ~F.col("event_type").isin(*SIDE_EXEMPT))
+
+
+def keeper_sides(df: DataFrame, half_t: Column, share: float = 0.55, least: int = 2, opposite: bool = True) -> DataFrame:
     """(stream_id, first_side, second_side): in each half the side with at least ``share`` of two or more voters, left first.
 
-    Where both halves agree, the half with more voters decides and the other takes the opposite.
+    With ``opposite`` the sides of the halves differ: an unknown one follows from the other, and where both
+    agree, the half with more voters decides (the first, of equals).
     """
     left = F.col("x") < 0.5
-    first = F.col("t") <= half_t
+    first = F.col("t") < half_t
     votes = df.groupBy("stream_id").agg(
         F.count_if(first).alias("n1"), F.count_if(first & left).alias("l1"), F.count_if(~first).alias("n2"), F.count_if(~first & left).alias("l2")
     )
@@ -64,6 +74,8 @@ def keeper_sides(df: DataFrame, half_t: Column, share: float = 0.55, least: int
     other = lambda s: F.when(s == "left", "right").when(s == "right", "left")
     s1, s2 = side(F.col("n1"), F.col("l1")), side(F.col("n2"), F.col("l2"))
     both = votes.withColumn("s1", s1).withColumn("s2", s2)
+    if not opposite:
+        return both.select("stream_id", F.col("s1").alias("first_side"), F.col("s2").alias("second_side"))
     clash = F.col("s1") == F.col("s2")
     return both.select(
         "stream_id",
@@ -73,10 +85,10 @@ def keeper_sides(df: DataFrame, half_t: Column, share: float = 0.55, least: int
 
 
 def own_side(df: DataFrame, sides: DataFrame, half_t: Column) -> DataFrame:
-    """Rows outside midfield on the keeper's side of their half; rows without a place, and unknown sides, stay."""
-    side = F.when(F.col("t") <= half_t, F.col("first_side")).otherwise(F.col("second_side"))
+    """Rows outside midfield on the keeper's side of their half; goal kicks, corners, rows without a place, and unknown sides stay."""
+    side = F.when(F.col("t") < half_t, F.col("first_side")).otherwise(F.col("second_side"))
     mid = (F.col("x") > MIDFIELD[0]) & (F.col("x") < MIDFIELD[1])
-    fits = F.when(F.col("x").isNull(), True).when(mid, False).when(side.isNull(), True).when(side == "left", F.col("x") < 0.5).otherwise(F.col("x") >= 0.5)
+    fits = F.when(F.col("x").isNull() | F.col("event_type").isin(*SIDE_EXEMPT), True).when(mid, False).when(side.isNull(), True).when(side == "left", F.col("x") < 0.5).otherwise(F.col("x") >= 0.5)
     return df.join(sides, "stream_id", "left").where(fits).select(*df.columns)
 
 

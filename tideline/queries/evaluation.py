@@ -134,7 +134,7 @@ def similarity_gate(spark, sf_dir):
     return timeline(spark, sf_dir).select("stream_id", "seq", spatial.similarity_gate(F.col("event_type"), s).alias("passes"))
 
 
-@query("keeper_sides", f"""WITH {TL}, v AS (SELECT stream_id, count(*) FILTER (t <= 3600) AS n1, count(*) FILTER (t <= 3600 AND x < 0.5) AS l1, count(*) FILTER (t > 3600) AS n2, count(*) FILTER (t > 3600 AND x < 0.5) AS l2 FROM tl WHERE event_type = 'catch' GROUP BY stream_id),
+@query("keeper_sides", f"""WITH {TL}, v AS (SELECT stream_id, count(*) FILTER (t < 3600) AS n1, count(*) FILTER (t < 3600 AND x < 0.5) AS l1, count(*) FILTER (t >= 3600) AS n2, count(*) FILTER (t >= 3600 AND x < 0.5) AS l2 FROM tl WHERE event_type = 'catch' GROUP BY stream_id),
 s AS (SELECT *, CASE WHEN n1 < 2 THEN NULL WHEN l1 / n1 >= 0.55 THEN 'left' WHEN (n1 - l1) / n1 >= 0.55 THEN 'right' END AS s1, CASE WHEN n2 < 2 THEN NULL WHEN l2 / n2 >= 0.55 THEN 'left' WHEN (n2 - l2) / n2 >= 0.55 THEN 'right' END AS s2 FROM v)
 SELECT stream_id, CASE WHEN s1 = s2 AND n2 > n1 THEN CASE s2 WHEN 'left' THEN 'right' ELSE 'left' END ELSE coalesce(s1, CASE s2 WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' END) END AS first_side,
  CASE WHEN s1 = s2 AND n2 <= n1 THEN CASE s1 WHEN 'left' THEN 'right' ELSE 'left' END ELSE coalesce(s2, CASE s1 WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' END) END AS second_side FROM s""")
