@@ -6,9 +6,10 @@ in shared subsets of just the size that a link needs, large ones in the inverted
 
 1. its pivot is the member that most other lists know; each member is compared with the pivot, exactly, and
    what does not link goes on to the list's next pivot;
-2. a pair that both members' pivot does not already link can only link if the sets of their differences
-   from the pivot overlap enough.  These differences are short, and pairs are found through their rarest
-   elements with positional bounds, then counted exactly.
+2. what links so far is contracted to components: a pivot whose members are all in one has nothing left to
+   find.  Elsewhere a pair of different components can only link if the sets of their differences from the
+   pivot overlap enough.  These differences are short, and pairs are found through their rarest elements
+   with positional bounds, then counted exactly.
 
 So a list of near copies costs about its length, while no link between different texts is lost.
 """
@@ -87,7 +88,7 @@ def around_pivots(lists: DataFrame) -> DataFrame:
 
 
 def frames_of(lists: DataFrame, texts: DataFrame, bound: Bound, width: int, scratch: Scratch) -> DataFrame:
-    """(node, pivot, n, linked, differ) for all pairs that may share a pivot's frame.
+    """(node, pivot, n, linked, differ) for all pairs that may share a pivot's frame; a pair may come twice.
 
     Round by round each list is compared with its pivot.  What links to the pivot leaves the list.  What is
     further from it than two links reach cannot link with what left, so it only stays in the list; what is
@@ -111,7 +112,15 @@ def frames_of(lists: DataFrame, texts: DataFrame, bound: Bound, width: int, scra
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.dropDuplicates(["node", "pivot"])
+    return out
+
+
+def open_frames(frames: DataFrame, known: DataFrame) -> DataFrame:
+    """The frames whose members are in more than one of the ``known`` components, each member with its own."""
+    members = frames.select("node", "pivot").join(known, "node", "left").select("node", "pivot", F.coalesce("root", "node").alias("component"))
+    pivots = members.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most")).select("pivot")
+    rows = frames.join(pivots, "pivot").join(known, "node", "left")
+    return rows.select("node", "pivot", "n", F.coalesce("root", "node").alias("component"), "differ").dropDuplicates(["node", "pivot"])
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -171,25 +180,24 @@ def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int, whole
 
 
 def frame_links(frames: DataFrame, bound: Bound) -> DataFrame:
-    """Links (u, v) between members of one pivot that the pivot does not link both.
+    """Links (u, v) between components, from members of one pivot that are in different ones.
 
     With D the elements in which a member differs from the pivot, two members differ in
     |D| + |D'| - 2 |D and D'| elements; that gives the overlap which a link needs.
     """
-    open_ = frames.groupBy("pivot").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("loose")).where((F.col("members") > 1) & (F.col("loose") > 0))
-    members = frames.join(open_.select("pivot"), "pivot").withColumn("d", F.size("differ"))
+    members = frames.withColumn("d", F.size("differ"))
     num, den = bound.num, bound.den
     # the largest difference of a set of size n from any that links with it
     most = F.floor(F.lit(2 * (den - num)) * F.floor(F.col("n") * den / num) / (num + den))
-    elements = members.select("pivot", "node", "n", "d", "linked", F.explode("differ").alias("element"))
+    elements = members.select("pivot", "node", "n", "d", "component", F.explode("differ").alias("element"))
     held = elements.groupBy("pivot", "element").agg(F.count("*").alias("held")).where(F.col("held") > 1)
     # elements that no other member has cannot be shared: they come first and need no posting
     order = F.array_sort(F.collect_list(F.struct("held", "element")))
-    ranked = elements.join(held, ["pivot", "element"]).groupBy("pivot", "node", "n", "d", "linked").agg(order.alias("order"))
+    ranked = elements.join(held, ["pivot", "element"]).groupBy("pivot", "node", "n", "d", "component").agg(order.alias("order"))
     prefix = ranked.withColumn("alone", F.col("d") - F.size("order")).withColumn("first", F.least(F.col("d"), most + 1) - F.col("alone"))
     postings = prefix.where(F.col("first") > 0).select(
-        "pivot", "node", "n", "d", "linked", "alone", F.posexplode(F.slice("order", 1, F.col("first").cast("int"))).alias("at", "e")
-    ).select("pivot", "node", "n", "d", "linked", (F.col("at") + F.col("alone")).alias("at"), F.col("e.element").alias("element"))
+        "pivot", "node", "n", "d", "component", "alone", F.posexplode(F.slice("order", 1, F.col("first").cast("int"))).alias("at", "e")
+    ).select("pivot", "node", "n", "d", "component", (F.col("at") + F.col("alone")).alias("at"), F.col("e.element").alias("element"))
     x, y = postings.alias("x"), postings.alias("y")
     c = lambda t, k: F.col(f"{t}.{k}")
     total = c("x", "n") + c("y", "n")
@@ -200,19 +208,19 @@ def frame_links(frames: DataFrame, bound: Bound) -> DataFrame:
         x.join(
             y,
             (c("x", "pivot") == c("y", "pivot")) & (c("x", "element") == c("y", "element")) & (c("x", "node") < c("y", "node"))
-            & ~(c("x", "linked") & c("y", "linked"))
+            & (c("x", "component") != c("y", "component"))
             & (need <= F.least(c("x", "n"), c("y", "n")))
             & (F.least(c("x", "d") - c("x", "at"), c("y", "d") - c("y", "at")) >= overlap),
         )
         .select(c("x", "pivot").alias("pivot"), c("x", "node").alias("u"), c("y", "node").alias("v"))
         .distinct()
     )
-    side = lambda u, k: members.select("pivot", F.col("node").alias(u), F.col("n").alias(f"n{k}"), F.col("d").alias(f"d{k}"), F.col("differ").alias(f"differ{k}"))
+    side = lambda u, k: members.select("pivot", F.col("node").alias(u), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}"), F.col("d").alias(f"d{k}"), F.col("differ").alias(f"differ{k}"))
     counted = candidates.join(side("u", 1), ["pivot", "u"]).join(side("v", 2), ["pivot", "v"])
     both = F.size(F.array_intersect("differ1", "differ2"))
     apart = F.col("d1") + F.col("d2") - 2 * both
     inter = (F.col("n1") + F.col("n2") - apart) / 2
-    return counted.where(den * inter >= num * (inter + apart)).select("u", "v").distinct()
+    return counted.where(den * inter >= num * (inter + apart)).select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
 
 
 def similarity_classes(
@@ -242,13 +250,17 @@ def similarity_classes(
     wanted = scratch.table("wanted", lists.select("node").distinct().join(first, "node"))
     scratch.drop("keys", "shared")
     texts = scratch.table("texts", packed_texts(docs, wanted, doc_id, text))
-    frames = scratch.table("frames", frames_of(lists, texts, bound, width, scratch))
+    frames = frames_of(lists, texts, bound, width, scratch)
     scratch.drop("wanted", "texts")
     near = frames.where("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    links = small.unionByName(near).unionByName(frame_links(frames, bound))
-    roots = components(links, scratch)
-    named = roots.join(first, "node").groupBy("root").agg(F.min("first").alias("component"))
-    linked = roots.join(named, "root").select("node", "component")
+    known = scratch.table("known", components(small.unionByName(near), scratch))
+    frames = scratch.table("frames", open_frames(frames, known))
+    joined = components(frame_links(frames, bound), scratch, "joins").select(F.col("node").alias("near_root"), F.col("root").alias("far_root"))
+    roots = first.join(known, "node", "left").withColumn("near_root", F.coalesce("root", "node")).join(joined, "near_root", "left")
+    roots = roots.withColumn("root", F.coalesce("far_root", "root")).where(F.col("root").isNotNull()).select("node", "first", "root")
+    linked = scratch.table("roots", roots)
+    named = linked.groupBy("root").agg(F.min("first").alias("component"))
+    linked = linked.join(named, "root").select("node", "component")
     names = first.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
     out = rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "node").join(names, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
