@@ -190,8 +190,9 @@ def frame_links(frames: DataFrame, bound: Bound) -> DataFrame:
     # the largest difference of a set of size n from any that links with it
     most = F.floor(F.lit(2 * (den - num)) * F.floor(F.col("n") * den / num) / (num + den))
     elements = members.select("pivot", "node", "n", "d", "component", F.explode("differ").alias("element"))
-    held = elements.groupBy("pivot", "element").agg(F.count("*").alias("held")).where(F.col("held") > 1)
-    # elements that no other member has cannot be shared: they come first and need no posting
+    held = elements.groupBy("pivot", "element").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("last"))
+    held = held.where(F.col("least") < F.col("last")).drop("least", "last")
+    # elements of one component only are in no pair that is looked for: they come first and need no posting
     order = F.array_sort(F.collect_list(F.struct("held", "element")))
     ranked = elements.join(held, ["pivot", "element"]).groupBy("pivot", "node", "n", "d", "component").agg(order.alias("order"))
     prefix = ranked.withColumn("alone", F.col("d") - F.size("order")).withColumn("first", F.least(F.col("d"), most + 1) - F.col("alone"))
@@ -255,10 +256,14 @@ def similarity_classes(
     near = frames.where("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     known = scratch.table("known", components(small.unionByName(near), scratch))
     frames = scratch.table("frames", open_frames(frames, known))
-    joined = components(frame_links(frames, bound), scratch, "joins").select(F.col("node").alias("near_root"), F.col("root").alias("far_root"))
-    roots = first.join(known, "node", "left").withColumn("near_root", F.coalesce("root", "node")).join(joined, "near_root", "left")
-    roots = roots.withColumn("root", F.coalesce("far_root", "root")).where(F.col("root").isNotNull()).select("node", "first", "root")
-    linked = scratch.table("roots", roots)
+    scratch.drop(*(f"seen-{k}" for k in range(ROUNDS + 1)))
+    more = scratch.table("more", frame_links(frames, bound))
+    scratch.drop("frames")
+    roots = first.join(known, "node", "left")
+    if not more.isEmpty():
+        joined = components(more, scratch, "joins").select(F.col("node").alias("near_root"), F.col("root").alias("far_root"))
+        roots = roots.withColumn("near_root", F.coalesce("root", "node")).join(joined, "near_root", "left").withColumn("root", F.coalesce("far_root", "root"))
+    linked = scratch.table("roots", roots.where(F.col("root").isNotNull()).select("node", "first", "root"))
     named = linked.groupBy("root").agg(F.min("first").alias("component"))
     linked = linked.join(named, "root").select("node", "component")
     names = first.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
