@@ -89,6 +89,19 @@ def test_jaccard_join_of_near_copies_around_a_base(spark):
     assert got == brute_components(texts)
 
 
+def test_jaccard_join_links_large_sets_without_an_id(spark):
+    """Near copies that only the rows without an id connect: one star of copies, one group around a pivot."""
+    base, other = ["b%d" % i for i in range(150)], ["c%d" % i for i in range(130)]
+    edit = lambda words, *at: " ".join("e%d" % i if i in at else w for i, w in enumerate(words))
+    rows = [(None, " ".join(base)), (None, " ".join(base))] + [(10 + i, edit(base, 10 + 9 * i, 75 + 9 * i)) for i in range(7)]
+    rows += [(None, edit(other, 5)), (None, edit(other, 60))] + [(50 + i, edit(other, 20 + 9 * i)) for i in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string")
+    got = jaccard_join.similarity_classes(df).collect()
+    assert len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["n_shingles"] == 148} == {10}
+    assert {r["component_id"] for r in got if r["n_shingles"] == 128} == {50}
+
+
 def test_jaccard_join_odd_rows(odd, nothing):
     rows = jaccard_join.similarity_classes(odd).collect()
     assert len(rows) == odd.count()

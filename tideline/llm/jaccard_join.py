@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import as_long, map_texts, slices
@@ -37,8 +37,13 @@ BROADCAST_ROWS = 1_000_000
 ROUNDS = 3
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A digest of id and text: rows are fetched by it, so that those without an id are found as well."""
+    return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text))
+
+
 def keyed(docs: DataFrame, bound: Bound, width: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, n, node (of its set; null if empty), and the keys of the set."""
+    """Per row: doc_id, row (its key, the same for rows that agree), n, node (of its set; null if empty), and the keys of the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -54,10 +59,10 @@ def keyed(docs: DataFrame, bound: Bound, width: int, doc_id: str, text: str) ->
                     blocks.append(as_long(block_keys(s, bound)))
                 longs = pa.list_(pa.int64())
                 cols = [pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(subs, longs), pa.array(lesser, pa.list_(pa.bool_())), pa.array(blocks, longs)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n", "node", "subsets", "lesser", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "n", "node", "subsets", "lesser", "blocks"])
 
-    schema = "doc_id bigint, n int, node bigint, subsets array<bigint>, lesser array<boolean>, blocks array<bigint>"
-    return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), text=F.col(text))
+    schema = "doc_id bigint, row bigint, n int, node bigint, subsets array<bigint>, lesser array<boolean>, blocks array<bigint>"
+    return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), row=row_key(doc_id, text), text=F.col(text))
 
 
 def subset_links(classes: DataFrame) -> DataFrame:
@@ -124,16 +129,24 @@ def open_frames(frames: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, packed text) of one document of each wanted class; ``wanted`` has node and its least doc_id."""
+    """(node, packed text) of one document of each wanted class; ``wanted`` has node and the key of a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
-                packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
+                nodes, packed = [], []
+                for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        packed.append(zlib.compress(t.encode("utf-8", "surrogatepass"), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("first"), F.col(text).alias("text"))
-    return texts.join(small_side(wanted), "first").select("node", "text").mapInArrow(run, "node bigint, packed binary")
+    texts = docs.where(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    found = texts.join(small_side(wanted), "row").select("node", "text").mapInArrow(run, "node bigint, packed binary")
+    # rows that agree in id and text come more than once
+    return found.dropDuplicates(["node"])
 
 
 def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int, whole: bool = False) -> DataFrame:
@@ -152,7 +165,7 @@ def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int, whole
             known = sets.get(node)
             if known is None:
                 known = next(shingles([zlib.decompress(packed).decode("utf-8", "surrogatepass")], width, memo))
-                # a doc_id that several texts share brings wrong texts too
+                # another text with the key of the wanted one
                 if not len(known) or signature(known)[0] != node:
                     return None
                 if len(sets) > 64:
@@ -246,9 +259,10 @@ def similarity_classes(
     sets = rows.where(F.col("node").isNotNull())
     classes = sets.groupBy("node").agg(F.first("subsets").alias("subsets"), F.first("lesser").alias("lesser"), F.first("blocks").alias("blocks"))
     first = sets.groupBy("node").agg(F.min("doc_id").alias("first"))
+    fetched = sets.groupBy("node").agg(F.min("row").alias("row"))
     small = scratch.table("small", subset_links(classes))
     lists = shared_lists(classes, scratch)
-    wanted = scratch.table("wanted", lists.select("node").distinct().join(first, "node"))
+    wanted = scratch.table("wanted", lists.select("node").distinct().join(fetched, "node"))
     scratch.drop("keys", "shared")
     texts = scratch.table("texts", packed_texts(docs, wanted, doc_id, text))
     frames = frames_of(lists, texts, bound, width, scratch)
