@@ -71,6 +71,19 @@ def test_entropy_spans_add_and_allow():
     assert not secret_scan.entropy_spans(f"use {token} now", base)
 
 
+def test_entropy_spans_of_letters_only_and_beside_placeholders():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secrets = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(1000)]
+    assert sum(bool(secret_scan.entropy_spans(f"use {s} now", [])) for s in secrets) >= 970
+    token = "q7Rt2LpX9vBz4KmN8sWd1Fh6"
+    for t in (f"/home/sample/{token}", f"your_dummy={token}", f"{token}_example_dummy", f"00000000/{token}"):
+        assert [t[a:b] for (a, _, b), _ in secret_scan.entropy_spans(t, [])] == [token], t
+    for calm in ("example_" + token[:12] + "/sample-" + token[:8], "Your-Own-Example_in_the_Readme", "some-plain/hyphenated_words-here", "sk-xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "key" + token + "EXAMPLE"):
+        assert not secret_scan.entropy_spans(f"use {calm} now", []), calm
+    assert secret_scan.class_of("w" * 60 + "YY") == "letters"
+
+
 def test_dense_windows_equal_direct_entropy():
     rng = random.Random(1)
     s = "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(200)) + "a" * 50

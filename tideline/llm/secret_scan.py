@@ -3,7 +3,8 @@
 Candidates are long runs of letters, digits and ``+/_=-``.  Each belongs to one character class, which
 sets the entropy that a window of it must reach; counts of the window's characters are kept up to date
 as it slides, so a candidate costs one pass.  Windows that reach the limit are merged into spans.
-Candidates that an allow-list names (placeholders, UUIDs, plain sequences, hyphenated words) are let be.
+Placeholder words, plain sequences and fillers are taken out of a candidate, and each stretch that is left
+is judged by itself; whole stretches that an allow-list names (UUIDs, hyphenated words, dates) are let be.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits that a window must reach, by class of characters: hexadecimal digits, letters with digits, letters of both cases.
 LIMITS = {"hex": 3.0, "mixed": 3.6, "letters": 3.9}
-#: Candidates that match are not secrets.
+#: Parts (letters and digits) that hold such a word are not secrets, nor are fillers, wherever they stand.
+PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|dummy|your|abcdefgh|12345678|qwertyui", re.I | re.A)
+FILLER = re.compile(r"[xX]{6,}|0{8,}|1{8,}")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Stretches that match as a whole are not secrets; words are lower case here, see class_of for others.
 ALLOWED = re.compile(
-    r"example|sample|placeholder|changeme|dummy|your[_-]?|x{6}|0{8}|1{8}|(?:abcdefgh|12345678|qwertyui)"
-    r"|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-    r"|^[a-z]+(?:[_/=-]+[a-z]*)*$|^[-_=+/]+$|^[0-9]+(?:[-/][0-9]+)*$",
-    re.I | re.A,
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[a-z]+(?:[_/=-]+[a-z]*)*|[-_=+/]+|[0-9]+(?:[-/][0-9]+)*"
 )
 #: c * log2(c); one more than WINDOW, as a character enters before the oldest leaves.
 F_OF_COUNT = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]
+SIGNS = frozenset("+/_=-")
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 
 
@@ -59,7 +62,28 @@ def class_of(candidate: str) -> str | None:
         return "hex" if digit else None
     if digit:
         return "mixed"
-    return "letters" if upper and lower and not re.fullmatch(r"(?:[A-Z]?[a-z]+[-_/+=]*)+|[A-Z]+[a-z]*", candidate) else None
+    return "letters" if upper and lower and not re.fullmatch(r"(?:[A-Z]?[a-z]++[-_/+=]*+)++|[A-Z]+[a-z]*", candidate) else None
+
+
+def stretches(candidate: str) -> list[tuple[int, int]]:
+    """(start, end) of what placeholders leave of a candidate, long enough for a window; joining signs at a cut go too."""
+    cuts = []
+    for p in PART.finditer(candidate):
+        if PLACEHOLDER.search(p.group()):
+            cuts.append(p.span())
+        else:
+            cuts += [(p.start() + m.start(), p.start() + m.end()) for m in FILLER.finditer(p.group())]
+    out, at, n = [], 0, len(candidate)
+    for x, y in [*cuts, (n, n)]:
+        a, b = at, x
+        while at and a < b and candidate[a] in SIGNS:
+            a += 1
+        while x < n and a < b and candidate[b - 1] in SIGNS:
+            b -= 1
+        if b - a >= WINDOW:
+            out.append((a, b))
+        at = y
+    return out
 
 
 def dense_windows(candidate: str, limit: float) -> list[tuple[int, int]]:
@@ -89,13 +113,15 @@ def entropy_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
     found: list[Span] = []
     bits: dict[Span, float] = {}
     for m in CANDIDATE.finditer(text):
-        kind = class_of(m.group())
-        if kind is None or ALLOWED.search(m.group()):
-            continue
-        for a, b in dense_windows(m.group(), LIMITS[kind]):
-            span = (m.start() + a, 3, m.start() + b)
-            found.append(span)
-            bits[span] = LIMITS[kind]
+        for x, y in stretches(m.group()):
+            said = m.group()[x:y]
+            kind = class_of(said)
+            if kind is None or ALLOWED.fullmatch(said):
+                continue
+            for a, b in dense_windows(said, LIMITS[kind]):
+                span = (m.start() + x + a, 3, m.start() + x + b)
+                found.append(span)
+                bits[span] = LIMITS[kind]
     return [(s, bits[s]) for s in spans.outside(found, base)]
 
 
