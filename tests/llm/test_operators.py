@@ -155,6 +155,18 @@ def test_lines_over_the_limit_are_removed(spark):
     assert not out[100]["kept"]
 
 
+def test_common_lines_of_a_large_host_are_removed(spark):
+    """A line in 15 of a host's 400 documents is over the limit, one in 10 of them is not."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    body = lambda i, n: " ".join(f"{name(i)}x{name(k)}" for k in range(n))
+    rows = [(i, body(i, 60), "h") for i in range(370)] + [(1000 + i, " ".join("notice%s" % chr(97 + k // 8) * (1 + k % 8) for k in range(60)) + "\n" + body(i, 52), "h") for i in range(15)]
+    rows += [(2000 + i, "rare line\n" + body(1000 + i, 60), "h") for i in range(10)] + [(3000 + i, "rare line\n" + body(1000, 60), "h") for i in range(5)]
+    out = {r["doc_id"]: r for r in line_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[1000 + i]["n_removed"] == 60 and not out[1000 + i]["kept"] and not out[1000 + i]["base_failed"] for i in range(15))
+    assert all(r["n_removed"] == 0 and r["kept"] for i, r in out.items() if i < 370 or i >= 2000)
+
+
 def test_quality_classifier(spark, odd, nothing):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.fit(docs, labels, ~in_fold(F.col("label_id"), 3, 1))

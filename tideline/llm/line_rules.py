@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import map_texts, slices
+from tideline.llm.scratch import Scratch
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 DIGIT = re.compile(rb"[0-9]")
 
-#: A line is boilerplate in more distinct documents of its host than both say.
+#: A line is boilerplate in more distinct documents of its host than this, however many the host has.
 LINE_DOCS = 10
-LINE_SHARE = 0.1
+#: Common lines are joined in so many parts, dealt by document, so that one line does not fill a task.
+PARTS = 16
 #: Share of a document's words that must remain.
 REMAINING = 0.5
 MIN_WORDS = 50
@@ -69,7 +71,6 @@ def quality_rules(
     text: str = "text",
     host: str | Column = "source",
     line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
     remaining: float = REMAINING,
 ) -> DataFrame:
     """Counts and verdict of each document.
@@ -98,28 +99,21 @@ def quality_rules(
     schema = "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, line_words array<bigint>, digest bigint"
     host = F.col(host) if isinstance(host, str) else host
     counted = map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), host=host.cast("string"), text=F.col(text))
-    counted = counted.withColumn("host", F.coalesce("host", F.lit("\x00null")))
+    scratch = Scratch(docs.sparkSession, "lines")
+    counted = scratch.table("counted", counted.withColumn("host", F.coalesce("host", F.lit("\x00null"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
 
-    hosts = counted.groupBy("host", "digest").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = (
-        counted.select("host", "digest", F.explode("lines").alias("line"))
-        .groupBy("host", "line", "digest").agg(F.lit(1))
-        .groupBy("host", "line").agg(F.count("*").alias("n"))
-        .where(F.col("n") > line_docs)
-    )
-    common = held.join(hosts, "host").where(F.col("n") > line_share * F.col("host_docs"))
-    # At most 1 / line_share lines per distinct document slot: the list of a host stays short, and one row
-    # per host carries it back to the host's documents.
-    lists = common.groupBy("host").agg(F.collect_set("line").alias("common"))
-    removed = F.aggregate(
-        F.filter(F.arrays_zip("lines", "line_words"), lambda x: F.array_contains(F.col("common"), x["lines"])),
-        F.lit(0).cast("bigint"),
-        lambda a, x: a + x["line_words"],
-    )
+    # the lines of a document are distinct, so each distinct document holds a line once
+    pages = scratch.table("pages", counted.select("host", "digest", "lines", "line_words").dropDuplicates(["host", "digest"]))
+    held = pages.select("host", "digest", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))))
+    common = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    parts = common.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int"))
+    removed = dealt.join(parts, ["host", "line", "part"]).groupBy("host", "digest").agg(F.sum("words").alias("removed"))
     return (
-        counted.join(lists, "host", "left")
-        .withColumn("n_removed", F.when(F.col("common").isNull(), 0).otherwise(removed).cast("bigint"))
+        counted.drop("lines", "line_words")
+        .join(removed, ["host", "digest"], "left")
+        .withColumn("n_removed", F.coalesce("removed", F.lit(0)).cast("bigint"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= remaining * F.col("n_words")))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
