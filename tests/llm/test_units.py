@@ -209,6 +209,20 @@ def test_chunks_survive_insertions():
     assert substring_dedup.chunks_of(None)[0] == [] and substring_dedup.chunks_of("")[0] == []
 
 
+def test_every_passage_of_51_words_has_a_run():
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, n)))
+    said = lambda k, n: " ".join(word(n) for _ in range(k))
+    for i in range(3000):
+        n = (1, 3, 8, 14)[i % 4]
+        passage = said(51, n)
+        one, two = (substring_dedup.chunks_of(f"{said(rng.randint(0, 30), 8)} {passage} {said(rng.randint(0, 30), 8)}") for _ in range(2))
+        held = set(two[0])
+        assert substring_dedup.passages(np.array([d in held for d in one[0]]), np.array(one[2]), substring_dedup.MIN_WORDS), (i, passage)
+    raw = np.frombuffer(("é" * 3000 + " " + "中文字" * 2000).encode(), np.uint8)
+    assert max(np.diff(substring_dedup.cut_ends(raw), prepend=0)) <= substring_dedup.LONGEST
+
+
 def test_network_learns_two_languages():
     rng = random.Random(8)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40)).encode()

@@ -1,8 +1,14 @@
 """Substring dedup: content-defined chunks by a gear hash, deduplicated by digest.
 
-A gear hash runs over the bytes of a text; where its high bits are all ones a chunk ends.  The hash only
-depends on the last 16 bytes, so the same passage is cut at the same places wherever it stands, and text
-inserted before it shifts nothing.  Stretches without a cut are divided at fixed distances from the last.
+A gear hash runs over the bytes of a text and is read at the ends of words; of every SPAN neighbouring ends
+the one with the least hash (the last of equals) ends a chunk.  The hash only depends on the last 16 bytes,
+so the same passage is cut at the same places wherever it stands, and text inserted before it shifts nothing.
+Stretches without a cut are divided at fixed distances from the last.
+
+No passage of over 50 words is missed.  The hash at an end is the passage's own after 16 bytes, at most 8
+words in; a cut there is the same in all copies once the SPAN - 1 ends on both its sides are too.  So cuts
+agree from the 16th to the 43rd of 51 words, the first of them is the 23rd at most and the last the 36th at
+least, and the run of repeated chunks between them has MIN_WORDS words or more.
 
 A chunk is repeated if another document holds its digest.  Single chunks repeat by chance; what counts is
 a run of neighbouring repeated chunks of at least ``min_words`` words, which is a passage.
@@ -21,11 +27,14 @@ from pyspark.sql import functions as F
 from tideline.llm.common import as_long, map_texts, slices
 from tideline.llm.scratch import Scratch
 
-#: A chunk ends with probability 2 ** -BITS at each byte: 32 bytes on average.
-BITS = 5
+#: Ends of words of which one ends a chunk: chunks have 4.5 words on average, and SPAN at most.
+SPAN = 8
+#: In words of over LONG bytes (text without blanks) an end is also set with probability 2 ** -BITS at each byte.
+BITS = 3
+LONG = 64
 LONGEST = 1024
 #: Words in a run of repeated chunks that make it a passage.
-MIN_WORDS = 20
+MIN_WORDS = 12
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 2024) & 0xFFFF for b in range(256)], np.uint16)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -42,7 +51,23 @@ def cut_ends(raw: np.ndarray) -> np.ndarray:
     h = np.zeros(n, np.uint16)
     for i in range(min(16, n)):
         h[i:] += g[: n - i] << np.uint16(i)
-    ends = np.flatnonzero((h >> np.uint16(16 - BITS)) == (1 << BITS) - 1) + 1
+    solid = ~BLANK[raw]
+    last = np.flatnonzero(solid & np.append(~solid[1:], True))
+    begin = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
+    long = last - begin >= LONG
+    if long.any():
+        cuts = np.flatnonzero((h >> np.uint16(16 - BITS)) == (1 << BITS) - 1)
+        # the word that each cut is in or after
+        at = np.searchsorted(begin, cuts, "right") - 1
+        cuts = cuts[(at >= 0) & long[at] & (cuts < last[at])]
+        last = np.sort(np.concatenate((last, cuts)))
+    if len(last) >= SPAN:
+        windows = np.lib.stride_tricks.sliding_window_view(h[last][::-1], SPAN)
+        # read backwards, so that the last of equals is taken
+        picked = len(last) - 1 - np.unique(windows.argmin(1) + np.arange(len(windows)))
+        ends = np.sort(last[picked]) + 1
+    else:
+        ends = np.zeros(0, np.int64)
     ends = ends[ends < n]
     ends = np.append(ends, n)
     gaps = np.diff(ends, prepend=0)
