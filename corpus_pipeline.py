@@ -4,8 +4,8 @@ Quality classifier, n-gram Jaccard join, benchmark decontamination, secret scan,
 stage works on all that the one before kept, and its decisions take effect:
 
 * quality: documents that the classifier rejects go; those without an id stay, scored like any other;
-* near_duplicates: of each component of links the document with the smallest id stays; rows that repeat
-  an id stay together;
+* near_duplicates: of each component of links one row stays, that with the smallest id (rows without an id
+  come last, then a key of the text decides); rows without words are in no component and stay;
 * decontaminate: documents with words inside benchmark windows go;
 * secrets: what the scan finds is replaced by its kind in brackets, and n_chars follows the new text;
 * encode: token ids of each text, with digests of ids and decoded bytes.
@@ -33,10 +33,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
-    classes = jaccard_join.similarity_classes(docs)
-    gone = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of the n-gram Jaccard join; rows without words are in none and stay."""
+    scratch = Scratch(spark, "near")
+    found = jaccard_join.similarity_classes(docs).where(F.col("component").isNotNull())
+    rows = scratch.table("rows", found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("best"))
+    best = rows.groupBy("component").agg(F.min(order).alias("first"), F.sum("copies").alias("total")).where(F.col("total") > 1)
+    least = (F.col("row") == F.col("first.best")) & F.col("doc_id").eqNullSafe(F.col("first.id"))
+    marks = scratch.table("marks", rows.join(best, "component").where(~least | (F.col("copies") > 1)).select(F.col("doc_id").alias("id"), F.col("row").alias("key"), least.alias("again")))
+    texts = docs.select(*COLUMNS).withColumn("key_of_row", jaccard_join.row_key("doc_id", "text"))
+    same = (F.col("key_of_row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    alone = texts.join(marks, same, "left_anti")
+    # equal rows that share id and text: one of them stays
+    again = texts.join(marks.where("again"), same, "left_semi").dropDuplicates(["key_of_row", "doc_id"])
+    return alone.unionByName(again).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,25 @@ def brute_components(texts: dict[int, str]) -> dict[int, int]:
     return {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("boundary", [0, 15, 24])
+def test_jaccard_join_at_any_boundary(spark, boundary):
+    """Short sets on both sides of the boundary and across it, and texts of over 2,000 words."""
+    rng = random.Random(boundary)
+    words = ["w%d" % i for i in range(4000)]
+    texts = {}
+    for k, n in enumerate([9, 11, 12, 15, 17, 20, 21, 22, 24, 26, 30, 40, 2300] * 4):
+        base = [rng.choice(words) for _ in range(n)]
+        for i in range(4):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, n // 30])):
+                at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+                w[at : at + rng.choice([0, 1])] = [] if rng.random() < 0.4 else [rng.choice(words)]
+            texts[10 * k + i] = " ".join(w)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_classes(df, boundary=boundary).collect()}
+    assert got == brute_components(texts)
+
+
 def test_jaccard_join_equals_brute_force(spark):
     texts = dict(enumerate(rng_texts(400, 1)))
     texts |= {1000 + i: t for i, t in enumerate(rng_texts(60, 2)[:20] * 3)}
@@ -223,6 +242,18 @@ def test_repeated_passages(spark, odd, nothing):
     assert substring_dedup.repeated_passages(odd).count() == 0 and substring_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_near_duplicate_stage_removes_rows_not_ids(spark, nothing):
+    import corpus_pipeline as cp
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a")), (3, text("c")), (3, text("c")), (None, text("d")), (None, text("d")), (None, text("b") + " more"), (5, None), (5, None), (6, ""), (7, " \n"), (8, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = [(r["doc_id"], r["text"]) for r in cp.near_duplicate_stage(spark, docs, SMALL).collect()]
+    want = [(1, text("a")), (1, text("b")), (3, text("c")), (None, text("d")), (5, None), (5, None), (6, ""), (7, " \n"), (8, text("e"))]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+    assert cp.near_duplicate_stage(spark, nothing, SMALL).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

@@ -10,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from tideline.llm import decontaminate, langid, line_rules, maxent_lm, pii, quality, secret_scan, shingle_sets, spans, substring_dedup
+from tideline.llm import decontaminate, langid, line_rules, maxent_lm, pii, quality, secret_scan, shingle_sets, spans, substring_dedup, tokens
 from tideline.llm.bpe import Encoder, encoder
 
 PIECES = ["a", "b", " ", "  ", "\n", "é", "1", "'s", "\x1c", "\x85", "\xa0", "　", "!", "日", "the", "aaaa", "ing", "\t", "²", "中文", "🎉"]
@@ -166,26 +167,23 @@ def test_repeated_words_and_lines():
     assert line_rules.counts_of("a b\na b\n\n  \nA b\x0b#*")[:5] == (7, 8, 2, 1, 0)
 
 
-def test_boundary_and_levels():
+def test_boundary_is_chosen_by_cost():
     bound = shingle_sets.Bound(90, 100)
     for n in range(1, 200):
         for m in bound.partners(n):
             assert bound.need(n, m) <= max(n, m)
-        for m in range(n, 260):
-            links = bound.need(n, m) <= n
-            if links and m > bound.boundary:
-                shared = {k for k, _ in bound.levels(n)} & {k for k, _ in bound.levels(m)}
-                assert shared, (n, m)
-                level = max(shared)
-                blocks = dict(bound.levels(m))[level]
-                assert blocks > n + m - 2 * bound.need(n, m) + shingle_sets.SPARE
+    sizes = {n: (100.0, 1.0) for n in range(1, 41)}
+    alone = bound.boundary(sizes)
+    assert alone < bound.boundary({n: (100.0, 3.0) for n in sizes}) <= bound.boundary({n: (100.0, 50.0) for n in sizes}) <= shingle_sets.MOST_LIGHT
+    assert bound.boundary({}) <= shingle_sets.MOST_LIGHT
 
 
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
     bound = shingle_sets.Bound(90, 100)
-    for n in [9, 10, 12, 17, 18, 19, 20, 21, 30, 64, 100, 400]:
-        for _ in range(40):
+    for trial, n in enumerate([9, 10, 12, 17, 18, 19, 20, 21, 30, 64, 100, 400] * 3):
+        levels = rng.integers(0, 3, shingle_sets.BUCKETS).astype(np.uint16) * (trial % 3)
+        for _ in range(20):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             b = a.copy()
             edits = int(rng.integers(0, max(2, n // 15)))
@@ -194,9 +192,34 @@ def test_linked_sets_share_a_key():
             inter = len(np.intersect1d(a, b))
             if 100 * inter < 90 * (len(a) + len(b) - inter) or np.array_equal(a, b):
                 continue
-            small = set(shingle_sets.subset_keys(a, bound)[0].tolist()) & set(shingle_sets.subset_keys(b, bound)[0].tolist())
-            large = set(shingle_sets.block_keys(a, bound).tolist()) & set(shingle_sets.block_keys(b, bound).tolist())
-            assert small or large
+            x, y = (shingle_sets.rarest(s, levels, bound.prefix(len(s))) for s in (a, b))
+            met = np.intersect1d(x, y)
+            assert len(met)
+            i, j = (int(np.flatnonzero(s == met[0])[0]) for s in (x, y))
+            assert min(len(a) - i, len(b) - j) >= bound.need(len(a), len(b))
+            if max(len(a), len(b)) <= 21:
+                assert set(shingle_sets.subset_keys(a, bound)[0].tolist()) & set(shingle_sets.subset_keys(b, bound)[0].tolist())
+
+
+def test_words_are_those_of_split():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*PIECES, "\x0b", "\r", "AbC"]) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", " ", "Z" * 2_500_000 + " z"]
+    column = pa.array(texts, pa.string())
+    split = [t.encode().lower().split() if t else [] for t in texts]
+    words = tokens.Words(column)
+    assert words.counts.tolist() == [len(w) for w in split]
+    names = {}
+    for key, word in zip(words.keys.tolist(), (w for ws in split for w in ws)):
+        assert names.setdefault(word, key) == key
+    assert len({*names.values()}) == len(names)
+    part = tokens.Words(column.slice(100, 50))
+    at = int(words.counts[:100].sum())
+    assert part.keys.tolist() == words.keys[at : at + int(part.counts.sum())].tolist()
+
+
+def test_decimals():
+    values = [0, 5, None, (1 << 126) - 1]
+    assert [None if x is None else int(x) for x in shingle_sets.decimals(values).to_pylist()] == values
 
 
 def test_chunks_survive_insertions():

@@ -27,7 +27,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_classes(read_table(spark, sf_dir, "documents"))
+    found = jaccard_join.similarity_classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

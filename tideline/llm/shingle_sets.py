@@ -1,42 +1,39 @@
-"""Sets of word shingles as sorted 64-bit hashes, and the keys by which similar sets meet.
+"""Sets of word shingles as sorted 64-bit hashes, their order by rarity, and the keys by which similar sets meet.
 
 For a Jaccard threshold num/den two sets of sizes a <= b must share ceil(num (a + b) / (num + den))
 elements.  From that follow both kinds of keys:
 
-* small sets emit, for every partner size, all their subsets of just the size that must be shared; two
-  sets with such a subset in common are linked, nothing needs to be verified;
-* large sets are dealt into blocks by the hash of each element.  Sets that link differ in so few elements
-  that some block is the same in both, so the inverted lists of whole blocks hold every link.  Sizes are
-  taken in levels, and a set near the upper end of its level also emits the next level's blocks.
+* light (small) sets emit, for every partner size, all their subsets of just the size that must be shared;
+* heavy (large) sets put their rarest elements, as many as a partner cannot all lack, into inverted lists.
 
-The boundary between both is where enumeration begins to cost more than blocks do.
+Rarity is counted in a fixed number of buckets.  Any order that all sets follow gives the same links, so
+what shares a bucket or fills it only makes lists longer or shorter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from tideline.llm.common import U64, Memo, mix, words_of
+from tideline.llm.common import U64, mix
+from tideline.llm.tokens import Words
 
-#: What a block's key costs against a subset's: its list is also scanned and its sets verified.
-BLOCK_COST = 8
-#: Blocks beyond those that must differ: a pair then agrees in more blocks than a set has empty ones.
-SPARE = 2
-LEVEL_RATIO = 1.5
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def word_memo() -> Memo:
-    return Memo(word_hash, 300_000)
+#: Buckets in which elements are counted, and the parts in which counts travel.
+BUCKETS = 1 << 22
+PARTS = 64
+#: An element's bits below its level of rarity.
+ELEMENT_BITS = 52
+#: Steps of rarity to a doubling of a count.
+STEPS = 32
+#: Sizes that may be light.
+MOST_LIGHT = 40
+#: Costs against one row of a list: a subset's key is such a row, a partner has its text fetched and compared.
+KEY_COST, PARTNER_COST = 1.0, 40.0
 
 
 def combine(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -48,21 +45,39 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(texts: list[str | None], width: int, memo: Memo) -> Iterator[np.ndarray]:
+def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the distinct hashes of its ``width``-word shingles, sorted; shorter texts have one, of all their words."""
-    split = [words_of(t) for t in texts]
-    counts = [len(w) for w in split]
-    hashes = np.fromiter((memo[w] for ws in split for w in ws), U64, sum(counts))
-    runs = combine(hashes, width)
+    words = Words(column)
+    runs = combine(words.keys, width)
     at = 0
-    for n in counts:
+    for n in words.counts.tolist():
         if n >= width:
-            yield np.unique(runs[at : at + n - width + 1])
+            s = np.sort(runs[at : at + n - width + 1])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         else:
-            yield combine(hashes[at : at + n], n)[:1] if n else hashes[:0]
+            yield combine(words.keys[at : at + n], max(n, 1))
         at += n
 
 
+def signature(s: np.ndarray) -> int:
+    """126 bits that stand for a whole set; they fit a decimal of 38 digits."""
+    return xxhash.xxh3_128_intdigest(s.tobytes()) >> 2
+
+
+def decimals(values: list[int | None]) -> pa.Array:
+    """Signatures as an Arrow column of decimal(38, 0)."""
+    raw = b"".join((v or 0).to_bytes(16, "little") for v in values)
+    live = np.array([v is not None for v in values], bool)
+    mask = pa.py_buffer(np.packbits(live, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(values), [mask, pa.py_buffer(raw)])
+
+
+def short(node: int) -> int:
+    """The low 64 bits of a signature, signed: what candidates are looked for by."""
+    x = node & ((1 << 64) - 1)
+    return x - (1 << 64) * (x >> 63)
+
+
 class Bound:
     """Sizes and overlaps for one threshold."""
 
@@ -77,50 +92,47 @@ class Bound:
         """Sizes that a set of size n can link with."""
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    def differ(self, largest: int) -> int:
-        """The most elements by which linked sets of at most this size differ."""
-        return 2 * largest * (self.den - self.num) // (self.num + self.den)
+    def prefix(self, n: int) -> int:
+        """The rarest elements of which every partner has one at least."""
+        return n - -(-self.num * n // self.den) + 1
 
     def subset_keys(self, n: int) -> int:
-        return sum(comb(n, self.need(n, m)) for m in self.partners(n) if m != n or self.need(n, n) < n)
+        return sum(comb(n, self.need(n, m)) for m in self.partners(n) if min(n, m) >= self.need(n, m) and (m != n or self.need(n, n) < n))
 
-    @property
-    def boundary(self) -> int:
-        """The largest small size."""
-        return _boundary(self.num, self.den)
+    def boundary(self, sizes: dict[int, tuple[float, float]]) -> int:
+        """The largest light size, by cost.
 
-    def levels(self, n: int) -> list[tuple[int, int]]:
-        """(level, number of blocks) for each level whose blocks a set of size n emits."""
-        out, low, level = [], self.boundary, 0
-        while True:
-            high = max(low + 1, int(low * LEVEL_RATIO))
-            if low < n <= high or (n <= low and self.den * n >= self.num * (low + 1)):
-                out.append((level, self.differ(high) + 1 + SPARE))
-            if n <= low:
-                return out
-            low, level = high, level + 1
+        ``sizes`` has, for each small size, the sets of that size and the measured length of the lists that
+        their rarest elements are in.  A light set costs its keys; a heavy one costs its rows of lists and the
+        partners that it is compared with.  All sizes up to the boundary are cheaper light than heavy.
+        """
+        best, at, light, heavy = 0.0, 0, 0.0, 0.0
+        for n in range(1, MOST_LIGHT + 1):
+            count, length = sizes.get(n, (0.0, 1.0))
+            light += count * KEY_COST * self.subset_keys(n)
+            heavy += count * self.prefix(n) * (1 + PARTNER_COST * max(0.0, length - 1))
+            if light - heavy <= best:
+                best, at = light - heavy, n
+        return at
 
 
-@lru_cache
-def _boundary(num: int, den: int) -> int:
-    bound, n = Bound(num, den), 1
-    while n < 200 and bound.subset_keys(n) <= BLOCK_COST * (bound.differ(int(n * 1.2)) + 1 + SPARE):
-        n += 1
-    return n - 1
+def ranked(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the order of rarity: each element under its bucket's level."""
+    low = s & U64((1 << ELEMENT_BITS) - 1)
+    return levels[(low & U64(BUCKETS - 1)).astype(np.int64)].astype(U64) << U64(ELEMENT_BITS) | low
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a whole set."""
-    d = xxhash.xxh3_128_intdigest(s.tobytes())
-    half = lambda x: x - (1 << 64) * (x >> 63)
-    return half(d >> 64), half(d & ((1 << 64) - 1))
+def rarest(s: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` rarest elements of a set, rarest first."""
+    x = ranked(s, levels)
+    if k < len(x):
+        x = np.partition(x, k - 1)[:k]
+    return np.sort(x)
 
 
 def subset_keys(s: np.ndarray, bound: Bound) -> tuple[np.ndarray, list[bool]]:
-    """Keys of a small set and, for each, whether the set has the smaller of the two sizes it stands for."""
+    """Keys of a light set and, for each, whether the set has the smaller of the two sizes it stands for."""
     n = len(s)
-    if n > bound.boundary:
-        return np.zeros(0, U64), []
     elements = mix(s)
     total = elements.sum(dtype=U64)
     keys, lesser = [np.zeros(0, U64)], []
@@ -137,22 +149,3 @@ def subset_keys(s: np.ndarray, bound: Bound) -> tuple[np.ndarray, list[bool]]:
         keys.append(mix(sums + mix(sizes)))
         lesser += [n <= m] * len(sums)
     return np.concatenate(keys), lesser
-
-
-def block_keys(s: np.ndarray, bound: Bound) -> np.ndarray:
-    """Keys of the blocks of a set, of each level that it belongs to."""
-    keys = [np.zeros(0, U64)]
-    if not len(s):
-        return keys[0]
-    elements = mix(s)
-    for level, blocks in bound.levels(len(s)):
-        place = ((elements >> U64(33)) * U64(blocks) >> U64(31)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        count = np.bincount(place, minlength=blocks)
-        ends = np.concatenate(([U64(0)], np.cumsum(elements[order], dtype=U64)))
-        edges = np.concatenate(([0], np.cumsum(count)))
-        sums = ends[edges[1:]] - ends[edges[:-1]]
-        key = mix(sums * U64(0x9E3779B97F4A7C15) + mix(np.arange(blocks, dtype=U64) + U64(level << 20)))
-        # a pair agrees in more than SPARE blocks; unless both have more empty ones, one of them is not empty
-        keys.append(key[count > 0] if (count == 0).sum() <= SPARE else key)
-    return np.concatenate(keys)
