@@ -197,6 +197,8 @@ def test_linked_sets_share_a_key():
             assert len(met)
             i, j = (int(np.flatnonzero(s == met[0])[0]) for s in (x, y))
             assert min(len(a) - i, len(b) - j) >= bound.need(len(a), len(b))
+            kept = [shingle_sets.rarest(s, levels, bound.kept(len(s))) for s in (a, b)]
+            assert len(np.intersect1d(*kept)) >= min(bound.shared(len(a)), bound.shared(len(b)))
             if max(len(a), len(b)) <= 21:
                 assert set(shingle_sets.subset_keys(a, bound)[0].tolist()) & set(shingle_sets.subset_keys(b, bound)[0].tolist())
 

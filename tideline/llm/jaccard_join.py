@@ -35,6 +35,8 @@ BROADCAST_ROWS = 1_000_000
 PROBE = 64
 #: Sizes whose ratio is less share a step when members of a list meet.
 SIZE_STEP = 1.02
+#: Times that classes in too few lists, and then lists of one class, are taken out.
+CORE_ROUNDS = 2
 NODE = "decimal(38,0)"
 
 
@@ -144,7 +146,7 @@ def keyed(docs: DataFrame, levels: np.ndarray, boundary: int, bound: Bound, widt
                     light = len(s) <= boundary
                     keys, less = subset_keys(s, bound) if light else (None, None)
                     rows.append((
-                        short(node), node, len(s), as_long(rarest(s, shared.value, bound.prefix(len(s)))) if len(s) >= crossing else None,
+                        short(node), node, len(s), as_long(rarest(s, shared.value, bound.kept(len(s)))) if len(s) >= crossing else None,
                         as_long(keys) if light and len(keys) else None, less if light and len(keys) else None, as_long(s) if light and len(keys) else None,
                     ))
                 col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: E731, B023
@@ -169,22 +171,40 @@ def light_links(keys: DataFrame, bound: Bound) -> DataFrame:
     return pairs.join(sets, "h").join(other, "pivot").where(linked).select(F.col("node").alias("u"), "v")
 
 
-def shared_lists(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(e, h, n, at, pivot): the members of inverted lists of two classes or more, each with its place in its set's order.
+def shared_lists(keys: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """(e, h, n, at, pivot, pivot_n): members of inverted lists that can have a partner, each with its place in its set's order.
 
-    The pivot is the member that has the fewest rarer elements.
+    Lists of one class go.  Partners share several of the elements that they keep, so classes that are in
+    too few of the remaining lists go as well, and with them the lists that no longer have two.  The pivot
+    of a list is the member that has the fewest rarer elements.
     """
-    postings = keys.where(F.col("rare").isNotNull()).select("h", "n", F.posexplode("rare").alias("at", "e"))
-    central = F.shiftleft(F.col("at").cast("bigint"), 40) + F.xxhash64("h").bitwiseAND(F.lit((1 << 40) - 1))
-    lists = postings.groupBy("e").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min_by("h", central).alias("pivot"))
-    lists = scratch.table("lists", lists.where(F.col("lo") < F.col("hi")).select("e", "pivot"))
-    # copies of a class come from several tasks
-    return scratch.table("shared", postings.join(lists.hint("merge"), "e"))
-
-
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """(h, other): each class with the pivot that most of its lists have."""
-    met = shared.where(F.col("h") != F.col("pivot")).groupBy("h", "pivot").agg(F.count("*").alias("lists"))
+    num, den = bound.num, bound.den
+    prefix = lambda n: n - F.ceil(n * num / den) + 1
+    # a partner may be smaller and keep fewer
+    least = 1 + F.floor(prefix(F.ceil(F.col("n") * num / den)) / 4)
+    rows = keys.where(F.col("rare").isNotNull()).select("h", "n", F.posexplode("rare").alias("at", "e"))
+    for k in range(CORE_ROUNDS + 1):
+        aggs = [F.min("h").alias("lo"), F.max("h").alias("hi")]
+        if k == CORE_ROUNDS:
+            central = F.shiftleft(F.col("at").cast("bigint"), 40) + F.xxhash64("h").bitwiseAND(F.lit((1 << 40) - 1))
+            aggs += [F.min_by("h", central).alias("pivot"), F.min_by("n", central).alias("pivot_n")]
+        lists = rows.groupBy("e").agg(*aggs).where(F.col("lo") < F.col("hi")).drop("lo", "hi")
+        lists = scratch.table(f"lists-{k}", lists)
+        shared = scratch.table(f"shared-{k}", rows.join(lists.hint("merge"), "e"))
+        if k:
+            scratch.drop(f"rows-{k - 1}")
+        if k == CORE_ROUNDS:
+            return shared
+        # a class that several tasks gave counts more than once, which only keeps it longer
+        kept = shared.groupBy("h", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("h", "n")
+        rows = scratch.table(f"rows-{k}", shared.join(kept.hint("merge"), ["h", "n"]))
+        scratch.drop(f"lists-{k}", f"shared-{k}")
+
+
+def first_pairs(shared: DataFrame, bound: Bound) -> DataFrame:
+    """(h, other): each class with the pivot that most of its lists have, among those of a size that it can link with."""
+    sizes = (bound.den * F.least("n", "pivot_n") >= bound.num * F.greatest("n", "pivot_n")) & (F.col("h") != F.col("pivot"))
+    met = shared.where(sizes).groupBy("h", "pivot").agg(F.count("*").alias("lists"))
     order = F.shiftleft(F.col("lists"), 32) + F.xxhash64("pivot").bitwiseAND(F.lit((1 << 32) - 1))
     return met.groupBy("h").agg(F.max_by("pivot", order).alias("other"))
 
@@ -195,7 +215,9 @@ def further_pairs(shared: DataFrame, roots: DataFrame, done: DataFrame, boundary
     Of a pair the larger set looks for the smaller one, among the sizes that its position leaves.
     """
     num, den = bound.num, bound.den
-    live = scratch.table("live", shared.select("e", "h", "n", "at").join(roots, "h").dropDuplicates(["e", "h", "root"]))
+    # the rarest element that two partners share is within the prefix of both
+    rows = shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den)).select("e", "h", "n", "at")
+    live = scratch.table("live", rows.join(roots, "h").dropDuplicates(["e", "h", "root"]))
     open_lists = live.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("e")
     members = scratch.table("members", live.join(open_lists.hint("merge"), "e"))
     step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP)))
@@ -303,16 +325,17 @@ def similarity_classes(
         boundary = bound.boundary(small_sizes(rows))
     keys = scratch.table("keys", keyed(docs, levels, boundary, bound, width, text))
     light = scratch.table("light", light_links(keys, bound))
-    shared = shared_lists(keys, scratch)
+    shared = shared_lists(keys, bound, scratch)
+    scratch.drop("keys")
     members = shared.select("h").distinct()
     wanted = scratch.table("wanted", rows.join(members, "h").groupBy("node").agg(F.min("h").alias("h"), F.min("row").alias("row")))
     texts = scratch.table("texts", packed_texts(docs, wanted, doc_id, text))
-    pairs = scratch.table("pairs", first_pairs(shared))
+    pairs = scratch.table("pairs", first_pairs(shared, bound))
     near = scratch.table("near", compared(pairs, texts, bound, width))
     known = scratch.table("known", components(light.unionByName(near), scratch))
     roots = wanted.join(known, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
     more_pairs = scratch.table("more_pairs", further_pairs(shared, roots, pairs, boundary, bound, scratch))
-    scratch.drop("keys", "lists", "shared", "live", "members")
+    scratch.drop(f"lists-{CORE_ROUNDS}", f"shared-{CORE_ROUNDS}", "live", "members")
     more = scratch.table("more", compared(more_pairs, texts, bound, width))
     scratch.drop("texts", "wanted", "pairs", "more_pairs")
     classes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))

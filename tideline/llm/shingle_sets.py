@@ -24,8 +24,8 @@ from tideline.llm.common import U64, mix
 from tideline.llm.tokens import Words
 
 #: Buckets in which elements are counted, and the parts in which counts travel.
-BUCKETS = 1 << 22
-PARTS = 64
+BUCKETS = 1 << 21
+PARTS = 32
 #: An element's bits below its level of rarity.
 ELEMENT_BITS = 52
 #: Steps of rarity to a doubling of a count.
@@ -96,6 +96,14 @@ class Bound:
         """The rarest elements of which every partner has one at least."""
         return n - -(-self.num * n // self.den) + 1
 
+    def shared(self, n: int) -> int:
+        """How many of their ``kept`` elements a set of size n and a partner of that size or more share at least."""
+        return 1 + self.prefix(n) // 4
+
+    def kept(self, n: int) -> int:
+        """Elements that go into lists: for each one more than the prefix, one more is shared."""
+        return min(n, self.prefix(n) + self.shared(n) - 1)
+
     def subset_keys(self, n: int) -> int:
         return sum(comb(n, self.need(n, m)) for m in self.partners(n) if min(n, m) >= self.need(n, m) and (m != n or self.need(n, n) < n))
 
