@@ -230,6 +230,17 @@ def test_language_model(spark, odd, nothing):
     assert len(rows) == odd.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    seen = []
+    for n in (1, 8, 32):
+        dealt = docs.repartition(n)
+        out = maxent_lm.score(dealt, maxent_lm.fit(dealt)).toPandas().sort_values("doc_id")
+        seen.append(out.score.to_numpy())
+        assert (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum() > 0.36
+    assert max(abs(seen[0] - seen[1]).max(), abs(seen[0] - seen[2]).max()) < 1e-4 and (abs(seen[0] - seen[2]) / -seen[0]).max() < 1e-6
+
+
 def test_repeated_passages(spark, odd, nothing):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))

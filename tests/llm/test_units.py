@@ -258,13 +258,75 @@ def test_network_learns_two_languages():
     assert (net.logits(x[200:], net.pair_tables()).argmax(1) == y[200:]).mean() > 0.95
 
 
-def test_class_probabilities_sum_to_one():
-    z = maxent_lm.class_logits(np.random.default_rng(0).normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32), np.array([[0, maxent_lm.FIDS, 2 * maxent_lm.FIDS, 3 * maxent_lm.FIDS]]))
-    p = np.exp(z - z.max())
-    assert abs((p / p.sum()).sum() - 1) < 1e-6
-    fids = np.array([1, 2, 3, 4, 5])
-    rows = maxent_lm.contexts(fids, np.array([2, 3]))
-    assert rows[0, 0] == maxent_lm.START and rows[2, 0] == maxent_lm.START and rows[3, 0] == 3 and rows[4, 1] == maxent_lm.FIDS + 3
+def plain_net(seed: int = 0) -> maxent_lm.Net:
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(maxent_lm.SYMBOLS)
+    of_class, slot = np.empty_like(order), np.empty_like(order)
+    of_class[order], slot[order] = np.divmod(np.arange(maxent_lm.SYMBOLS), maxent_lm.SLOTS)
+    draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    net = maxent_lm.Net(of_class, slot, draw(maxent_lm.CLASSES), draw(maxent_lm.CLASSES, maxent_lm.SLOTS), 64, draw(0, 1), draw(128, maxent_lm.SLOTS))
+    net.weights = draw(net.class_rows, maxent_lm.CLASSES)
+    return net
+
+
+def test_features_of_the_words_before():
+    net = plain_net()
+    symbols, fresh = np.array([1, 2, 3, 4, 5, 6, 7], np.uint16), maxent_lm.fresh_of(np.array([2, 1, 4]))
+    assert fresh.tolist() == [True, False, True, True, False, False, False]
+    start, step = maxent_lm.START, maxent_lm.SYMBOLS + 1
+    outer, _ = net.rows(symbols, fresh, 0, 7)
+    assert outer[0].tolist() == [start, 1, start, start, 4, 5, 6]
+    assert (outer[1] - step).tolist() == [start, start, start, start, start, 4, 5]
+    assert (outer[2] - 2 * step).tolist() == [start] * 6 + [4]
+    for a in range(7):
+        for whole, part in zip(net.rows(symbols, fresh, 0, 7), net.rows(symbols, fresh, a, 7)):
+            assert np.array_equal(whole[:, a:], part)
+
+
+def test_log_probability_equals_a_dense_softmax():
+    net, rng = plain_net(1), np.random.default_rng(2)
+    symbols, fresh = rng.integers(0, maxent_lm.SYMBOLS, 60).astype(np.uint16), maxent_lm.fresh_of(np.array([25, 1, 34]))
+    got = net.log_probability(symbols, fresh)
+    outer, _ = net.rows(symbols, fresh, 0, 60)
+    for i in (0, 1, 2, 30, 59):
+        z = net.weights[outer[:, i]].astype(np.float64).sum(axis=0) + net.prior
+        log_class = z - np.log(np.exp(z).sum())
+        total = 0.0
+        for c in range(maxent_lm.CLASSES):
+            member = np.flatnonzero(net.of_class == c)
+            here = symbols.copy()
+            here[i] = member[0]
+            _, inner = net.rows(here, fresh, i, i + 1)
+            y = net.inner[inner[:, 0]].astype(np.float64).sum(axis=0) + net.inner_prior[c]
+            log_slot = y - np.log(np.exp(y).sum())
+            total += np.exp(log_class[c] + log_slot[net.slot[member]]).sum()
+            if c == net.of_class[symbols[i]]:
+                assert math.isclose(got[i], log_class[c] + log_slot[net.slot[symbols[i]]], abs_tol=1e-4)
+        assert math.isclose(total, 1, abs_tol=1e-9)
+
+
+def test_gradient_is_the_slope_of_the_log_probability():
+    net, rng = plain_net(3), np.random.default_rng(4)
+    symbols, fresh = rng.integers(0, 40, 50).astype(np.uint16), maxent_lm.fresh_of(np.array([50]))
+    sums, inner = np.zeros(net.weights.shape, np.float32), np.zeros(net.inner.shape, np.float32)
+    net.add_gradient(symbols, fresh, sums, inner)
+    for matrix, slope in ((net.weights, sums), (net.inner, inner)):
+        for at in zip(*(x[rng.permutation(len(x))[:5]] for x in np.nonzero(slope))):
+            was, said = matrix[at], []
+            for step in (-0.01, 0.01):
+                matrix[at] = was + step
+                said.append(net.log_probability(symbols, fresh).sum())
+            matrix[at] = was
+            assert math.isclose((said[1] - said[0]) / 0.02, slope[at], rel_tol=0.03, abs_tol=0.02)
+
+
+def test_subtract_by_row():
+    rng = np.random.default_rng(5)
+    rows, error = np.minimum(rng.zipf(1.5, 3000), 70) - 1, rng.normal(size=(3000, 4)).astype(np.float32)
+    got, want = np.zeros((70, 4), np.float32), np.zeros((70, 4))
+    maxent_lm.subtract_by_row(got, rows, error)
+    np.subtract.at(want, rows, error)
+    assert np.allclose(got, want, atol=1e-3)
 
 
 def test_quality_features_of_empty_texts():

@@ -1,99 +1,85 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a word is that of its class, given the words before it, times the word's share of the
-class.  Classes come from a softmax over features of the last three words: each of them (the second and
-third are skip features) and the hashed pair of the last two.  Frequent words are features of their own,
-all others are known by their shape.  Counts cover all training documents; so does the softmax, which each
-task trains by gradient steps over its own documents before the updates are averaged, feature by feature,
-on the executors.
-
-A model's size does not depend on the corpus: the most frequent words, their classes and the weights.
-Counts of all other words stay in a table, and texts are joined with it by word.
+Words are symbols: the most frequent ones each their own, all others one symbol for each shape (how they
+end).  The probability of a word is that of its symbol's class, times that of the symbol within its class,
+times the word's share of its symbol.  Both softmaxes add up weights of features of the words before it: the
+last word, the second and the third (skip features), and hashed n-grams; those within classes are hashed
+together with the class.  Shares and priors are counts over all training documents.
+
+Training is synchronous.  Texts are dealt into ROUNDS by a hash of what they say.  In each round the weights
+are broadcast, tasks add up the gradient over all their tokens, the sums are added on the executors, and one
+Adagrad step follows.  So results do not depend on how the input is split.
+
+Counts of words grow with the corpus and stay in a table that texts are joined with by word; hashed n-grams
+get more rows with the training tokens, up to a bound (``sizes_of``).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Memo, as_long, kinds_of, map_texts, slices, words_of
+from tideline.llm.common import U64, as_long, kinds_of, map_texts, mix, slices
 from tideline.llm.scratch import Scratch
+from tideline.llm.tokens import LOWERED, Words
 
 SHAPE_BITS = 10
 SHAPES = 1 << SHAPE_BITS
-#: Words that are features of their own, words whose counts travel with the model, hashed pairs.
-FEATURES = 4096
+#: Words that are symbols of their own, and words whose counts travel with the model.
+FEATURES = 3072
 KNOWN = 100_000
-PAIRS = 1 << 14
-CLASSES = 48
-#: Classes of one word each, among them the end.
-SINGLES = 16
+SYMBOLS = FEATURES + SHAPES
+CLASSES = 64
+SLOTS = SYMBOLS // CLASSES
+#: Stands before a text.
+START = SYMBOLS
 ANCHORS = 64
-BATCH = 8192
-RATE = 0.4
-END = b"\n"
-FIDS = FEATURES + SHAPES + 1
-START = FIDS - 1
+ROUNDS = 8
+RATE, DAMP = 0.7, 2.0
+BATCH = 1 << 14
+#: The end of a text, as a token.
+END_KEY = 0x1234567890ABCD << SHAPE_BITS
+#: Rows of hashed n-grams: one to so many training tokens, at least and at most.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 13, 1 << 16
 
 
-def key_of(word: bytes) -> int:
-    """A word's 64-bit key; its low bits are the word's shape, a hash of how it ends."""
-    shape = xxhash.xxh3_64_intdigest(word[-3:]) >> (64 - SHAPE_BITS)
-    key = xxhash.xxh3_64_intdigest(word) >> SHAPE_BITS << SHAPE_BITS | shape
-    return key - (1 << 64) * (key >> 63)
+def sizes_of(tokens: int) -> tuple[int, int]:
+    """Rows of n-grams in the class model, and rows of the model within classes."""
+    rows = LEAST_ROWS
+    while rows < MOST_ROWS and rows * TOKENS_A_ROW < tokens:
+        rows *= 2
+    return rows, 2 * rows
 
 
-END_KEY = key_of(END)
+def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all tokens, each text closed by the end, and the number of tokens of each text.
 
-
-def keys_of(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens, each text closed by the end, and the number of tokens of each text."""
-    flat, counts, get = [], [], memo.__getitem__
-    for t in texts:
-        before = len(flat)
-        flat.extend(map(get, words_of(t)))
-        flat.append(END_KEY)
-        counts.append(len(flat) - before)
-    return np.array(flat, np.int64), np.array(counts, np.int64)
-
-
-def summed(rows: DataFrame) -> DataFrame:
-    """Adds up (row, n, v) by row on the executors; v holds float32 values."""
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        seen: Counter = Counter()
-        for batch in batches:
-            for row, n, v in zip(*(batch.column(c).to_pylist() for c in ("row", "n", "v"))):
-                x = np.frombuffer(v, np.float32)
-                held[row] = held[row] + x if row in held else x.astype(np.float64)
-                seen[row] += n
-        keys = [*held]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([held[k].astype(np.float32).tobytes() for k in keys], pa.binary())], ["row", "n", "v"])
-
-    return rows.repartition("row").mapInArrow(add, "row int, n bigint, v binary")
-
-
-def as_rows(values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """The rows of a matrix that something was counted for."""
-    at = np.flatnonzero(n)
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64()), pa.array([x.tobytes() for x in values[at].astype(np.float32)], pa.binary())], ["row", "n", "v"])
+    A key's low bits are the word's shape, a hash of its last three bytes.
+    """
+    words = Words(column)
+    tail = np.zeros(len(words.ends), U64)
+    for i in range(3):
+        at = words.ends - 1 - i
+        tail |= np.where(at >= words.starts, LOWERED[words.raw[np.maximum(at, 0)]], 0).astype(U64) << U64(8 * i)
+    keys = (words.keys >> U64(SHAPE_BITS) << U64(SHAPE_BITS)) | (mix(tail) >> U64(64 - SHAPE_BITS))
+    counts = words.counts + 1
+    out = np.full(len(keys) + len(counts), END_KEY, np.int64)
+    out[np.arange(len(keys)) + np.repeat(np.arange(len(counts)), words.counts)] = as_long(keys)
+    return out, counts
 
 
 @dataclass
 class Vocabulary:
-    """The most frequent words, by key: their counts and features."""
+    """The most frequent words, by key: their counts and symbols."""
 
     keys: np.ndarray
     counts: np.ndarray
-    fids: np.ndarray
+    symbols: np.ndarray
 
     def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each key, and whether it is in here."""
@@ -102,141 +88,211 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
-    def features(self, keys: np.ndarray, place: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        at, known = place or self.place(keys)
-        return np.where(known, self.fids[at] if len(self.fids) else 0, FEATURES + (keys & (SHAPES - 1)))
+    def symbol(self, keys: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        shape = FEATURES + (keys & (SHAPES - 1))
+        return np.where(known, self.symbols[at], shape) if len(self.keys) else shape
 
 
-def contexts(fids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each token the rows of its features in the weight table."""
-    starts = np.cumsum(counts) - counts
-    before = []
-    for gap in (1, 2, 3):
-        x = np.full(len(fids), START, np.int64)
-        x[gap:] = fids[:-gap]
-        for i in range(gap):
-            at = starts + i
-            x[at[i < counts]] = START
-        before.append(x)
-    pair = (before[0] * 40503 + before[1] * 9973) % PAIRS
-    return np.stack([before[0], FIDS + before[1], 2 * FIDS + before[2], 3 * FIDS + pair], axis=1)
+def fresh_of(counts: np.ndarray) -> np.ndarray:
+    """Marks the first token of each text."""
+    out = np.zeros(int(counts.sum()), bool)
+    out[np.cumsum(counts) - counts] = True
+    return out
 
 
-ROWS = 3 * FIDS + PAIRS
-assert ROWS < 1 << 16  # rows are sorted as 16-bit numbers
+@dataclass
+class Net:
+    """Classes and slots of symbols, priors from counts, and the weights of both softmaxes."""
+
+    of_class: np.ndarray
+    slot: np.ndarray
+    prior: np.ndarray
+    inner_prior: np.ndarray
+    pairs: int
+    weights: np.ndarray = field(repr=False)
+    inner: np.ndarray = field(repr=False)
+
+    @property
+    def class_rows(self) -> int:
+        return 3 * (SYMBOLS + 1) + self.pairs
+
+    def rows(self, symbols: np.ndarray, fresh: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Feature rows of tokens a to b: (4, n) of the class model and (3, n) within the class of each token."""
+        lo = max(0, a - 3)
+        x, new = symbols[lo:b].astype(np.int64), fresh[lo:b]
+        before, cut = [], np.zeros(len(x), bool)
+        for gap in (1, 2, 3):
+            cut[gap - 1 :] |= new[: len(new) - gap + 1]
+            y = np.full(len(x), START, np.int64)
+            y[gap:] = x[:-gap] if gap < len(x) else x[:0]
+            y[cut] = START
+            before.append(y[a - lo :])
+        one, two, three = before
+        gram = one * (SYMBOLS + 1) + two
+        own = self.of_class[x[a - lo :]]
+        hashed = lambda v, salt, size: ((v.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(salt << 57)) >> U64(40)).astype(np.int64) % size
+        n = len(self.inner)
+        outer = np.stack([one, SYMBOLS + 1 + two, 2 * (SYMBOLS + 1) + three, 3 * (SYMBOLS + 1) + hashed(gram, 1, self.pairs)])
+        inner = np.stack([hashed(one * CLASSES + own, 2, n), hashed(two * CLASSES + own, 3, n), hashed(gram * CLASSES + own, 4, n)])
+        return outer, inner
+
+    def shares(self, symbols: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all classes, and of all slots of each token's own class."""
+        return _softmax(self.weights, outer, self.prior), _softmax(self.inner, inner, self.inner_prior[self.of_class[symbols]])
+
+    def log_probability(self, symbols: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each symbol's probability, a batch at a time."""
+        out = np.empty(len(symbols))
+        for a in range(0, len(symbols), BATCH):
+            b = min(len(symbols), a + BATCH)
+            y, at = symbols[a:b], np.arange(b - a)
+            p, q = self.shares(y, *self.rows(symbols, fresh, a, b))
+            out[a:b] = np.log(p[at, self.of_class[y]].astype(np.float64)) + np.log(q[at, self.slot[y]].astype(np.float64))
+        return out
+
+    def add_gradient(self, symbols: np.ndarray, fresh: np.ndarray, sums: np.ndarray, inner_sums: np.ndarray) -> None:
+        """Adds the gradient of the log-likelihood of all tokens to the sums."""
+        for a in range(0, len(symbols), BATCH):
+            b = min(len(symbols), a + BATCH)
+            y, at = symbols[a:b], np.arange(b - a)
+            outer, inner = self.rows(symbols, fresh, a, b)
+            p, q = self.shares(y, outer, inner)
+            p[at, self.of_class[y]] -= 1
+            q[at, self.slot[y]] -= 1
+            for total, rows, error in ((sums, outer, p), (inner_sums, inner, q)):
+                for r in rows:
+                    subtract_by_row(total, r, error)
+
+
+def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
+    z += prior
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    # no symbol is impossible
+    np.maximum(z, 1e-12, out=z)
+    return z
 
 
-def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[:, 0], axis=0)
-    for i in range(1, rows.shape[1]):
-        z += weights.take(rows[:, i], axis=0)
-    return z
+def subtract_by_row(total: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
+    """total[rows[i]] -= error[i], over runs of equal rows; long runs as products, short ones side by side."""
+    # at most 2^17 rows: sorted as numbers of 16 bits where they fit
+    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows.astype(np.uint32), kind="stable")
+    at, x = rows[order], error[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    n = np.diff(np.append(first, len(at)))
+    out = np.zeros((len(first), x.shape[1]), np.float32)
+    for k in np.flatnonzero(n > 16):
+        out[k] = x[first[k] : first[k] + n[k]].sum(axis=0, dtype=np.float64)
+    short, j = np.flatnonzero(n <= 16), 0
+    while len(short):
+        out[short] += x[first[short] + j]
+        j += 1
+        short = short[n[short] > j]
+    total[at[first]] -= out
+
+
+def balanced_classes(vectors: np.ndarray, parts: int) -> np.ndarray:
+    """Symbols in the order of their classes: halves of equal size along the main direction of what stands beside them."""
+    x = np.sqrt(vectors / np.maximum(vectors.sum(axis=1, keepdims=True), 1))
+
+    def split(idx: np.ndarray, parts: int) -> list[np.ndarray]:
+        if parts == 1:
+            return [idx]
+        y = x[idx] - x[idx].mean(axis=0)
+        v = 1 + np.arange(y.shape[1]) * 1e-3
+        for _ in range(30):
+            v = y.T @ (y @ v)
+            v /= np.linalg.norm(v) + 1e-12
+        # rounded, so that the order of sums decides nothing
+        order = idx[np.argsort(np.round(y @ v, 9), kind="stable")]
+        half = len(order) // 2
+        return split(order[:half], parts // 2) + split(order[half:], parts // 2)
+
+    return np.concatenate(split(np.arange(len(x)), parts))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Adds up (row, v) by row on the executors; v holds float32 values, n counts its parts."""
 
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, v in zip(batch.column("row").to_pylist(), batch.column("v").to_pylist()):
+                x = np.frombuffer(v, np.float32)
+                held[row] = held[row] + x if row in held else x.astype(np.float64)
+        keys = [*held]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k].astype(np.float32).tobytes() for k in keys], pa.binary())], ["row", "v"])
 
-def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct feature rows of a batch, the place of each among them, and how often each occurs."""
-    flat = rows.astype(np.uint16).ravel()
-    order = np.argsort(flat, kind="stable")
-    at = flat[order]
-    new = np.concatenate(([True], at[1:] != at[:-1]))
-    first = np.flatnonzero(new)
-    of = np.empty(len(flat), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return at[first].astype(np.int64), of, np.diff(np.append(first, len(at)))
-
-
-def train_local(weights: np.ndarray, batches: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Adagrad steps in place over (feature rows, class) of a task's tokens; the tokens seen for each row."""
-    seen = np.zeros(ROWS, np.int64)
-    squares = np.full(weights.shape, 1e-2, np.float32)
-    for rows, target in batches:
-        for i in range(0, len(rows), BATCH):
-            r, y = rows[i : i + BATCH], target[i : i + BATCH]
-            p = class_logits(weights, r)
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            at, of, n = distinct_rows(r)
-            # sums by row, class by class: row counts differ too much for sums over runs to be fast
-            q = np.ascontiguousarray(p.T)
-            g = np.empty((len(at), p.shape[1]), np.float32)
-            for k in range(p.shape[1]):
-                g[:, k] = np.bincount(of, np.repeat(q[k], r.shape[1]), len(at))
-            g /= np.sqrt(n)[:, None]
-            seen[at] += n
-            squares[at] += g * g
-            weights[at] -= RATE * g / np.sqrt(squares[at])
-    return seen
-
-
-def clusters(vectors: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
-    """k-means on square roots of context shares; the heaviest rows that differ most are the first centres."""
-    total = vectors.sum(axis=1, keepdims=True)
-    x = np.sqrt(vectors / np.maximum(total, 1))
-    centres = [x[int(np.argmax(weight))]]
-    near = ((x - centres[0]) ** 2).sum(1)
-    for _ in range(k - 1):
-        centres.append(x[int(np.argmax(near * np.sqrt(weight)))])
-        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(1))
-    c = np.array(centres)
-    for _ in range(rounds):
-        of = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
-        for j in range(k):
-            w = weight * (of == j)
-            if w.sum() > 0:
-                c[j] = (w[:, None] * x).sum(0) / w.sum()
-    return of
+    return rows.repartition("row").mapInArrow(add, "row int, v binary")
+
+
+def as_rows(values: np.ndarray, shift: int = 0) -> pa.RecordBatch:
+    """The rows of a matrix that are not zero."""
+    at = np.flatnonzero(values.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at + shift, pa.int32()), pa.array([x.tobytes() for x in values[at].astype(np.float32)], pa.binary())], ["row", "v"])
+
+
+def _gather(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    values = np.zeros((size, width), np.float32)
+    for r in rows.toLocalIterator():
+        values[r["row"]] = np.frombuffer(r["v"], np.float32)
+    return values
+
+
+def _texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and first-token marks of written texts, about a million tokens at a time."""
+    for whole in batches:
+        for batch in slices(whole, "symbols", 1 << 20):
+            parts = [np.frombuffer(x, np.uint16) for x in batch.column("symbols").to_pylist()]
+            if parts:
+                yield np.concatenate(parts), fresh_of(np.array([len(x) for x in parts]))
 
 
 @dataclass
 class Model:
-    """A fitted model: ``counts`` is the table of all training words, everything else has a fixed size."""
+    """A fitted model: ``counts`` is the table of all training words, the rest is bounded."""
 
     vocabulary: Vocabulary
-    classes: np.ndarray
-    weights: np.ndarray
-    class_total: np.ndarray
+    net: Net
+    shape_total: np.ndarray
     train_tokens: int
     train_words: int
     counts: DataFrame
     scratch: Scratch
 
 
-def _over_tokens(docs: DataFrame, fn: Callable, text: str) -> DataFrame:
-    return summed(map_texts(docs, fn, "row int, n bigint, v binary", text=F.col(text)))
-
-
-def _gather(rows: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    values, seen = np.zeros((size, width), np.float32), np.zeros(size, np.int64)
-    for r in rows.toLocalIterator():
-        values[r["row"]] = np.frombuffer(r["v"], np.float32)
-        seen[r["row"]] = r["n"]
-    return values, seen
-
-
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, n) of every token of all documents, each task's counts combined before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = [*seen]
-            keys = np.fromiter(map(key_of, words), np.int64, len(words))
-            rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*seen.values()], pa.int64())], ["key", "n"])
-            seen.clear()
-            return rows
-
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new, waiting = [], 0
+
+        def merge() -> None:
+            nonlocal keys, n, waiting
+            k, c = np.unique(np.concatenate(new), return_counts=True)
+            both, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n, c]), len(both)).astype(np.int64)
+            keys, waiting = both, 0
+            new.clear()
+
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
         for whole in batches:
             for batch in slices(whole):
-                for t in batch.column("text").to_pylist():
-                    seen.update(words_of(t))
-                seen[END] += batch.num_rows
-                if len(seen) > 400_000:
-                    yield out()
-        if seen:
-            yield out()
+                new.append(token_keys(batch.column("text"))[0])
+                waiting += len(new[-1])
+                if waiting > 1 << 20:
+                    merge()
+                    if len(keys) > 1 << 20:
+                        yield rows()
+                        keys, n = keys[:0], n[:0]
+        if new:
+            merge()
+        yield rows()
 
     return map_texts(docs, run, "key bigint, n bigint", text=F.col(text)).groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -249,118 +305,134 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the known words come as one bounded, ordered list, most frequent first
     top = [(r["key"], r["n"]) for r in counts.orderBy(F.desc("n"), "key").limit(KNOWN).collect()]
-    if END_KEY not in {k for k, _ in top}:
-        top += [(r["key"], r["n"]) for r in counts.where(F.col("key") == END_KEY).collect()]
-    keys = np.array([k for k, _ in top], np.int64)
-    n = np.array([n for _, n in top], np.int64)
+    keys, n = (np.array([t[i] for t in top], np.int64) for i in (0, 1))
     rank = np.arange(len(keys))
-    fids = np.where(rank < FEATURES, rank, FEATURES + (keys & (SHAPES - 1)))
+    symbols = np.where(rank < FEATURES, rank, FEATURES + (keys & (SHAPES - 1)))
     order = np.argsort(keys)
-    vocabulary = Vocabulary(keys[order], n[order], fids[order])
-    shared = spark.sparkContext.broadcast(vocabulary)
+    vocabulary = Vocabulary(keys[order], n[order], symbols[order])
 
-    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(key_of, 300_000)
-        table = np.zeros(FIDS * 2 * ANCHORS, np.int64)
-        seen = np.zeros(FIDS, np.int64)
-        for whole in batches:
-            for batch in slices(whole):
-                keys, counts = keys_of(batch.column("text").to_pylist(), memo)
-                fids = shared.value.features(keys)
-                seen += np.bincount(fids, minlength=FIDS)
-                inner = np.ones(len(keys), bool)
-                inner[np.cumsum(counts) - 1] = False
-                a, b = fids[:-1][inner[:-1]], fids[1:][inner[:-1]]
-                for of, by, shift in ((a, b, 0), (b, a, ANCHORS)):
-                    live = by < ANCHORS
-                    table += np.bincount(of[live] * (2 * ANCHORS) + by[live] + shift, minlength=len(table))
-        yield as_rows(table.reshape(FIDS, -1), seen)
-
-    vectors, weight = _gather(_over_tokens(docs, neighbours, text), FIDS, 2 * ANCHORS)
-    classes = SINGLES + clusters(vectors.astype(np.float64), weight.astype(np.float64), CLASSES - SINGLES)
-    classes[: SINGLES - 1] = np.arange(SINGLES - 1)
-    at, known = vocabulary.place(np.array([END_KEY]))
-    if known[0] and vocabulary.fids[at[0]] < FEATURES:
-        classes[vocabulary.fids[at[0]]] = SINGLES - 1
-
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(key_of, 300_000)
-        weights = np.zeros((ROWS, CLASSES), np.float32)
-
-        def tokens() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for whole in batches:
-                for batch in slices(whole, limit=1 << 20):
-                    keys, counts = keys_of(batch.column("text").to_pylist(), memo)
-                    fids = shared.value.features(keys)
-                    yield contexts(fids, counts), classes[fids]
-
-        seen = train_local(weights, tokens())
-        yield as_rows(weights * seen[:, None], seen)
-
-    updates, seen = _gather(_over_tokens(docs, learn, text), ROWS, CLASSES)
-    weights = updates / np.maximum(seen, 1)[:, None]
-
-    # words and tokens of each class: known words here, the rest by shape from the table
-    fid_class = classes[vocabulary.fids] if len(top) else np.zeros(0, np.int64)
-    tokens = np.zeros(CLASSES) + np.bincount(fid_class, vocabulary.counts, CLASSES)
-    words = np.bincount(fid_class, minlength=CLASSES).astype(float)
+    # tokens and words of each shape that are not symbols of their own
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in counts.groupBy(F.col("key").bitwiseAND(F.lit(SHAPES - 1)).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         shape_n[r["shape"]], shape_v[r["shape"]] = r["n"], r["v"]
-    if len(top):
-        shape_n -= np.bincount(vocabulary.keys & (SHAPES - 1), vocabulary.counts, SHAPES)
-        shape_v -= np.bincount(vocabulary.keys & (SHAPES - 1), minlength=SHAPES)
-    of_shape = classes[FEATURES : FEATURES + SHAPES]
-    tokens += np.bincount(of_shape, shape_n, CLASSES)
-    words += np.bincount(of_shape, shape_v, CLASSES)
-    return Model(vocabulary, classes, weights.astype(np.float32), tokens + 0.5 * (words + 1), int(total[0]), int(total[1]), counts, scratch)
+    own = keys[:FEATURES] & (SHAPES - 1)
+    shape_n -= np.bincount(own, n[:FEATURES], SHAPES)
+    shape_v -= np.bincount(own, minlength=SHAPES)
+    weight = np.zeros(SYMBOLS)
+    weight[: min(len(n), FEATURES)] = n[:FEATURES]
+    weight[FEATURES:] = shape_n
+
+    texts = symbol_table(docs, vocabulary, text, scratch)
+    net = blank_net(texts, weight, int(total[0]))
+    train(spark, [texts.where(F.col("round") == k) for k in range(ROUNDS)], net)
+    scratch.drop("symbols")
+    return Model(vocabulary, net, shape_n + 0.5 * (shape_v + 1), int(total[0]), int(total[1]), counts, scratch)
+
+
+def symbol_table(docs: DataFrame, vocabulary: Vocabulary, text: str, scratch: Scratch) -> DataFrame:
+    """(round, symbols): each text as symbols of 16 bits; its round depends on the text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                keys, counts = token_keys(batch.column("text"))
+                symbols = shared.value.symbol(keys, *shared.value.place(keys)).astype(np.uint16)
+                ends = np.cumsum(counts).tolist()
+                packed = [symbols[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(packed, pa.binary())], ["round", "symbols"])
+
+    dealt = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(ROUNDS)).cast("int")
+    return scratch.table("symbols", map_texts(docs, run, "round int, symbols binary", round=dealt, text=F.col(text)), "round")
+
+
+def blank_net(texts: DataFrame, weight: np.ndarray, tokens: int) -> Net:
+    """Classes from what stands beside each symbol, priors from ``weight``, and weights of zero."""
+
+    def beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SYMBOLS * 2 * ANCHORS, np.int64)
+        for symbols, fresh in _texts_of(batches):
+            inner = ~fresh[1:]
+            a, b = symbols[:-1][inner].astype(np.int64), symbols[1:][inner].astype(np.int64)
+            for of, by, shift in ((a, b, 0), (b, a, ANCHORS)):
+                live = by < ANCHORS
+                table += np.bincount(of[live] * (2 * ANCHORS) + by[live] + shift, minlength=len(table))
+        yield as_rows(table.reshape(SYMBOLS, -1))
+
+    vectors = _gather(summed(texts.select("symbols").mapInArrow(beside, "row int, v binary")), SYMBOLS, 2 * ANCHORS)
+    order = balanced_classes(vectors.astype(np.float64), CLASSES)
+    of_class, slot = np.empty(SYMBOLS, np.int64), np.empty(SYMBOLS, np.int64)
+    of_class[order], slot[order] = np.divmod(np.arange(SYMBOLS), SLOTS)
+    smooth = weight + 0.5
+    class_n = np.bincount(of_class, smooth, CLASSES)
+    inner_prior = np.empty((CLASSES, SLOTS), np.float32)
+    inner_prior[of_class, slot] = np.log(smooth / class_n[of_class])
+    pairs, inner = sizes_of(tokens)
+    net = Net(of_class, slot, np.log(class_n / class_n.sum()).astype(np.float32), inner_prior, pairs, np.zeros((0, CLASSES), np.float32), np.zeros((inner, SLOTS), np.float32))
+    net.weights = np.zeros((net.class_rows, CLASSES), np.float32)
+    return net
+
+
+def train(spark: SparkSession, texts: list[DataFrame], net: Net) -> None:
+    """One synchronous step for each round of texts; changes the weights of ``net``."""
+    squares = np.zeros((net.class_rows + len(net.inner), CLASSES), np.float32)
+    for part in texts:
+        shared = spark.sparkContext.broadcast(net)
+
+        def gradient(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            now = shared.value
+            sums, inner = np.zeros(now.weights.shape, np.float32), np.zeros(now.inner.shape, np.float32)
+            for symbols, fresh in _texts_of(batches):
+                now.add_gradient(symbols, fresh, sums, inner)
+            yield as_rows(sums)
+            yield as_rows(inner, len(sums))
+
+        got = _gather(summed(part.select("symbols").mapInArrow(gradient, "row int, v binary")), len(squares), CLASSES)
+        squares += got * got
+        got *= RATE / (np.sqrt(squares) + DAMP)
+        net.weights = net.weights + got[: net.class_rows]
+        net.inner = net.inner + got[net.class_rows :]
+        shared.unpersist()
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
     """Scores each whole text.
 
     One row per input row: doc_id, the columns named in ``more``, n_tokens (the end included), n_known
-    (tokens that training has), train_tokens, base_score and score, both log10.  A null or empty text is an
-    end alone.  A word that training lacks counts as the one unknown word of its class.
+    (tokens that training has), train_tokens, base_score and score, both log10, and token_score, the mean of
+    score.  A null or empty text is an end alone.  Words that training lacks share what one unknown word of
+    their symbol has.
     """
     spark = docs.sparkSession
-    fixed = (model.vocabulary, model.classes, model.weights, np.log10(model.class_total))
-    shared = spark.sparkContext.broadcast(fixed)
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.net, np.log10(model.shape_total)))
     n_train, v_train = model.train_tokens, model.train_words
     kept = ("row", "doc_id", *more)
     scratch = model.scratch
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, classes, weights, log_total = shared.value
+        vocabulary, net, log_shape = shared.value
         log_count = np.log10(vocabulary.counts + 0.5)
-        memo = Memo(key_of, 300_000)
         for whole in batches:
-            for batch in slices(whole, limit=1 << 20):
-                keys, counts = keys_of(batch.column("text").to_pylist(), memo)
+            for batch in slices(whole):
+                keys, counts = token_keys(batch.column("text"))
                 at, known = vocabulary.place(keys)
-                fids = vocabulary.features(keys, (at, known))
-                target, rows = classes[fids], contexts(fids, counts)
-                logp = np.empty(len(keys))
-                for i in range(0, len(keys), BATCH):
-                    z = class_logits(weights, rows[i : i + BATCH])
-                    top = z.max(axis=1)
-                    own = z[np.arange(len(z)), target[i : i + BATCH]]
-                    z -= top[:, None]
-                    np.exp(z, out=z)
-                    logp[i : i + BATCH] = own - top - np.log(z.sum(axis=1))
-                logp /= np.log(10)
-                part = np.where(known, log_count[at] if len(log_count) else 0.0, 0.0)
+                symbols = vocabulary.symbol(keys, at, known)
+                said = net.log_probability(symbols, fresh_of(counts)) / np.log(10)
+                part = np.where(known, log_count[at], 0.0) if len(log_count) else np.zeros(len(keys))
+                # a word of a shape has its share of the shape; the unknown part of it is added from the table
+                shaped = symbols >= FEATURES
+                said[shaped] += part[shaped] - log_shape[symbols[shaped] - FEATURES]
                 starts = np.cumsum(counts) - counts
-                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), part, logp - log_total[target])]
+                sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (known.astype(np.int64), part, said)]
                 rare, many = [], []
                 for a, b in zip(starts.tolist(), (starts + counts).tolist()):
                     k, n = np.unique(keys[a:b][~known[a:b]], return_counts=True)
-                    rare.append(as_long(k))
+                    rare.append(k)
                     many.append(n)
-                cols = [pa.array(counts), *map(pa.array, sums), pa.array(rare, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "n_tokens", "known", "part", "classes", "rare", "many"])
+                cols = [pa.array(counts, pa.int64()), *map(pa.array, sums), pa.array(rare, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "n_tokens", "known", "part", "said", "rare", "many"])
 
-    schema = f"row bigint, doc_id bigint{kinds_of(docs, more)}, n_tokens bigint, known bigint, part double, classes double, rare array<bigint>, many array<int>"
+    schema = f"row bigint, doc_id bigint{kinds_of(docs, more)}, n_tokens bigint, known bigint, part double, said double, rare array<bigint>, many array<int>"
     texts = scratch.table("texts", map_texts(docs, run, schema, row=F.monotonically_increasing_id(), doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text)))
 
     rare = texts.where(F.size("rare") > 0).select("row", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("many").alias("times"))))
@@ -370,9 +442,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.log10(n + 0.5)).alias("rest"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
     )
-    whole = F.col("part") + F.coalesce("rest", F.lit(0.0))
+    rest = F.coalesce("rest", F.lit(0.0))
     base = float(np.log10(n_train + 0.5 * (v_train + 1)))
+    score = F.col("said") + rest
     return texts.join(found, "row", "left").select(
         "doc_id", *more, "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
-        (whole - F.col("n_tokens") * base).alias("base_score"), (whole + F.col("classes")).alias("score"),
+        (F.col("part") + rest - F.col("n_tokens") * base).alias("base_score"), score.alias("score"), (score / F.col("n_tokens")).alias("token_score"),
     )
