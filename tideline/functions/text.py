@@ -12,7 +12,7 @@ from tideline import schema
 # Patterns that tell saves, shots, kickoffs and goals in an explanation.
 SAVE_WORDS = [
     "save", "saved", "stopped", "blocked by the keeper", "blocked by the goalkeeper", "parr", "catch", "punched away",
-    "tipped over", "tipped away", "pushed away", "kept out",
+    "tipped over", "tipped away", "pushed away", "kept out", "denied", "goalkeeper.*block", "keeper.*block",
 ]
 SHOT_PATTERNS = [
     r"(?:a |the )?player.{0,20}(shot|shoots|struck|fired|kicked).{0,15}(toward|towards|at|on).{0,10}goal",
@@ -26,6 +26,8 @@ KICKOFF_PATTERNS = [
     r"center\s+spot",
     r"(?:both\s+teams|each\s+team|teams\s+are)\s+.{0,30}?(?:own\s+hal(?:f|ves)|their\s+hal(?:f|ves)|respective\s+hal)",
     r"kickoff\s+(?:setup|formation|restart|position)|(?:setup|formation|position)\s+for\s+(?:the\s+)?kickoff",
+    r"(?:walking|walk|return|returning|headed|heading|moving)\s+(?:back\s+)?(?:to|toward)\s+(?:the\s+)?center\s+circle",
+    r"center\s+circle.*(?:kickoff|kick-off|kick off|restart)",
 ]
 GOAL_PATTERNS = [
     r"(?:players?|team(?:mates)?|(?:he|she|they))\s+(?:are |is |were |was |begin |start )?(?:celebrat|hugging|embracing|sliding)",
@@ -85,7 +87,7 @@ def shot_reclassified(verdicts: DataFrame) -> DataFrame:
         *(c for c in verdicts.columns if c not in ("result", "event_type", "confidence", "reasoning")),
         F.when(hit, "confirmed").otherwise(F.col("result")).alias("result"), F.when(hit, kind).otherwise(F.col("event_type")).alias("event_type"),
         F.when(hit, F.col("confidence") * 0.7).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(hit, F.concat(F.lit("RECLASSIFIED: "), F.col("reasoning"))).otherwise(F.col("reasoning")).alias("reasoning"),
+        F.when(hit, F.concat(F.lit("SHOT_RECLASS: "), F.col("reasoning"))).otherwise(F.col("reasoning")).alias("reasoning"),
     )
 
 

@@ -1,7 +1,11 @@
 """The inference rules over verdicts: what a row was, judged by what came before and after it.
 
-Each rule is a function of DataFrames and reads the rows as they were before it; ``RULE_ORDER`` at the end
-is the order in which a whole run applies them.
+Each rule is a function of DataFrames and reads the rows as they were before it; ``run_rules`` applies all
+of them in order.  Rules that ask a model again make probes (stream_id, t) and join recorded answers:
+(stream_id, phase, t, result, event_type, confidence, reasoning); a probe without an answer changes nothing.
+
+Explanations are wide and no rule between the first two and the end reads them.  So rows carry ``whys``
+instead: the texts that rules put in front, each with how much of what was said before it keeps.
 """
 
 from __future__ import annotations
@@ -9,11 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions import text
 from tideline.operators import folds
 from tideline.operators import timeline as tm
-from tideline.sources.staging import staged
+from tideline.plans import verdicts as vd
+from tideline.sources.staging import staged, unstaged
 
 SHOTS = ("shot_on_target", "shot_stop_diving")
 SAVES = ("shot_stop_diving", "shot_stop_standing", "punch", "catch")
@@ -27,6 +34,24 @@ SAVE_NEAR = 15.0
 RESTART_REACH = 90.0
 GOAL_KICK_SOON = 25.0
 MISS_REACH = (3.0, 30.0)
+SET_PIECE_GAP = (10.0, 90.0)
+CORNER_NEAR = 45.0
+CORNER_GAPS = (150.0, 600.0, 60.0, 10.0)
+CORNER_MOST = 20
+SHOT_NEAR = 10.0
+SHOT_MOST = 30
+CATCH_MOST = 25
+GOAL_CHECK_GAP = (20.0, 120.0)
+GOAL_CHECK_LEAST = 0.7
+GOAL_CHECKED = ("shot_stop_diving", "free_kick_shot", "shot_on_target")
+MIN_CONFIDENCE = 0.5
+# What rules put in front of an explanation.
+PARRY = "PARRY_INFERRED: corner_kick follows shot — GK deflected ball out. Original: "
+MISS = "RESTART_RECLASS: goal_kick follows in %.0fs (short gap = miss). Original: "
+NO_KICKOFF = "DOWNGRADED: no kickoff confirmation. Original: "
+GOAL_NEAR = "DEDUP: nearby goal takes precedence. Original: "
+CAUGHT = "CATCH_INFERRED: no restart follows shot within 60s — GK caught and distributed in open play. Original: "
+NOT_CAUGHT = "CATCH_REJECTED: VLM probe found no GK holding ball — goal_kick follows, likely miss. Original: "
 DEDUP_NEAR = 15.0
 CATCH_SKIP = {"save": 15.0, "goal": 30.0, "corner": 90.0, "kickoff": 180.0, "goal_kick": 90.0}
 
@@ -66,81 +91,196 @@ def nearest_gap(df: DataFrame, other: DataFrame, lo: float, hi: float, name: str
     return df.join(least, ["stream_id", "seq"], "left")
 
 
-def restart_reclassified(shots: DataFrame, saves: DataFrame, corners: DataFrame, goal_kicks: DataFrame) -> DataFrame:
+def restart_reclassified(shots: DataFrame, saves: DataFrame, corners: DataFrame, goal_kicks: DataFrame, keep_gap: bool = False) -> DataFrame:
     """Shots by what restarts play: a save nearby leaves them; a corner makes a parry; a goal kick soon a miss."""
     out = flagged(shots, saves, -SAVE_NEAR, SAVE_NEAR, "has_save")
     out = flagged(out, corners, 0.0, RESTART_REACH, "has_corner")
     out = nearest_gap(out, goal_kicks, 0.0, RESTART_REACH, "goal_kick_gap")
     kind = F.when(F.col("has_save"), F.col("event_type")).when(F.col("has_corner"), "shot_stop_diving").when(F.col("goal_kick_gap") < GOAL_KICK_SOON, "shot_off_target").otherwise(F.col("event_type"))
-    return out.withColumn("event_type", kind).drop("has_save", "has_corner", "goal_kick_gap")
+    return out.withColumn("event_type", kind).drop("has_save", "has_corner", *["goal_kick_gap"] * (not keep_gap))
+
+
+WHYS = "array<struct<say:string,keep:int>>"
+#: How much of an explanation stays behind a new text.
+ALL, SOME, NONE = -1, 100, 0
+
+
+def narrow(verdicts: DataFrame) -> DataFrame:
+    """Verdicts without their explanations, and with no new texts yet."""
+    return verdicts.select("stream_id", "seq", "t", "result", "event_type", "confidence", F.array().cast(WHYS).alias("whys"))
+
+
+def explained(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows with the explanations of ``verdicts``, under the texts that rules put in front."""
+    said = verdicts.select("stream_id", "seq", "reasoning")
+    put = lambda acc, w: F.concat(w["say"], F.when(w["keep"] < 0, acc).otherwise(F.substring(acc, F.lit(1), w["keep"])))
+    told = F.aggregate("whys", F.coalesce("reasoning", F.lit("")), put)
+    return rows.join(said, ["stream_id", "seq"], "left").withColumn("reasoning", F.when(F.size("whys") == 0, F.col("reasoning")).otherwise(told)).drop("whys")
+
+
+def edit(kind: Column | str, confidence: Column, say: Column, keep: int = SOME) -> list[Column]:
+    """Columns of an edit: new type and confidence, and the text that goes in front of ``keep`` characters."""
+    return [kind.alias("new_type") if isinstance(kind, Column) else F.lit(kind).alias("new_type"), confidence.alias("new_confidence"), say.alias("say"), F.lit(keep).alias("keep")]
+
+
+def edited(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rows with new type and confidence, confirmed, where ``edits`` has them (stream_id, seq and the columns of ``edit``)."""
+    hit = F.col("new_type").isNotNull()
+    why = F.array(F.struct(F.col("say"), F.col("keep").cast("int").alias("keep"))).cast(WHYS)
+    return rows.join(edits, ["stream_id", "seq"], "left").select(
+        "stream_id", "seq", "t", F.when(hit, "confirmed").otherwise(F.col("result")).alias("result"), F.coalesce("new_type", "event_type").alias("event_type"),
+        F.coalesce("new_confidence", "confidence").alias("confidence"), F.when(hit, F.concat("whys", why)).otherwise(F.col("whys")).alias("whys"),
+    )
+
+
+def at_clock(df: DataFrame, name: str = "t") -> DataFrame:
+    """With the time in whole microseconds, as ``at``, to join equal times on."""
+    return df.withColumn("at", F.round(F.col(name) * 1e6).cast("bigint"))
+
+
+def answered(probes: DataFrame, answers: DataFrame, phase: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Probes (stream_id, t, ...) with the confirmed answers of their phase: said_type, said_confidence, said."""
+    own = answers.where((F.col("phase") == phase) & (F.col("result") == "confirmed") & F.col("event_type").isNotNull())
+    if kinds:
+        own = own.where(F.col("event_type").isin(*kinds))
+    own = at_clock(own).select("stream_id", "at", F.col("event_type").alias("said_type"), F.col("confidence").alias("said_confidence"), F.coalesce("reasoning", F.lit("")).alias("said"))
+    return at_clock(probes).join(own, ["stream_id", "at"]).drop("at")
+
+
+def rescans(rows: DataFrame, verdicts: DataFrame, candidates: DataFrame, extent: DataFrame, lo: float, hi: float, offsets: tuple[float, ...]) -> DataFrame:
+    """(stream_id, t) to look at again after each row: the first candidate in the span that no verdict has, else fixed offsets.
+
+    ``candidates`` has stream_id, seq, t, ``extent`` stream_id and duration.
+    """
+    seen = at_clock(verdicts.select("stream_id", "t")).select("stream_id", "at").distinct()
+    fresh = at_clock(candidates.select("stream_id", "seq", "t")).join(seen, ["stream_id", "at"], "left_anti").drop("at")
+    found = tm.asof(rows.select("stream_id", "seq", "t"), fresh, lo, hi, F.col("r.t") - F.col("t"))
+    direct = tm.offset_probes(found.where(F.col("r").isNull()).join(extent, "stream_id"), offsets, F.col("duration"))
+    return found.where(F.col("r").isNotNull()).select("stream_id", F.col("r.t").alias("t")).unionByName(direct.select("stream_id", F.col("probe").alias("t"))).dropDuplicates(["stream_id", "t"])
+
+
+def appended(rows: DataFrame, found: DataFrame, phase: int) -> DataFrame:
+    """Rows and, as confirmed verdicts of their own, answered probes; their seq is below 0 and tells phase and time."""
+    seq = -(F.lit(phase).cast("bigint") * 10**15 + F.round(F.col("t") * 1e6).cast("bigint"))
+    new = found.select(
+        "stream_id", seq.alias("seq"), "t", F.lit("confirmed").alias("result"), F.col("said_type").alias("event_type"), F.col("said_confidence").alias("confidence"),
+        F.array(F.struct(F.col("said").alias("say"), F.lit(NONE).alias("keep"))).cast(WHYS).alias("whys"),
+    )
+    return rows.unionByName(new)
+
+
+def kickoff_probes(rows: DataFrame, candidates: DataFrame, extent: DataFrame) -> DataFrame:
+    """Where to look for kickoffs: after shots and goals that none follows; not before the first one."""
+    kickoffs = confirmed(rows, "kickoff").select("stream_id", "seq", "t")
+    first = kickoffs.groupBy("stream_id").agg(F.min("t").alias("first_t"))
+    restarts = kickoffs.join(first, "stream_id").where(F.col("t") != F.col("first_t")).drop("first_t")
+    asked = confirmed(rows, *SHOTS, "goal").join(first, "stream_id", "left").where(F.col("first_t").isNull() | (F.col("t") >= F.col("first_t"))).drop("first_t")
+    return rescans(tm.within(asked, restarts, *KICKOFF_GAP, "left_anti", True, True), rows, candidates, extent, *KICKOFF_GAP, KICKOFF_PROBES)
 
 
 def goal_inference(verdicts: DataFrame, rescored: DataFrame | None = None) -> DataFrame:
     """Shots that a kickoff follows become goals; goals without one become shots; goals too close are deduplicated.
 
     ``rescored`` has further kickoffs (stream_id, seq, t) that focused re-scoring confirmed.  The opening kickoff
-    confirms nothing, and nothing before it counts.
+    confirms nothing, and nothing before it counts.  Verdicts may have explanations or be ``narrow``.
     """
-    kickoffs = confirmed(verdicts, "kickoff").select("stream_id", "seq", "t")
+    rows = verdicts if "whys" in verdicts.columns else narrow(verdicts)
+    kickoffs = confirmed(rows, "kickoff").select("stream_id", "seq", "t")
     if rescored is not None:
         kickoffs = kickoffs.unionByName(rescored.select("stream_id", "seq", "t"))
     first = kickoffs.groupBy("stream_id").agg(F.min("t").alias("first_t"))
     restarts = kickoffs.join(first, "stream_id").where(F.col("t") != F.col("first_t")).drop("first_t")
-    rows = confirmed(verdicts, *SHOTS, "goal")
-    judged = nearest_gap(rows, restarts, *KICKOFF_GAP, "kickoff_gap").join(first, "stream_id", "left")
+    judged = nearest_gap(confirmed(rows, *SHOTS, "goal"), restarts, *KICKOFF_GAP, "kickoff_gap").join(first, "stream_id", "left")
     ok = F.col("kickoff_gap").isNotNull() & (F.col("first_t").isNull() | (F.col("t") >= F.col("first_t")))
     goal = F.col("event_type") == "goal"
-    judged = judged.withColumn("__ok", ok).select(
-        "stream_id", "seq",
-        F.when(ok & ~goal, "goal").when(~ok & goal, "shot_on_target").otherwise(F.col("event_type")).alias("new_type"),
-        F.when(ok & ~goal, F.least(F.col("confidence") + 0.1, F.lit(1.0))).when(~ok & goal, F.col("confidence") * 0.85).otherwise(F.col("confidence")).alias("new_confidence"),
-        F.when(ok & ~goal, "INFERRED GOAL").when(~ok & goal, "DOWNGRADED").alias("new_why"),
-    )
-    out = staged(_edited(verdicts, judged), "goals")
+    judged = judged.withColumn("__ok", ok)
+    rise = judged.where(F.col("__ok") & ~goal).select("stream_id", "seq", *edit(
+        "goal", F.least(F.col("confidence") + 0.1, F.lit(1.0)),
+        F.format_string("INFERRED GOAL: %s followed by kickoff %.0fs later. Original: ", F.col("event_type"), F.bround("kickoff_gap", 0)), ALL))
+    fall = judged.where(~F.col("__ok") & goal).select("stream_id", "seq", *edit("shot_on_target", F.col("confidence") * 0.85, F.lit(NO_KICKOFF), ALL))
+    out = staged(edited(rows, rise.unionByName(fall)), "goals")
     gone = folds.goal_dedup(confirmed(out, "goal"), GOAL_DEDUP)
-    lost = confirmed(out, "goal").join(gone, ["stream_id", "seq"], "left_semi").select("stream_id", "seq", F.lit("shot_on_target").alias("new_type"), (F.col("confidence") * 0.8).alias("new_confidence"), F.lit("DEDUP").alias("new_why"))
-    return _edited(out, lost)
+    lost = confirmed(out, "goal").join(gone, ["stream_id", "seq"], "left_semi").select("stream_id", "seq", *edit("shot_on_target", F.col("confidence") * 0.8, F.lit(GOAL_NEAR), ALL))
+    done = edited(out, lost)
+    return done if "whys" in verdicts.columns else explained(done, verdicts)
 
 
-def _edited(verdicts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Verdicts with new type, confidence and result (confirmed) where ``edits`` has the row; the reason is put in front."""
-    return verdicts.join(edits, ["stream_id", "seq"], "left").select(
-        *(c for c in verdicts.columns if c not in ("event_type", "confidence", "reasoning", "result")),
-        F.when(F.col("new_type").isNotNull(), "confirmed").otherwise(F.col("result")).alias("result"),
-        F.coalesce("new_type", "event_type").alias("event_type"), F.coalesce("new_confidence", "confidence").alias("confidence"),
-        F.when(F.col("new_why").isNotNull(), F.concat(F.col("new_why"), F.lit(": "), F.coalesce("reasoning", F.lit("")))).otherwise(F.col("reasoning")).alias("reasoning"),
-    )
+def set_piece_probes(rows: DataFrame, candidates: DataFrame, extent: DataFrame) -> DataFrame:
+    """Where to look for corners and goal kicks: after every shot."""
+    return rescans(confirmed(rows, *SHOTS, "shot_off_target"), rows, candidates, extent, *SET_PIECE_GAP, CORNER_PROBES)
 
 
-def shot_restart_rule(verdicts: DataFrame) -> DataFrame:
+def shot_restart_rule(rows: DataFrame) -> DataFrame:
     """``restart_reclassified`` over a verdict list."""
-    shots = confirmed(verdicts, "shot_on_target")
-    new = restart_reclassified(shots, confirmed(verdicts, *SAVES), confirmed(verdicts, "corner_kick"), confirmed(verdicts, "goal_kick"))
-    edits = new.where(F.col("event_type") != "shot_on_target").select("stream_id", "seq", F.col("event_type").alias("new_type"), F.col("confidence").alias("new_confidence"), F.lit("RESTART").alias("new_why"))
-    return _edited(verdicts, edits)
+    shots = confirmed(rows, "shot_on_target")
+    new = restart_reclassified(shots, confirmed(rows, *SAVES), confirmed(rows, "corner_kick"), confirmed(rows, "goal_kick"), keep_gap=True)
+    say = F.when(F.col("event_type") == "shot_stop_diving", PARRY).otherwise(F.format_string(MISS, F.bround("goal_kick_gap", 0)))
+    return edited(rows, new.where(F.col("event_type") != "shot_on_target").select("stream_id", "seq", *edit(F.col("event_type"), F.col("confidence"), say)))
 
 
-def reverse_restart_rule(verdicts: DataFrame) -> DataFrame:
+def corner_probes(rows: DataFrame) -> DataFrame:
+    """Where to look for corners: inside long gaps between verdicts, and at throw-ins; not near a known one, the first of a stream."""
+    least, most, step, margin = CORNER_GAPS
+    inside = tm.gap_probes(rows, least, most, step, margin, 1 << 30).select("stream_id", "t", F.lit(0).cast("bigint").alias("seq"))
+    asked = inside.unionByName(confirmed(rows, "throw_in").select("stream_id", "t", "seq"))
+    near = tm.within(asked, confirmed(rows, "corner_kick"), -CORNER_NEAR, CORNER_NEAR, "left_anti", True, True)
+    order = W.partitionBy("stream_id").orderBy("t")
+    return near.select("stream_id", "t").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CORNER_MOST).drop("rank")
+
+
+def reverse_restart_rule(rows: DataFrame) -> DataFrame:
     """A restart without a save or shot in the 30 s before it: the closest rejected row 3 to 30 s earlier was a miss at 0.6."""
-    restarts = confirmed(verdicts, "corner_kick", "goal_kick")
-    open_ = tm.within(restarts, confirmed(verdicts, *SAVES, "shot_on_target", "shot_off_target"), -30.0, 0.0, "left_anti", True, True)
+    restarts = confirmed(rows, "corner_kick", "goal_kick")
+    open_ = tm.within(restarts, confirmed(rows, *SAVES, "shot_on_target", "shot_off_target"), -30.0, 0.0, "left_anti", True, True)
     lo, hi = MISS_REACH
-    found = tm.asof(open_, verdicts.where(F.col("result") == "rejected"), -hi, -lo, F.col("t") - F.col("r.t"), "inner", True, True)
-    edits = found.select("stream_id", F.col("r.seq").alias("seq")).distinct().select("stream_id", "seq", F.lit("shot_off_target").alias("new_type"), F.lit(0.6).alias("new_confidence"), F.lit("RESTART WITHOUT SHOT").alias("new_why"))
-    return _edited(verdicts, edits)
+    found = tm.asof(open_, rows.where(F.col("result") == "rejected"), -hi, -lo, F.col("t") - F.col("r.t"), "inner", True, True)
+    # of several restarts after one row the last one is told
+    last = found.groupBy("stream_id", F.col("r.seq").alias("seq")).agg(F.max_by(F.struct("event_type", "t"), F.struct("t", F.col("seq").alias("s"))).alias("x"))
+    label = F.when(F.col("x.event_type") == "corner_kick", "blocked/deflected → corner").otherwise("missed → goal kick")
+    say = F.concat(F.lit("REVERSE_RESTART: "), label, F.lit(" at "), text.clock(F.col("x.t")), F.lit(". Original: "))
+    return edited(rows, last.select("stream_id", "seq", *edit("shot_off_target", F.lit(0.6), say)))
+
+
+def shot_probes(rows: DataFrame) -> DataFrame:
+    """Rejected rows that no confirmed one is near, spread over the time of a stream where they are too many."""
+    near = tm.within(rows.where(F.col("result") == "rejected"), confirmed(rows), -SHOT_NEAR, SHOT_NEAR, "left_anti", True, True)
+    many = near.groupBy("stream_id").agg(F.count("*").alias("n")).where(F.col("n") > SHOT_MOST).select("stream_id")
+    spread = tm.time_bins(near.join(many, "stream_id", "left_semi"), SHOT_MOST, F.desc("confidence")).drop("bin")
+    return near.join(many, "stream_id", "left_anti").unionByName(spread)
 
 
-def catch_rule(verdicts: DataFrame) -> DataFrame:
-    """Shots on target after which play simply goes on were caught: no save, goal, corner, kickoff or goal kick near."""
-    out = confirmed(verdicts, "shot_on_target")
-    near = CATCH_SKIP
-    out = flagged(out, confirmed(verdicts, *SAVES), -near["save"], near["save"], "f1")
-    out = flagged(out, confirmed(verdicts, "goal"), -near["goal"], near["goal"], "f2")
-    out = flagged(out, confirmed(verdicts, "corner_kick"), 0.0, near["corner"], "f3")
-    out = flagged(out, confirmed(verdicts, "kickoff"), 0.0, near["kickoff"], "f4")
-    out = flagged(out, confirmed(verdicts, "goal_kick"), 0.0, near["goal_kick"], "f5")
-    edits = out.where(~(F.col("f1") | F.col("f2") | F.col("f3") | F.col("f4") | F.col("f5"))).select("stream_id", "seq", F.lit("catch").alias("new_type"), (F.col("confidence") * 0.85).alias("new_confidence"), F.lit("CATCH").alias("new_why"))
-    return _edited(verdicts, edits)
+def catch_rule(rows: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Shots on target after which play simply goes on were caught.
+
+    Those with a save, a goal, a corner or a kickoff near stay.  Without a goal kick within 90 s the keeper
+    caught; with one, the answer to a probe decides (the first probes of a stream): a catch, or a miss.
+    """
+    out, near = confirmed(rows, "shot_on_target"), CATCH_SKIP
+    out = tm.within(out, confirmed(rows, *SAVES), -near["save"], near["save"], "left_anti", True, True)
+    out = tm.within(out, confirmed(rows, "goal"), -near["goal"], near["goal"], "left_anti", True, True)
+    out = tm.within(out, confirmed(rows, "corner_kick"), 0.0, near["corner"], "left_anti", True, True)
+    out = tm.within(out, confirmed(rows, "kickoff"), 0.0, near["kickoff"], "left_anti", True, True)
+    kicks = confirmed(rows, "goal_kick")
+    caught = tm.within(out, kicks, 0.0, near["goal_kick"], "left_anti", True, True).select("stream_id", "seq", *edit("catch", F.col("confidence") * 0.85, F.lit(CAUGHT)))
+    if answers is None:
+        return edited(rows, caught)
+    asked = tm.within(out, kicks, 0.0, near["goal_kick"], "left_semi", True, True)
+    asked = asked.withColumn("rank", F.row_number().over(tm.in_order())).where(F.col("rank") <= CATCH_MOST).drop("rank")
+    yes = answered(asked, answers, "catch").select("stream_id", "seq", *edit(F.col("said_type"), F.col("said_confidence"), F.col("said"), NONE))
+    no = asked.join(yes, ["stream_id", "seq"], "left_anti").select("stream_id", "seq", *edit("shot_off_target", F.col("confidence"), F.lit(NOT_CAUGHT)))
+    return edited(rows, caught.unionByName(yes).unionByName(no))
+
+
+def goal_checks(rows: DataFrame) -> DataFrame:
+    """Saves and shots that a kickoff follows: they may have been goals."""
+    return tm.within(confirmed(rows, *GOAL_CHECKED), confirmed(rows, "kickoff"), *GOAL_CHECK_GAP, "left_semi", True, True)
+
+
+def goal_check_rule(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Goals by a second model's word, from 0.7 on."""
+    sure = answered(goal_checks(rows), answers, "goal", ("goal",)).where(F.col("said_confidence") >= GOAL_CHECK_LEAST)
+    say = F.concat(F.lit("GOAL CHECK: "), F.col("said"), F.lit(". Original: "), F.col("event_type"))
+    return edited(rows, sure.select("stream_id", "seq", *edit("goal", F.col("said_confidence"), say, NONE)))
 
 
 # Ranks of types where two related events are too close, and the groups that are related.
@@ -168,16 +308,48 @@ def deduplicated(events: DataFrame, fields: list[str]) -> DataFrame:
     return folds.dedup_last(one, DEDUP_NEAR, looked_up(F.col("event_type"), RELATED), looked_up(F.col("event_type"), PRIORITY, 0), fields)
 
 
-RULE_ORDER: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
-    ("goal_inference", goal_inference),
-    ("shot_restart", shot_restart_rule),
-    ("reverse_restart", reverse_restart_rule),
-    ("catch", catch_rule),
-]
+def run_rules(verdicts: DataFrame, candidates: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """All rules in order over verdicts (stream_id, seq, t, result, event_type, confidence, reasoning).
 
-
-def run_rules(verdicts: DataFrame) -> DataFrame:
-    """All rules in order; each sees what the one before left, as a written table."""
-    for name, rule in RULE_ORDER:
-        verdicts = rule(staged(verdicts, name))
-    return verdicts
+    ``candidates`` (stream_id, seq, t) are all that might have been scored, by default none but the verdicts;
+    ``answers`` are what models said when asked again, by default nothing.  Streams last until their last
+    candidate or verdict.
+    """
+    spark = verdicts.sparkSession
+    if answers is None:
+        answers = spark.createDataFrame([], "stream_id string, phase string, t double, result string, event_type string, confidence double, reasoning string")
+    candidates = (verdicts if candidates is None else candidates).select("stream_id", "seq", "t")
+    extent = candidates.unionByName(verdicts.select("stream_id", "seq", "t")).groupBy("stream_id").agg(F.max("t").alias("duration"))
+    told = staged(text.shot_reclassified(text.save_reclassified(verdicts)), "told")
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        return appended(rows, answered(set_piece_probes(rows, candidates, extent), answers, "set_piece"), 1)
+
+    def corners(rows: DataFrame) -> DataFrame:
+        return appended(rows, answered(corner_probes(rows), answers, "corner", ("corner_kick",)), 2)
+
+    def shots(rows: DataFrame) -> DataFrame:
+        found = answered(shot_probes(rows), answers, "shot")
+        return edited(rows, found.select("stream_id", "seq", *edit(F.col("said_type"), F.col("said_confidence"), F.col("said"), NONE)))
+
+    def goals(rows: DataFrame) -> DataFrame:
+        found = answered(kickoff_probes(rows, candidates, extent), answers, "kickoff", ("kickoff",))
+        return goal_inference(rows, found.withColumn("seq", F.lit(0).cast("bigint")))
+
+    phases: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
+        ("goals", goals), ("set_pieces", pieces), ("shot_restart", shot_restart_rule), ("corners", corners), ("reverse_restart", reverse_restart_rule),
+        ("shots", shots), ("catches", lambda rows: catch_rule(rows, answers)), ("goal_checks", lambda rows: goal_check_rule(rows, answers)),
+    ]
+    rows = staged(narrow(told), "verdicts")
+    for name, phase in phases:
+        before, rows = rows, staged(phase(rows), name)
+        unstaged(before)
+    return explained(rows, told)
+
+
+def final_events(verdicts: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Events of judged verdicts, deduplicated, in the order of their times."""
+    events = vd.verdict_events(verdicts, min_confidence)
+    # a save comes before the shot that it met
+    events = events.withColumn("seq", F.col("seq") * 2 + F.col("part"))
+    return deduplicated(events, ["t", "seq", "event_type", "confidence", "reasoning", "part"]).orderBy("stream_id", "t", "seq")
