@@ -3,7 +3,7 @@
 Words are symbols: the most frequent ones each their own, all others one symbol for each shape (how they
 end).  The probability of a word is that of its symbol's class, times that of the symbol within its class,
 times the word's share of its symbol.  Both softmaxes add up weights of features of the words before it: the
-last word, the second and the third (skip features), and hashed n-grams; those within classes are hashed
+last word, the one before it (a skip feature), and the hashed n-gram of both; those within classes are hashed
 together with the class.  Shares and priors are counts over all training documents.
 
 Training is synchronous.  Texts are dealt into ROUNDS by a hash of what they say.  In each round the weights
@@ -28,24 +28,26 @@ from tideline.llm.common import U64, as_long, kinds_of, map_texts, mix, slices
 from tideline.llm.scratch import Scratch
 from tideline.llm.tokens import LOWERED, Words
 
-SHAPE_BITS = 10
+SHAPE_BITS = 9
 SHAPES = 1 << SHAPE_BITS
 #: Words that are symbols of their own, and words whose counts travel with the model.
-FEATURES = 3072
+FEATURES = 1792
 KNOWN = 100_000
 SYMBOLS = FEATURES + SHAPES
-CLASSES = 64
-SLOTS = SYMBOLS // CLASSES
+#: As many classes as symbols in each, so that both softmaxes cost the same.
+CLASSES = SLOTS = 48
+assert CLASSES * SLOTS == SYMBOLS
 #: Stands before a text.
 START = SYMBOLS
 ANCHORS = 64
 ROUNDS = 8
 RATE, DAMP = 0.7, 2.0
-BATCH = 1 << 14
+BATCH, BLOCK = 1 << 15, 1 << 11
+LONG_RUN = 16
 #: The end of a text, as a token.
 END_KEY = 0x1234567890ABCD << SHAPE_BITS
 #: Rows of hashed n-grams: one to so many training tokens, at least and at most.
-TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 13, 1 << 16
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 13, 1 << 16
 
 
 def sizes_of(tokens: int) -> tuple[int, int]:
@@ -114,82 +116,85 @@ class Net:
 
     @property
     def class_rows(self) -> int:
-        return 3 * (SYMBOLS + 1) + self.pairs
+        return 2 * (SYMBOLS + 1) + self.pairs
 
     def rows(self, symbols: np.ndarray, fresh: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Feature rows of tokens a to b: (4, n) of the class model and (3, n) within the class of each token."""
-        lo = max(0, a - 3)
-        x, new = symbols[lo:b].astype(np.int64), fresh[lo:b]
-        before, cut = [], np.zeros(len(x), bool)
-        for gap in (1, 2, 3):
-            cut[gap - 1 :] |= new[: len(new) - gap + 1]
-            y = np.full(len(x), START, np.int64)
-            y[gap:] = x[:-gap] if gap < len(x) else x[:0]
-            y[cut] = START
-            before.append(y[a - lo :])
-        one, two, three = before
-        gram = one * (SYMBOLS + 1) + two
-        own = self.of_class[x[a - lo :]]
-        hashed = lambda v, salt, size: ((v.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(salt << 57)) >> U64(40)).astype(np.int64) % size
+        """Feature rows of tokens a to b: (3, n) of the class model and (2, n) within the class of each token."""
+        lo = max(0, a - 2)
+        x, new = symbols[lo:b].astype(np.uint32), fresh[lo:b]
+        one = np.full(len(x), START, np.uint32)
+        one[1:] = x[:-1]
+        one[new] = START
+        two = np.full(len(x), START, np.uint32)
+        two[1:] = one[:-1]
+        two[new] = START
+        one, two, own = one[a - lo :], two[a - lo :], self.of_class[x[a - lo :]].astype(np.uint32)
+        gram = one * np.uint32(SYMBOLS + 1) + two
+        shift = lambda n: np.uint32(33 - n.bit_length())  # noqa: E731  numbers of rows are powers of two
+        pair = np.uint32(0x9E3779B1)
+        outer = np.stack([one, two + np.uint32(SYMBOLS + 1), (gram * pair >> shift(self.pairs)) + np.uint32(2 * (SYMBOLS + 1))])
         n = len(self.inner)
-        outer = np.stack([one, SYMBOLS + 1 + two, 2 * (SYMBOLS + 1) + three, 3 * (SYMBOLS + 1) + hashed(gram, 1, self.pairs)])
-        inner = np.stack([hashed(one * CLASSES + own, 2, n), hashed(two * CLASSES + own, 3, n), hashed(gram * CLASSES + own, 4, n)])
+        inner = np.stack([(one * np.uint32(CLASSES) + own) * pair >> shift(n), (gram * np.uint32(0x85EBCA77) ^ own * np.uint32(0xC2B2AE3D)) * pair >> shift(n)])
         return outer, inner
 
-    def shares(self, symbols: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of all classes, and of all slots of each token's own class."""
-        return _softmax(self.weights, outer, self.prior), _softmax(self.inner, inner, self.inner_prior[self.of_class[symbols]])
+    def masses(self, symbols: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For both softmaxes: e to the sum of features, the total of each row, and the column that came true."""
+        own = self.of_class[symbols]
+        yield *_masses(self.weights, outer, self.prior, None), own
+        yield *_masses(self.inner, inner, self.inner_prior, own), self.slot[symbols]
 
     def log_probability(self, symbols: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Natural logarithm of each symbol's probability, a batch at a time."""
-        out = np.empty(len(symbols))
+        out = np.zeros(len(symbols))
         for a in range(0, len(symbols), BATCH):
             b = min(len(symbols), a + BATCH)
-            y, at = symbols[a:b], np.arange(b - a)
-            p, q = self.shares(y, *self.rows(symbols, fresh, a, b))
-            out[a:b] = np.log(p[at, self.of_class[y]].astype(np.float64)) + np.log(q[at, self.slot[y]].astype(np.float64))
+            at = np.arange(b - a)
+            for mass, total, true in self.masses(symbols[a:b], *self.rows(symbols, fresh, a, b)):
+                out[a:b] += np.log(mass[at, true] / total)
         return out
 
     def add_gradient(self, symbols: np.ndarray, fresh: np.ndarray, sums: np.ndarray, inner_sums: np.ndarray) -> None:
         """Adds the gradient of the log-likelihood of all tokens to the sums."""
         for a in range(0, len(symbols), BATCH):
             b = min(len(symbols), a + BATCH)
-            y, at = symbols[a:b], np.arange(b - a)
-            outer, inner = self.rows(symbols, fresh, a, b)
-            p, q = self.shares(y, outer, inner)
-            p[at, self.of_class[y]] -= 1
-            q[at, self.slot[y]] -= 1
-            for total, rows, error in ((sums, outer, p), (inner_sums, inner, q)):
-                for r in rows:
-                    subtract_by_row(total, r, error)
-
-
-def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[0], axis=0)
-    for r in rows[1:]:
-        z += weights.take(r, axis=0)
-    z += prior
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    # no symbol is impossible
-    np.maximum(z, 1e-12, out=z)
-    return z
+            at, rows = np.arange(b - a), self.rows(symbols, fresh, a, b)
+            for into, features, (error, total, true) in zip((sums, inner_sums), rows, self.masses(symbols[a:b], *rows)):
+                error /= total[:, None]
+                error[at, true] -= 1
+                for r in features:
+                    subtract_by_row(into, r, error)
+
+
+def _masses(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray, of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """exp(prior + sum of weights) and its sum by row, in blocks that stay in the cache; beyond 60 a sum of weights counts as 60."""
+    n, width = rows.shape[1], weights.shape[1]
+    out, total, ones = np.empty((n, width), np.float32), np.empty(n, np.float32), np.ones(width, np.float32)
+    for a in range(0, n, BLOCK):
+        z = out[a : a + BLOCK]
+        np.take(weights, rows[0, a : a + BLOCK], axis=0, out=z, mode="clip")
+        for r in rows[1:]:
+            z += weights.take(r[a : a + BLOCK], axis=0)
+        z += prior if of is None else prior.take(of[a : a + BLOCK], axis=0)
+        np.clip(z, -60, 60, out=z)
+        np.exp(z, out=z)
+        np.dot(z, ones, out=total[a : a + BLOCK])
+    return out, total
 
 
 def subtract_by_row(total: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
     """total[rows[i]] -= error[i], over runs of equal rows; long runs as products, short ones side by side."""
-    # at most 2^17 rows: sorted as numbers of 16 bits where they fit
-    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows.astype(np.uint32), kind="stable")
-    at, x = rows[order], error[order]
+    # numbers of 16 bits sort fastest
+    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
+    at, x = rows[order], error.take(order, axis=0)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     n = np.diff(np.append(first, len(at)))
     out = np.zeros((len(first), x.shape[1]), np.float32)
-    for k in np.flatnonzero(n > 16):
-        out[k] = x[first[k] : first[k] + n[k]].sum(axis=0, dtype=np.float64)
-    short, j = np.flatnonzero(n <= 16), 0
+    ones = np.ones(int(n.max()), np.float32)
+    for k in np.flatnonzero(n > LONG_RUN):
+        np.dot(ones[: n[k]], x[first[k] : first[k] + n[k]], out=out[k])
+    short, j = np.flatnonzero(n <= LONG_RUN), 0
     while len(short):
-        out[short] += x[first[short] + j]
+        out[short] += x.take(first[short] + j, axis=0)
         j += 1
         short = short[n[short] > j]
     total[at[first]] -= out
