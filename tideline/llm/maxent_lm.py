@@ -242,8 +242,9 @@ def as_rows(values: np.ndarray, shift: int = 0) -> pa.RecordBatch:
 
 
 def _gather(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """Rows of a matrix whose size the model bounds, on the driver."""
     values = np.zeros((size, width), np.float32)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         values[r["row"]] = np.frombuffer(r["v"], np.float32)
     return values
 
