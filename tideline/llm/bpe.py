@@ -47,10 +47,10 @@ class Encoder:
             self.tokens[rank] = token
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[int, bool] = {}
-        self.windows: Memo = Memo(self._merge, 500_000)
-        self.pieces: Memo = Memo(self._reduce, 400_000)
-        self.chunks: Memo = Memo(self._chunk, 400_000)
+        self.pairs: Memo = Memo(self._stay)
+        self.windows: Memo = Memo(self._merge, 8 << 20)
+        self.pieces: Memo = Memo(self._reduce)
+        self.chunks: Memo = Memo(self._chunk, 32 << 20)
         self.whole = {token: rank for token, rank in ranks.items() if self._merge(token) != (rank,)}
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
@@ -68,15 +68,18 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(ranks[p] for p in parts)
 
+    def _stay(self, pair: int) -> bool:
+        a, b = divmod(pair, self.size)
+        return self._merge(self.tokens[a] + self.tokens[b]) == (a, b)
+
     def agree(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay as they are when their bytes are encoded together."""
-        key = a * self.size + b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merge(self.tokens[a] + self.tokens[b]) == (a, b)
-        return known
+        return self.pairs[a * self.size + b]
+
+    def forget(self) -> None:
+        """Empties what is remembered of texts; workers outlive their tasks."""
+        for memo in (self.pairs, self.windows, self.pieces, self.chunks):
+            memo.clear()
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's product: the encoding of the joint bytes, from the encodings of both parts."""
@@ -176,6 +179,7 @@ def encode_documents(
                     cols.append(pa.array([r[4].tolist() for r in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        enc.forget()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     return map_texts(docs, run, schema + ", ids array<int>" * keep_ids, doc_id=F.col(doc_id).cast("bigint"), text=F.col(text))

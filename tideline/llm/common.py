@@ -7,13 +7,14 @@ slices of bounded size first, so one run of very long texts never has to fit int
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -87,14 +88,20 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """``memo[key]`` computes missing values with ``fn``; emptied when it has ``limit`` entries."""
+    """``memo[key]`` computes missing values with ``fn``; emptied when it holds about ``limit`` bytes."""
 
-    def __init__(self, fn, limit: int = 400_000):
+    def __init__(self, fn, limit: int = 16 << 20):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.held = fn, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if self.held > self.limit:
             self.clear()
         value = self[key] = self.fn(key)
+        # a tuple's numbers are objects of their own
+        self.held += 100 + getsizeof(key) + getsizeof(value) + (28 * len(value) if isinstance(value, tuple) else 0)
         return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0

@@ -19,10 +19,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import kinds_of, map_texts, slices
+from tideline.llm.scratch import Scratch
 
 WIDTH = 10
 SHINGLE = 3
@@ -178,11 +180,16 @@ def contamination(
         return _one_block(docs, _rows(items), width, doc_id, text, keep_text, more)
 
     spread = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    numbered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in more.items()))
-    parts = [_hits(numbered.select("row", "doc_id", "text"), _rows(spread.where(F.col("block") == b)), width) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    scratch = Scratch(docs.sparkSession, "leaks")
+    numbered = scratch.table("rows", docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in more.items())))
+    out = None
+    for b in range(blocks):
+        # one index at a time; all rows come from the first block, further ones give those with hits
+        shared = docs.sparkSession.sparkContext.broadcast(Index(_rows(spread.where(F.col("block") == b)), width))
+        found = _hits(numbered.select("row", "doc_id", "text"), shared)
+        part = scratch.table(f"hits-{b}", found if b == 0 else found.where(F.size("hits") > 0))
+        shared.unpersist()
+        out = part if out is None else out.unionByName(part)
     merged = out.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
 
     def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +228,7 @@ def _one_block(docs: DataFrame, items: list[tuple[str, str]], width: int, doc_id
     return map_texts(docs, run, schema, doc_id=F.col(doc_id).cast("bigint"), **more, text=F.col(text))
 
 
-def _hits(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items, width))
-
+def _hits(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:

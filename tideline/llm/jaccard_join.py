@@ -328,7 +328,9 @@ def similarity_classes(
     shared = shared_lists(keys, bound, scratch)
     scratch.drop("keys")
     members = shared.select("h").distinct()
-    wanted = scratch.table("wanted", rows.join(members, "h").groupBy("node").agg(F.min("h").alias("h"), F.min("row").alias("row")))
+    # copies are combined before they meet by class
+    fetched = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("h").alias("h"), F.min("row").alias("row"))
+    wanted = scratch.table("wanted", fetched.join(members, "h"))
     texts = scratch.table("texts", packed_texts(docs, wanted, doc_id, text))
     pairs = scratch.table("pairs", first_pairs(shared, bound))
     near = scratch.table("near", compared(pairs, texts, bound, width))

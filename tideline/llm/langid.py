@@ -23,6 +23,8 @@ FILTERS = 12
 #: Bound of the training sample, in documents; each gives up to PIECES windows.
 SAMPLE = 4000
 PIECES = 3
+#: Documents that each language may give at least.
+LEAST = 20
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -140,17 +142,20 @@ class _PairView:
 def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network:
     """Trains on up to ``sample`` texts for which ``train`` holds and ``lang`` is not null.
 
-    The sample is those with the smallest hashes of their ids, the same in every run.  Of a sampled text up
-    to PIECES windows are used; scoring always covers whole texts.
+    Each language has the same part of the sample (LEAST texts if that is less): those with the smallest
+    hashes of their ids, the same in every run.  Of a sampled text up to PIECES windows are used; scoring
+    always covers whole texts.
     """
-    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = known.count()
-    if not total:
+    rank = F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid")).bitwiseAND(F.lit((1 << 62) - 1))
+    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(rank.alias("rank"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
         return Network([UNKNOWN])
-    # a share a little above the sample, cut exactly on the driver; only windows travel there
-    share = min(1.0, 1.2 * sample / total)
-    rank = F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid"))
-    pick = known.where(F.pmod(rank, F.lit(1 << 20)) <= int(share * (1 << 20))).select(rank.alias("rank"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    quota = max(LEAST, sample // len(totals))
+    # shares a little above the quota, cut exactly on the driver; only windows travel there
+    shares = [(k, int(min(1.0, 1.2 * quota / n + 1e-9) * ((1 << 62) - 1))) for k, n in totals.items()]
+    below = docs.sparkSession.createDataFrame(shares, "lang string, below bigint")
+    pick = known.join(F.broadcast(below), "lang").where(F.col("rank") <= F.col("below")).select("rank", "lang", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +169,8 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["rank", "lang", "window"])
 
     rows = sorted((r["rank"], r["lang"], bytes(r["window"])) for r in pick.mapInArrow(cut, "rank bigint, lang string, window binary").toLocalIterator())
-    rows = rows[: sample * PIECES]
+    taken: dict[str, set] = {k: set() for k in totals}
+    rows = [r for r in rows if r[0] in taken[r[1]] or (len(taken[r[1]]) < quota and not taken[r[1]].add(r[0]))]
     languages = sorted({r[1] for r in rows})
     net = Network(languages)
     x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)

@@ -39,9 +39,9 @@ RUN = re.compile(r"(.)\1+")
 
 
 def shape_of(word: str) -> str:
-    """Letters as A or a, digits as 0, runs of one sign as two of it."""
-    out = "".join("0" if c.isdigit() else c if not c.isalpha() else "A" if c.isupper() else "a" for c in word[:64])
-    return RUN.sub(r"\1\1", out)[:12]
+    """Letters as A or a, digits as 0, runs of one sign as two of it; of long shapes their signs, and how long they are."""
+    out = RUN.sub(r"\1\1", "".join("0" if c.isdigit() else c if not c.isalpha() else "A" if c.isupper() else "a" for c in word))
+    return out if len(out) <= 12 else f"{''.join(sorted({*out}))[:12]}~{len(out).bit_length()}"
 
 
 def core_of(word: str) -> str:
@@ -157,10 +157,8 @@ def train(x: np.ndarray, y: np.ndarray, vectors: Vectors, seed: int = 5) -> Mode
 
 
 def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` rows, those whose ids hash lowest; the same in every run, and cut where they are read."""
-    total = labelled.count()
-    share = min(1.0, sample / max(total, 1))
-    return labelled.where(F.pmod("rank", F.lit(1 << 20)) <= int(share * (1 << 20)))
+    """The ``sample`` rows whose ids hash lowest; the same in every run."""
+    return labelled.orderBy("rank", "label_id").limit(sample)
 
 
 def fit(
@@ -172,7 +170,7 @@ def fit(
     label: str = "quality",
     sample: int = SAMPLE,
 ) -> Model:
-    """Learns from about ``sample`` labelled documents for which ``train_rows``, a condition over ``label_id``, holds.
+    """Learns from up to ``sample`` labelled documents for which ``train_rows``, a condition over ``label_id``, holds.
 
     Rows without a label, an id or a text teach nothing; where an id has several labels the lowest counts.
     The sample bounds what is fitted, and only counts of terms, vectors and features reach the driver.
