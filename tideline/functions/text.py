@@ -91,12 +91,16 @@ def shot_reclassified(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space around it; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
 def unfenced(text: Column) -> Column:
     """An answer without code fences, a leading "json" and thinking aloud."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?s)<think>.*?</think>", "")
+    t = F.regexp_replace(stripped(text), r"(?s)<think>.*?</think>", "")
     t = F.regexp_replace(t, r"(?m)^\s*```[^\n]*$", "")
-    return F.trim(F.regexp_replace(F.trim(t), r"^json", ""))
+    return stripped(F.regexp_replace(stripped(t), r"^json", ""))
 
 
 def json_object(text: Column) -> Column:

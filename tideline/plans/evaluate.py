@@ -61,3 +61,25 @@ def best_offset(truths: DataFrame, found: DataFrame, offsets: list[float], toler
 def chance(rate: Column, tolerance: float) -> Column:
     """The share of truths that cues at ``rate`` a second meet by chance."""
     return 1 - F.exp(-rate * 2 * tolerance)
+
+
+def class_report(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """By class: tp, fp, fn, support, and precision, recall and F1 to four places; rows without either class count as classes too."""
+    pairs = confusion(df, truth, said)
+    sides = pairs.select(F.col(truth).alias("label"), (F.when(F.col(truth) == F.col(said), F.col("n")).otherwise(0)).alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.when(F.col(truth) != F.col(said), F.col("n")).otherwise(0).alias("fn"))
+    sides = sides.unionByName(pairs.where(F.col(truth) != F.col(said)).select(F.col(said).alias("label"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("fp"), F.lit(0).cast("bigint").alias("fn")))
+    s = sides.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    p, r, f1 = (F.round(c, 4) for c in prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")))
+    return s.select("label", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def overall(report: DataFrame) -> DataFrame:
+    """Accuracy, and the unweighted means over classes, of a ``class_report``."""
+    mean = lambda c: F.round(F.avg(c), 4).alias(f"macro_{c}")
+    return report.agg(F.sum("support").alias("samples"), F.sum("tp").alias("correct"), F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"), mean("precision"), mean("recall"), mean("f1"))
+
+
+def spread(swept: DataFrame, low: float = 0.3, high: float = 0.9, by: str = "event_type") -> DataFrame:
+    """How much precision grows from the low to the high threshold of a ``sweep``."""
+    at = lambda x: F.max(F.when(F.abs(F.col("threshold") - x) < 1e-9, F.col("precision")))
+    return swept.groupBy(by).agg(at(low).alias("p_low"), at(high).alias("p_high"), (at(high) - at(low)).alias("spread"))

@@ -64,3 +64,31 @@ def made_events(df: DataFrame, fps: float = 30.0) -> DataFrame:
         .withColumn("frame_start", (F.col("timestamp_start") * fps).cast("bigint")).withColumn("frame_end", (F.col("timestamp_end") * fps).cast("bigint"))
         .withColumn("reel_targets", F.coalesce("reels", F.array().cast("array<string>"))).withColumn("is_goalkeeper_event", F.coalesce("is_gk", F.lit(False)))
     )
+
+
+def boundary_events(boundaries: DataFrame, fps: float = 30.0) -> DataFrame:
+    """Events of refined boundaries (event_type, start, end, confirmed, reasoning, duration).
+
+    Unconfirmed ones, unknown types and what is empty within the video go.  The model's word counts fully.
+    """
+    known = [t[0] for t in schema.EVENT_TYPES]
+    start, end = F.greatest(F.lit(0.0), F.col("start")), F.least("duration", "end")
+    rows = boundaries.withColumn("start", start).withColumn("end", end).where(F.col("confirmed") & (F.col("end") > F.col("start")) & F.col("event_type").isin(known))
+    return (
+        rows.drop("confirmed").withColumnsRenamed({"start": "timestamp_start", "end": "timestamp_end"}).withColumn("confidence", F.lit(1.0))
+        .withColumn("reel_targets", F.array("event_type")).withColumn("is_goalkeeper_event", F.lit(False))
+        .withColumn("frame_start", (F.col("timestamp_start") * fps).cast("bigint")).withColumn("frame_end", (F.col("timestamp_end") * fps).cast("bigint"))
+    )
+
+
+def reviewed(events: DataFrame, updates: DataFrame) -> DataFrame:
+    """Rows to append to an event log for reviews: (event_id, include, confidence), either may be null.
+
+    A word on inclusion marks the event as reviewed; a confidence is cut to 0..1.  Unknown ids give no row.
+    """
+    u = updates.select("event_id", F.col("include").alias("__i"), F.col("confidence").alias("__c"))
+    new = {
+        "review_override": F.coalesce("__i", "review_override"), "reviewed": F.col("reviewed") | F.col("__i").isNotNull(),
+        "confidence": F.when(F.col("__c").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__c")))).otherwise(F.col("confidence")),
+    }
+    return events.join(u, "event_id").select(*(new.get(c, F.col(c)).alias(c) for c in events.columns))
