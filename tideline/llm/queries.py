@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, maxent_lm, pii, quality, secret_scan, substring_dedup
+from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, maxent_lm, oracle, pii, quality, secret_scan, substring_dedup
 from tideline.llm.common import in_fold, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_secrets reports of its fixed patterns alone."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_pii reports of its fixed patterns alone."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -74,6 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "secrets_base": secrets_base,
+    "personal_base": personal_base,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard": oracle.JACCARD, "op8_rules": oracle.RULES, "op10_decontaminate": oracle.DECONTAMINATE, "secrets_base": oracle.SECRETS, "personal_base": oracle.PERSONAL,
+}
