@@ -253,6 +253,93 @@ def test_repeated_passages(spark, odd, nothing):
     assert substring_dedup.repeated_passages(odd).count() == 0 and substring_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_repeated_passages_equal_a_plain_version(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    docs += [(docs[0][0], "same id, " + docs[1][1]), (None, docs[2][1]), (9_999_999, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    chunks = [(i, t, *substring_dedup.chunks_of(t)) for i, t in docs if i is not None]
+    holders: dict = {}
+    for i, _, digests, _, _ in chunks:
+        for d in digests:
+            holders.setdefault(d, set()).add(i)
+    want, texts = [], []
+    for i, t, digests, ends, words in chunks:
+        ends, starts, cut = [int(e) for e in ends], [0, *map(int, ends[:-1])], bytearray((t or "").encode())
+        run, runs = [], []
+        for k in range(len(digests) + 1):
+            if k < len(digests) and len(holders[digests[k]]) > 1:
+                run.append(k)
+            else:
+                if sum(words[x] for x in run) >= substring_dedup.MIN_WORDS:
+                    runs.append(run)
+                run = []
+        inside = [k for r in runs for k in r]
+        spare = [k for k in inside if min(holders[digests[k]]) != i]
+        for k in reversed(spare):
+            del cut[starts[k] : ends[k]]
+        texts.append((i, t if t is None else cut.decode()))
+        if inside:
+            want.append((i, len(digests), sum(len(holders[d]) > 1 for d in digests), ",".join(f"{starts[r[0]]}:{ends[r[-1]]}" for r in runs), sum(ends[k] - starts[k] for k in inside), sum(ends[k] - starts[k] for k in spare), min(min(holders[digests[k]]) for k in inside)))
+    got = [tuple(r)[:7] for r in substring_dedup.repeated_passages(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    out = substring_dedup.deduplicated(df, lang=F.lit("x"))
+    assert out.columns == ["doc_id", "lang", "text", "spare_bytes"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect()))) == sorted(map(str, texts))
+    assert out.where("doc_id is null").first()["text"] == docs[2][1]
+
+
+def plain_quality(text, vectors):
+    """The features of a text, word by word."""
+    words = (text or "").split()
+    rows = [vectors.rows(w) for w in words]
+    means = [sum(vectors.table[r[k]].astype(float) for r in rows) / len(rows) if rows else [0.0] * quality.DIM for k in (0, 1)]
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    n = len(words)
+    return [*means[0], *means[1], math.log1p(n) / 8, len({*words}) / n if n else 0, 1 - len({*lines}) / len(lines) if lines else 0, sum(a == b for a, b in zip(words, words[1:])) / n if n else 0, min(len(text or "") / n, 40) / 10 if n else 0]
+
+
+def test_quality_scores_equal_a_plain_network(spark, odd):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.fit(docs, labels, ~in_fold(F.col("label_id"), 3, 1))
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = {(r["doc_id"], r["text"]): r for r in quality.score(both, model, keep_text=True).collect()}
+    a, b, c, d = (p.astype(float) for p in model.layers)
+    for r in both.collect():
+        x = [(v - m) / s for v, m, s in zip(plain_quality(r["text"], model.vectors), model.mean.tolist(), model.scale.tolist())]
+        hidden = [max(0.0, sum(v * w for v, w in zip(x, a[:, j])) + b[j]) for j in range(len(b))]
+        z = (sum(h * w for h, w in zip(hidden, c[:, 0])) + d[0]) / model.temperature
+        row = got[r["doc_id"], r["text"]]
+        assert abs(row["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-3 and row["predicted"] == (row["score"] >= 0.5)
+
+
+def test_language_scores_equal_a_plain_network(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = langid.fit(docs, ~in_fold(F.col("doc_id"), 4, 2))
+    some = docs.orderBy(F.length("text"), "doc_id").limit(25)
+    got = {r["doc_id"]: r for r in langid.predict(some, net).collect()}
+    for r in some.collect():
+        raw = r["text"].encode()
+        if not any(map(str.isalpha, r["text"])):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        total = [0.0] * len(net.languages)
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            window = part.ljust(langid.WINDOW)
+            hidden = []
+            for w in langid.WIDTHS:
+                for f in range(langid.FILTERS):
+                    top = max(sum(float(net.filters[w][k, window[i + k], f]) for k in range(w)) for i in range(langid.WINDOW - w + 1))
+                    hidden.append(max(0.0, top + float(net.bias[w][f])))
+            z = [sum(h * float(net.out[j, k]) for j, h in enumerate(hidden)) + float(net.out_bias[k]) for k in range(len(net.languages))]
+            top = max(z)
+            norm = top + math.log(sum(math.exp(v - top) for v in z))
+            total = [t + (v - norm) * len(part) / len(raw) for t, v in zip(total, z)]
+        best = max(range(len(total)), key=total.__getitem__)
+        assert got[r["doc_id"]]["lang_pred"] == net.languages[best]
+        assert abs(got[r["doc_id"]]["score"] - math.exp(total[best]) / sum(map(math.exp, total))) < 1e-3
+
+
 def test_near_duplicate_stage_removes_rows_not_ids(spark, nothing):
     import corpus_pipeline as cp
 

@@ -46,7 +46,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A gear hash runs over the bytes of a text and is read at the ends of words; of every SPAN neighbouring ends
 the one with the least hash (the last of equals) ends a chunk.  The hash only depends on the last 16 bytes,
 so the same passage is cut at the same places wherever it stands, and text inserted before it shifts nothing.
-Stretches without a cut are divided at fixed distances from the last.
+Stretches without a cut are divided at fixed distances from the last, at the start of a character.
 
 No passage of over 50 words is missed.  The hash at an end is the passage's own after 16 bytes, at most 8
 words in; a cut there is the same in all copies once the SPAN - 1 ends on both its sides are too.  So cuts
@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_long, map_texts, slices
+from tideline.llm.common import as_long, kinds_of, map_texts, slices
 from tideline.llm.scratch import Scratch
 
 #: Ends of words of which one ends a chunk: chunks have 4.5 words on average, and SPAN at most.
@@ -78,7 +78,12 @@ def cut_ends(raw: np.ndarray) -> np.ndarray:
             parts.append([e])
             last = e
         ends = np.concatenate(parts).astype(np.int64)
-    return ends
+    # no cut inside a character
+    for _ in range(3):
+        inside = np.flatnonzero(raw[np.minimum(ends, n - 1)] & 0xC0 == 0x80)
+        inside = inside[ends[inside] < n]
+        ends[inside] -= 1
+    return np.unique(ends)
 
 
 def chunks_of(text: str | None) -> tuple[list[int], np.ndarray, list[int]]:
@@ -102,14 +107,40 @@ def passages(repeated: np.ndarray, words: np.ndarray, min_words: int) -> list[tu
     return [(i, j) for i, j in edges.tolist() if held[j] - held[i] >= min_words]
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text))
+
+
+def runs_of(chunks: list[int], starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Byte ranges of chunks, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for i in chunks:
+        if out and out[-1][1] == starts[i]:
+            out[-1] = (out[-1][0], ends[i])
+        else:
+            out.append((starts[i], ends[i]))
+    return out
+
+
+def without(text: str, spare: str) -> str:
+    """A text without the byte ranges that ``spare`` lists; cuts are at ends of words, so no character is split."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for said in spare.split(","):
+        a, b = map(int, said.split(":"))
+        out.append(raw[at:a])
+        at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that share passages with others.
 
     One row per document with a passage: doc_id, n_chunks, n_repeated (chunks that other documents hold),
     passages (start:end in bytes, comma-joined), passage_bytes, spare_bytes (of chunks in passages whose
-    first holder is another document: what deduplication removes) and first_doc (the smallest doc_id that
-    holds a chunk of its passages).  Null, empty and short texts have none.  Rows that share a doc_id count as one
-    document; rows without one are left out, for nothing could name them.
+    first holder is another document: what deduplication removes), first_doc (the smallest doc_id that
+    holds a chunk of its passages), spare (the bytes that go, as start:end, comma-joined) and row (a key of id
+    and text).  Null, empty and short texts have none.  Rows that share a doc_id count as one document; rows
+    without one are left out, for nothing could name them.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
 
@@ -123,10 +154,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
                     ends.append(e)
                     words.append(w)
                 cols = [pa.array(digests, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "digests", "ends", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "digests", "ends", "words"])
 
     named = docs.where(F.col(doc_id).isNotNull())
-    chunked = scratch.table("chunks", map_texts(named, run, "doc_id bigint, digests array<bigint>, ends array<int>, words array<int>", doc_id=F.col(doc_id).cast("bigint"), text=F.col(text)))
+    chunked = scratch.table("chunks", map_texts(named, run, "doc_id bigint, row bigint, digests array<bigint>, ends array<int>, words array<int>", doc_id=F.col(doc_id).cast("bigint"), row=row_key(doc_id, text), text=F.col(text)))
     held = chunked.select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
     known = scratch.table("known", held.join(shared, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first")).alias("known")))
@@ -134,7 +165,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, digests, ends, words, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digests", "ends", "words", "known"))):
+            for doc, row, digests, ends, words, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "digests", "ends", "words", "known"))):
                 first = {x["digest"]: x["first"] for x in known}
                 repeated = np.array([d in first for d in digests], bool)
                 found = passages(repeated, np.array(words), min_words)
@@ -142,12 +173,34 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
                     continue
                 starts = [0, *ends[:-1]]
                 inside = [i for a, b in found for i in range(a, b)]
+                spare = [i for i in inside if first[digests[i]] != doc]
+                cuts = runs_of(spare, starts, ends)
                 rows.append((
                     doc, len(digests), int(repeated.sum()), ",".join(f"{starts[a]}:{ends[b - 1]}" for a, b in found),
-                    sum(ends[i] - starts[i] for i in inside), sum(ends[i] - starts[i] for i in inside if first[digests[i]] != doc), min(first[digests[i]] for i in inside),
+                    sum(ends[i] - starts[i] for i in inside), sum(ends[i] - starts[i] for i in spare), min(first[digests[i]] for i in inside), ",".join(f"{a}:{b}" for a, b in cuts), row,
                 ))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_chunks", "n_repeated", "passages", "passage_bytes", "spare_bytes", "first_doc"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_chunks", "n_repeated", "passages", "passage_bytes", "spare_bytes", "first_doc", "spare", "row"])
 
-    schema = "doc_id bigint, n_chunks bigint, n_repeated bigint, passages string, passage_bytes bigint, spare_bytes bigint, first_doc bigint"
+    schema = "doc_id bigint, n_chunks bigint, n_repeated bigint, passages string, passage_bytes bigint, spare_bytes bigint, first_doc bigint, spare string, row bigint"
     return chunked.join(known, "doc_id").mapInArrow(judge, schema)
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+    """All rows, each text without the passages that another document holds first.
+
+    One row per input row: doc_id, the columns named in ``more``, text and spare_bytes (0 where nothing went).
+    """
+    found = repeated_passages(docs, min_words, doc_id, text).where(F.col("spare") != "").groupBy(F.col("row").alias("key")).agg(F.first("spare").alias("spare"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *(c.alias(k) for k, c in more.items()), F.col(text).alias("text"), row_key(doc_id, text).alias("key")).join(found, "key", "left")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                texts = batch.column("text").to_pylist()
+                new = [t if s is None or t is None else without(t, s) for t, s in zip(texts, batch.column("spare").to_pylist())]
+                gone = [0 if t is None or t is n else len(t.encode("utf-8", "surrogatepass")) - len(n.encode("utf-8", "surrogatepass")) for t, n in zip(texts, new)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(new, pa.string()), pa.array(gone, pa.int64())], [*kept, "text", "spare_bytes"])
+
+    kept = ("doc_id", *more)
+    return rows.select(*kept, "text", "spare").mapInArrow(cut, f"doc_id bigint{kinds_of(docs, more)}, text string, spare_bytes bigint")
