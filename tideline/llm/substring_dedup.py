@@ -74,7 +74,7 @@ def cut_ends(raw: np.ndarray) -> np.ndarray:
     if gaps.max() > LONGEST:
         parts, last = [], 0
         for e in ends.tolist():
-            parts.append(np.arange(last + LONGEST, e, LONGEST))
+            parts.append(np.arange(last + LONGEST - 3, e, LONGEST - 3))
             parts.append([e])
             last = e
         ends = np.concatenate(parts).astype(np.int64)
