@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.operators.timeline import sessions
+from tideline.operators.timeline import numbered, sessions
 
 Step = Callable[[Column, Column], Column]
 
@@ -208,11 +208,13 @@ def greedy_match(truths: DataFrame, found: DataFrame, tolerance: float, by: tupl
 def nearest_chain(points: DataFrame, max_speed: float, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """One point a frame: the nearest that the last choice could reach at ``max_speed``, else the most confident.
 
-    ``points`` has t, seq, x, y, confidence; frames are equal times.
+    ``points`` has t, seq, x, y, confidence; frames are equal times.  A frame of one point leaves no choice,
+    so a chain is cut before each of them and only the stretch up to the next is folded.
     """
     frame = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("nc"), "seq", "x", "y")))
-    frames = points.groupBy(*by, "t").agg(frame.alias("cands"))
-    grouped = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "cands"))).alias("frames"))
+    frames = points.groupBy(*by, "t").agg(frame.alias("cands")).withColumn("seq", F.lit(0))
+    cut = numbered(frames, F.size("cands") == 1, lambda _, sure: sure, by, "stretch")
+    grouped = cut.groupBy(*by, "stretch").agg(F.array_sort(F.collect_list(F.struct("t", "cands"))).alias("frames"))
 
     def step(chain: Column, f: Column) -> Column:
         a, top = _last(chain), F.element_at(f["cands"], 1)

@@ -7,11 +7,16 @@ long stream is dealt to many tasks and no nested loop arises.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORDER = ("t", "seq")
+#: Seconds of a stream that one task looks at when groups of neighbours are numbered.
+BUCKET = 900.0
 
 
 def in_order(*by: str):
@@ -84,19 +89,37 @@ def nearest(tolerance: float, left: DataFrame, right: DataFrame, strict: bool =
     return asof(left, right, -tolerance, tolerance, F.abs(F.col("r.t") - F.col("t")), how, strict, strict)
 
 
+def numbered(df: DataFrame, value: Column, new: Callable[[Column, Column], Column], by: tuple[str, ...], name: str) -> DataFrame:
+    """Numbers groups of neighbouring rows; ``new(before, value)`` says where one begins, before being null at the start.
+
+    Streams are cut into stretches of BUCKET seconds, which are looked at apart; only how each stretch begins,
+    ends and counts goes through a window over the whole stream.  So a long stream is dealt to many tasks.
+    """
+    keys = [*by, "__nb_b"]
+    w = W.partitionBy(*keys).orderBy(*ORDER)
+    rows = df.withColumn("__nb_v", F.struct(value.alias("v"))).withColumn("__nb_b", F.floor(F.col("t") / BUCKET)).withColumn("__nb_p", F.lag("__nb_v").over(w))
+    begins = lambda before: F.coalesce(new(before["v"], F.col("__nb_v.v")), F.lit(False)).cast("int")
+    rows = rows.withColumn("__nb_n", F.when(F.col("__nb_p").isNull(), 0).otherwise(begins(F.col("__nb_p"))))
+    at = F.struct(*ORDER)
+    ends = rows.groupBy(*keys).agg(F.min_by("__nb_v", at).alias("__nb_v"), F.max_by("__nb_v", at).alias("__nb_last"), F.sum("__nb_n").alias("__nb_inner"))
+    stream = W.partitionBy(*by).orderBy("__nb_b")
+    ends = ends.withColumn("__nb_before", F.lag("__nb_last").over(stream)).withColumn("__nb_first", begins(F.col("__nb_before")))
+    ends = ends.withColumn("__nb_from", F.sum(F.col("__nb_inner") + F.col("__nb_first")).over(stream.rowsBetween(W.unboundedPreceding, 0)) - F.col("__nb_inner"))
+    known = ends.select(*(F.col(k).alias(f"__nb_k{i}") for i, k in enumerate(keys)), "__nb_from")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__nb_k{i}")) for i, k in enumerate(keys)))
+    counted = rows.withColumn("__nb_n", F.sum("__nb_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    out = counted.join(known, same).withColumn(name, F.col("__nb_from") + F.col("__nb_n"))
+    return out.drop("__nb_v", "__nb_b", "__nb_p", "__nb_n", "__nb_from", *(f"__nb_k{i}" for i in range(len(keys))))
+
+
 def sessions(df: DataFrame, gap: float, *by: str, name: str = "session") -> DataFrame:
     """Numbers groups whose neighbours are at most ``gap`` apart."""
-    w = in_order(*by)
-    new = (F.col("t") - F.lag("t").over(w) > gap).cast("int")
-    return df.withColumn(name, F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered(df, F.col("t"), lambda before, t: t - before > gap, by or ("stream_id",), name)
 
 
 def islands(df: DataFrame, flag: Column, *by: str, name: str = "island") -> DataFrame:
     """Numbers runs of equal ``flag`` values in time order."""
-    w = in_order(*by)
-    marked = df.withColumn("__f", flag)
-    new = (~F.col("__f").eqNullSafe(F.lag("__f").over(w))).cast("int")
-    return marked.withColumn("__n", new).withColumn(name, F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__n", "__f")
+    return numbered(df, flag, lambda before, f: ~f.eqNullSafe(before), by or ("stream_id",), name)
 
 
 def runs_above(df: DataFrame, value: Column, threshold: Column, *by: str) -> DataFrame:

@@ -19,18 +19,36 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(F.sort_array(values), (F.least(F.floor(n * p).cast("int"), n - 1) + 1))
 
 
+def ranked_value(rows: DataFrame, value: str, p: float, *by: str, name: str, bins: int = 1024) -> DataFrame:
+    """The same of a column by group, without collecting a group: nulls do not count.
+
+    A histogram of the group says in which bin the value is; only that bin is put in order.
+    """
+    by = by or ("stream_id",)
+    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    ends = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    span = F.col("hi") - F.col("lo")
+    binned = v.join(ends, [*by]).withColumn("bin", F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0)))
+    w = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    held = binned.groupBy(*by, "bin").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("upto", F.sum("held").over(w))
+    rank = F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    here = held.where((F.col("upto") > rank) & (F.col("upto") - F.col("held") <= rank)).select(*by, "bin", (rank - F.col("upto") + F.col("held") + 1).alias("place"))
+    ordered = binned.join(here, [*by, "bin"]).withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("v")))
+    return ordered.where(F.col("r") == F.col("place")).select(*by, F.col("v").alias(name))
+
+
 def routed(rows: DataFrame, key_types: list[str], cap: float = RATE_CAP) -> DataFrame:
     """``reasons`` and ``escalate`` of each row (result, event_type, confidence, motion).
 
     Uncertain or unsure rows, key types and strong motion that was rejected escalate; where more than ``cap`` of a
     stream does, all of it does.
     """
-    p95 = rows.groupBy("stream_id").agg(nearest_rank(F.collect_list("motion"), HIGH_MOTION).alias("p95"))
+    p95 = ranked_value(rows, "motion", HIGH_MOTION, name="p95")
     why = F.array_compact(F.array(
         F.when(F.col("result") == "uncertain", "uncertain"), F.when((F.col("result") == "confirmed") & (F.col("confidence") < LOW_CONFIDENCE), "low_confidence"),
         F.when((F.col("result") == "confirmed") & F.col("event_type").isin(key_types), "key_event"), F.when((F.col("result") == "rejected") & (F.col("motion") > F.col("p95")), "motion_mismatch"),
     ))
-    r = rows.join(p95, "stream_id").withColumn("reasons", why)
+    r = rows.join(p95, "stream_id", "left").withColumn("reasons", why)
     rate = r.groupBy("stream_id").agg(F.avg((F.size("reasons") > 0).cast("double")).alias("rate"))
     r = r.join(rate, "stream_id")
     over = F.col("rate") > cap
@@ -58,8 +76,8 @@ def canaries(windows: DataFrame) -> DataFrame:
     per = windows.groupBy("stream_id", "label").agg(F.count("*").alias("n"))
     top = per.groupBy("stream_id").agg(F.max("n").alias("top"), F.count("*").alias("kinds"))
     s = windows.groupBy("stream_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("label") != "DEAD").alias("live"), F.count_if(F.col("label").isin(active)).alias("active"), nearest_rank(F.collect_list("latency"), 0.95).alias("p95")
-    ).join(top, "stream_id")
+        F.count("*").alias("n"), F.count_if(F.col("label") != "DEAD").alias("live"), F.count_if(F.col("label").isin(active)).alias("active")
+    ).join(top, "stream_id").join(ranked_value(windows, "latency", 0.95, name="p95"), "stream_id", "left")
     alarms = F.array_compact(F.array(
         F.when(F.col("live") < 0.05 * F.col("n"), "empty"), F.when(F.col("top") > 0.92 * F.col("n"), "one_label"), F.when(F.col("active") < 0.03 * F.col("n"), "inactive"),
         F.when(F.col("kinds") < 2, "few_kinds"), F.when(F.col("p95") > 180, "slow"),

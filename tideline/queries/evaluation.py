@@ -88,8 +88,9 @@ def label_anomalies(spark, sf_dir):
 @query("nearest_rank", f"WITH {TL}, l AS (SELECT stream_id, list(confidence ORDER BY confidence) AS v, count(*) AS n FROM tl GROUP BY stream_id) SELECT stream_id, {MICRO.format('v[least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1]')} AS p95_u, {MICRO.format('v[least(CAST(floor(n * 0.5) AS BIGINT), n - 1) + 1]')} AS p50_u FROM l")
 def nearest_rank(spark, sf_dir):
     """Nearest-rank percentiles."""
-    v = F.collect_list("confidence")
-    return timeline(spark, sf_dir).groupBy("stream_id").agg(v.alias("v")).select("stream_id", micro(routing.nearest_rank(F.col("v"), 0.95)).alias("p95_u"), micro(routing.nearest_rank(F.col("v"), 0.5)).alias("p50_u"))
+    tl = timeline(spark, sf_dir)
+    high, middle = (routing.ranked_value(tl, "confidence", p, name=name) for p, name in ((0.95, "high"), (0.5, "middle")))
+    return high.join(middle, "stream_id").select("stream_id", micro(F.col("high")).alias("p95_u"), micro(F.col("middle")).alias("p50_u"))
 
 
 @query("linear_percentile", f"WITH {TL} SELECT event_type, CAST(floor(quantile_cont(confidence, 0.99) * 1e5) AS BIGINT) AS p99_5 FROM tl GROUP BY event_type")

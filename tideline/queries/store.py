@@ -20,7 +20,7 @@ def job_log(spark, sf_dir) -> DataFrame:
     """The log after three rounds of updates."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit(0).cast("bigint").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
     log = jobs.created(o)
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"), F.max("l_shipdate").alias("l_shipdate"))
     fails = F.col("l_quantity") < 10
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     for n in (1, 2, 3):

@@ -12,14 +12,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LOOK_AHEAD_SEC = 180.0
 
 
-def stable_files(listing: DataFrame, stable_sec: float = 30.0) -> DataFrame:
+def stable_files(listing: DataFrame, stable_sec: float = 30.0, idle_ms: int = 3_600_000) -> DataFrame:
     """(path, size) of files whose size has not changed for ``stable_sec``; growth starts the clock anew.
 
     ``listing`` is a stream of (path, size, seen), one row a file and poll, seen in seconds.  A path is given out once
-    for each size it settles at.
+    for each size it settles at.  A path that is not listed for ``idle_ms`` is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["path", "size"])
+            return
         size, since, told = state.get if state.exists else (-1, 0.0, False)
         out = []
         for rows in batches:
@@ -30,9 +34,10 @@ def stable_files(listing: DataFrame, stable_sec: float = 30.0) -> DataFrame:
                     told = True
                     out.append((key[0], size))
         state.update((size, since, told))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["path", "size"])
 
-    return listing.groupBy("path").applyInPandasWithState(step, "path string, size bigint", "size bigint, since double, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return listing.groupBy("path").applyInPandasWithState(step, "path string, size bigint", "size bigint, since double, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_of_each(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -54,15 +59,19 @@ def confirmed_by_kickoff(shots: DataFrame, kickoffs: DataFrame, late: str = "1 m
     return s.join(k, (F.col("s.stream_id") == F.col("k.stream_id")) & gap).select("s.stream_id", "s.seq", F.col("k.seq").alias("kickoff_seq"))
 
 
-def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0, shot: str = "shot_on_target") -> DataFrame:
+def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0, shot: str = "shot_on_target", idle_ms: int = 3_600_000) -> DataFrame:
     """Shots after which a stream is quiet, as soon as an event at or past their window shows it.
 
     ``events`` has stream_id, seq, t and event_type and arrives in time order for each stream; only shots whose window
-    is open are held.
+    is open are held.  A stream without events for ``idle_ms`` has ended: what it holds is given out.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, times = map(list, state.get) if state.exists else ([], [])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], s) for s in seqs], columns=["stream_id", "seq"])
+            return
         out = []
         for rows in batches:
             for r in rows.sort_values(["t", "seq"]).itertuples():
@@ -73,9 +82,10 @@ def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0
                     held.append((int(r.seq), float(r.t)))
                 seqs, times = [s for s, _ in held], [t for _, t in held]
         state.update((seqs, times))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq"])
 
-    return events.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq bigint", "seqs array<bigint>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq bigint", "seqs array<bigint>, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_latest(path: str, key: str = "event_id", seq: str = "_seq"):
