@@ -37,15 +37,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "near")
     found = jaccard_join.similarity_classes(docs).where(F.col("component").isNotNull())
     rows = scratch.table("rows", found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("best"))
-    best = rows.groupBy("component").agg(F.min(order).alias("first"), F.sum("copies").alias("total")).where(F.col("total") > 1)
-    least = (F.col("row") == F.col("first.best")) & F.col("doc_id").eqNullSafe(F.col("first.id"))
-    marks = scratch.table("marks", rows.join(best, "component").where(~least | (F.col("copies") > 1)).select(F.col("doc_id").alias("id"), F.col("row").alias("key"), least.alias("again")))
+    # only components of two rows or more; the least id first, then the least key among its rows
+    ids = scratch.table("ids", rows.groupBy("component").agg(F.min("doc_id").alias("first"), F.sum("copies").alias("total")).where(F.col("total") > 1))
+    near = rows.join(jaccard_join.small_side(ids), "component")
+    best = near.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("component").agg(F.min("row").alias("best"))
+    least = (F.col("row") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    marks = scratch.table("marks", near.join(best, "component").where(~least | (F.col("copies") > 1)).select(F.col("doc_id").alias("id"), F.col("row").alias("key"), least.alias("again")))
     texts = docs.select(*COLUMNS).withColumn("key_of_row", jaccard_join.row_key("doc_id", "text"))
     same = (F.col("key_of_row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    alone = texts.join(marks, same, "left_anti")
+    alone = texts.join(jaccard_join.small_side(marks), same, "left_anti")
     # equal rows that share id and text: one of them stays
-    again = texts.join(marks.where("again"), same, "left_semi").dropDuplicates(["key_of_row", "doc_id"])
+    again = texts.join(jaccard_join.small_side(marks.where("again")), same, "left_semi").dropDuplicates(["key_of_row", "doc_id"])
     return alone.unionByName(again).select(*COLUMNS)
 
 

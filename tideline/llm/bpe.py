@@ -48,9 +48,9 @@ class Encoder:
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.find = regex.compile(pattern).findall
         self.pairs: Memo = Memo(self._stay)
-        self.windows: Memo = Memo(self._merge, 8 << 20)
+        self.windows: Memo = Memo(self._merge, 16 << 20)
         self.pieces: Memo = Memo(self._reduce)
-        self.chunks: Memo = Memo(self._chunk, 32 << 20)
+        self.chunks: Memo = Memo(self._chunk, 64 << 20)
         self.whole = {token: rank for token, rank in ranks.items() if self._merge(token) != (rank,)}
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:

@@ -88,20 +88,28 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """``memo[key]`` computes missing values with ``fn``; emptied when it holds about ``limit`` bytes."""
+    """``memo[key]`` computes missing values with ``fn``; holds about ``limit`` bytes of what was asked for last.
 
-    def __init__(self, fn, limit: int = 16 << 20):
+    When half of that is full, it becomes the old half, from which values are taken back as they are asked for.
+    """
+
+    def __init__(self, fn, limit: int = 24 << 20):
         super().__init__()
-        self.fn, self.limit, self.held = fn, limit, 0
+        self.fn, self.half, self.held, self.old = fn, limit // 2, 0, {}
 
     def __missing__(self, key):
-        if self.held > self.limit:
-            self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if self.held > self.half:
+            self.old = dict(self)
+            super().clear()
+            self.held = 0
+        self[key] = value
         # a tuple's numbers are objects of their own
         self.held += 100 + getsizeof(key) + getsizeof(value) + (28 * len(value) if isinstance(value, tuple) else 0)
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.held = 0
+        self.old, self.held = {}, 0

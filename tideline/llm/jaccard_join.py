@@ -34,7 +34,7 @@ BROADCAST_ROWS = 1_000_000
 #: Of a small set every so many-th element, by its bits, tells how long lists are.
 PROBE = 64
 #: Sizes whose ratio is less share a step when members of a list meet.
-SIZE_STEP = 1.02
+SIZE_STEP = 1.05
 #: Times that classes in too few lists, and then lists of one class, are taken out.
 CORE_ROUNDS = 2
 NODE = "decimal(38,0)"
@@ -293,8 +293,9 @@ def compared(pairs: DataFrame, texts: DataFrame, bound: Bound, width: int) -> Da
                             v.append(y)
                 yield pa.RecordBatch.from_arrays([decimals(u), decimals(v)], ["u", "v"])
 
-    others = texts.select(F.col("h").alias("other"), F.col("node").alias("other_node"), F.col("packed").alias("other_packed"))
-    rows = pairs.join(texts.hint("merge"), "h").join(others.hint("merge"), "other").select("node", "other_node", "packed", "other_packed")
+    side = lambda name: texts.join(small_side(pairs.select(F.col(name).alias("h")).distinct()), "h", "left_semi")
+    others = side("other").select(F.col("h").alias("other"), F.col("node").alias("other_node"), F.col("packed").alias("other_packed"))
+    rows = pairs.join(side("h").hint("merge"), "h").join(others.hint("merge"), "other").select("node", "other_node", "packed", "other_packed")
     return rows.mapInArrow(run, f"u {NODE}, v {NODE}")
 
 
