@@ -344,3 +344,62 @@ def jersey_colours(spark, sf_dir):
     s = F.col("seq") % 4
     rows = timeline(spark, sf_dir).withColumn("jersey", F.when(s == 0, "Sky Blue").when(s == 1, "neon-green").when(s == 2, "burgundy").otherwise("plaid"))
     return summaries.with_jersey(rows, "jersey").select("stream_id", "seq", "jersey", F.col("hue").cast("int").alias("hue"))
+
+
+@query("contact_signatures", f"""WITH {TL}, v AS (SELECT stream_id, seq, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(x, 2) OVER w AS ox, lag(y, 2) OVER w AS oy FROM tl WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
+a AS (SELECT *, px - ox AS ax, py - oy AS ay, x - px AS bx, y - py AS by_ FROM v), n AS (SELECT *, sqrt(ax * ax + ay * ay) AS la, sqrt(bx * bx + by_ * by_) AS lb FROM a),
+g AS (SELECT *, CASE WHEN la * lb > 0 THEN degrees(acos(greatest(-1.0, least(1.0, (ax * bx + ay * by_) / (la * lb))))) END AS angle, CASE WHEN la > 0 THEN lb / la END AS ratio FROM n)
+SELECT stream_id, CASE WHEN ratio IS NULL OR angle IS NULL THEN 'unknown' WHEN ratio < 0.3 THEN 'caught' WHEN angle >= 90 THEN 'parried' WHEN angle >= 30 THEN 'deflected' ELSE 'passed' END AS signature, count(*) AS n FROM g GROUP BY ALL""")
+def contact_signatures(spark, sf_dir):
+    """What happened at each point of a track, from speeds and directions around it."""
+    from tideline.operators.timeline import in_order
+    from tideline.plans import spatial
+
+    w = in_order("stream_id")
+    p = timeline(spark, sf_dir).select("stream_id", "seq", "t", "x", "y", *(F.lag(c, k).over(w).alias(f"{c}{k}") for c in ("x", "y") for k in (1, 2)))
+    ax, ay, bx, by = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"), F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
+    before = F.sqrt(ax * ax + ay * ay)
+    ratio = F.when(before > 0, F.sqrt(bx * bx + by * by) / before)
+    out = p.withColumn("signature", spatial.trajectory_signature(ratio, spatial.turn(ax, ay, bx, by)))
+    return out.groupBy("stream_id", "signature").agg(F.count("*").alias("n"))
+
+
+@query("flat_confidences", f"WITH {TL}, r AS (SELECT CASE WHEN stream_id < '2024-01-10' THEN stream_id ELSE 'rest' END AS stream_id, CASE WHEN stream_id < '2024-01-10' THEN 0.5 + (seq % 2) / 10.0 ELSE confidence END AS confidence FROM tl) SELECT stream_id, count(*) AS n, count(DISTINCT floor(confidence * 100 + 0.5)) AS values FROM r GROUP BY stream_id HAVING count(*) > 20 AND count(DISTINCT floor(confidence * 100 + 0.5)) <= 2")
+def flat_confidences(spark, sf_dir):
+    """Streams whose model always says the same confidence."""
+    from tideline.plans import routing
+
+    early = F.col("stream_id") < "2024-01-10"
+    rows = timeline(spark, sf_dir).withColumn("confidence", F.when(early, 0.5 + (F.col("seq") % 2) / 10.0).otherwise(F.col("confidence"))).withColumn("stream_id", F.when(early, F.col("stream_id")).otherwise("rest"))
+    return routing.flat_confidences(rows)
+
+
+@query("recorded_answers", f"""WITH {TL}, r AS (SELECT stream_id, t, arg_max('answer ' || seq, seq) AS response FROM tl WHERE seq % 3 = 0 GROUP BY stream_id, t) SELECT tl.stream_id, tl.seq, r.response FROM tl LEFT JOIN r ON r.stream_id = tl.stream_id AND r.t = tl.t""")
+def recorded_answers(spark, sf_dir):
+    """Rows with what a model answered to one prompt, and nothing where it did not."""
+    from tideline.plans import routing
+
+    tl = timeline(spark, sf_dir)
+    said = tl.withColumn("prompt", F.when(F.col("seq") % 3 == 0, "triage").otherwise("other")).withColumn("response", F.concat(F.lit("answer "), F.col("seq").cast("string")))
+    return routing.scored(tl.select("stream_id", "seq", "t"), said, "triage").select("stream_id", "seq", "response")
+
+
+@query("prometheus_lines", "SELECT 'jobs_total{status=\"' || s || '\"} ' || count(o_orderkey) AS value FROM (VALUES ('pending'), ('ingesting'), ('detecting'), ('segmenting'), ('assembling'), ('complete'), ('failed'), ('paused'), ('cancelled')) v(s) LEFT JOIN orders ON CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'detecting' END = s GROUP BY s")
+def prometheus_lines(spark, sf_dir):
+    """Counts of jobs by status as text exposition, zeros included."""
+    from tideline.queries.review import _jobs
+
+    return jobs.prometheus(jobs.by_status(_jobs(spark, sf_dir)))
+
+
+@query("clip_signatures", f"""WITH {TL}, s AS (SELECT stream_id, CAST(floor(t / 60) AS BIGINT) AS clip, min(CASE seq % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END) AS k FROM tl GROUP BY ALL) SELECT stream_id, clip, k AS place FROM s""")
+def clip_signatures(spark, sf_dir):
+    """The place in the fixed order of the signature that a clip of several events gets."""
+    from tideline.plans import reels
+
+    order = reels.SIGNATURE_ORDER
+    s = F.col("seq") % 5
+    own = F.when(s == 0, order[0]).when(s == 1, order[1]).when(s == 2, order[2]).otherwise("odd")
+    c = timeline(spark, sf_dir).withColumn("own", own).groupBy("stream_id", F.floor(F.col("t") / 60).cast("bigint").alias("clip")).agg(F.collect_list("own").alias("all"))
+    place = F.array_position(F.array(*map(F.lit, order)), reels.signature_of(F.col("all")))
+    return c.select("stream_id", "clip", place.cast("int").alias("place"))

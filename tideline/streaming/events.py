@@ -12,11 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LOOK_AHEAD_SEC = 180.0
 
 
-def stable_files(listing: DataFrame, stable_sec: float = 30.0, idle_ms: int = 3_600_000) -> DataFrame:
+def stable_files(listing: DataFrame, stable_sec: float = 30.0, idle_sec: int = 3600) -> DataFrame:
     """(path, size) of files whose size has not changed for ``stable_sec``; growth starts the clock anew.
 
     ``listing`` is a stream of (path, size, seen), one row a file and poll, seen in seconds.  A path is given out once
-    for each size it settles at.  A path that is not listed for ``idle_ms`` is forgotten.
+    for each size it settles at.  A path that is not listed for ``idle_sec`` is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,7 +24,7 @@ def stable_files(listing: DataFrame, stable_sec: float = 30.0, idle_ms: int = 3_
             state.remove()
             yield pd.DataFrame([], columns=["path", "size"])
             return
-        size, since, told = state.get if state.exists else (-1, 0.0, False)
+        size, since, told, last = state.get if state.exists else (-1, 0.0, False, 0.0)
         out = []
         for rows in batches:
             for r in rows.sort_values("seen").itertuples():
@@ -33,11 +33,13 @@ def stable_files(listing: DataFrame, stable_sec: float = 30.0, idle_ms: int = 3_
                 elif not told and r.seen - since >= stable_sec:
                     told = True
                     out.append((key[0], size))
-        state.update((size, since, told))
-        state.setTimeoutDuration(idle_ms)
+                last = max(last, float(r.seen))
+        state.update((size, since, told, last))
+        state.setTimeoutTimestamp(int((last + idle_sec) * 1000) + 1)
         yield pd.DataFrame(out, columns=["path", "size"])
 
-    return listing.groupBy("path").applyInPandasWithState(step, "path string, size bigint", "size bigint, since double, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = listing.withColumn("at", F.timestamp_seconds("seen")).withWatermark("at", "1 minute")
+    return timed.groupBy("path").applyInPandasWithState(step, "path string, size bigint", "size bigint, since double, told boolean, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_of_each(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -59,15 +61,17 @@ def confirmed_by_kickoff(shots: DataFrame, kickoffs: DataFrame, late: str = "1 m
     return s.join(k, (F.col("s.stream_id") == F.col("k.stream_id")) & gap).select("s.stream_id", "s.seq", F.col("k.seq").alias("kickoff_seq"))
 
 
-def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0, shot: str = "shot_on_target", idle_ms: int = 3_600_000) -> DataFrame:
+def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0, shot: str = "shot_on_target", ts: str | None = None, idle_sec: int = 3600) -> DataFrame:
     """Shots after which a stream is quiet, as soon as an event at or past their window shows it.
 
     ``events`` has stream_id, seq, t and event_type and arrives in time order for each stream; only shots whose window
-    is open are held.  A stream without events for ``idle_ms`` has ended: what it holds is given out.
+    is open are held.  With ``ts``, the column of arrival times, a stream without events for ``idle_sec`` has
+    ended: what it holds is given out and its state goes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, times = map(list, state.get) if state.exists else ([], [])
+        seqs, times, last = state.get if state.exists else ([], [], 0)
+        seqs, times = list(seqs), list(times)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame([(key[0], s) for s in seqs], columns=["stream_id", "seq"])
@@ -81,11 +85,15 @@ def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0
                 if r.event_type == shot:
                     held.append((int(r.seq), float(r.t)))
                 seqs, times = [s for s, _ in held], [t for _, t in held]
-        state.update((seqs, times))
-        state.setTimeoutDuration(idle_ms)
+                last = max(last, int(r.ts.timestamp() * 1000) if ts else 0)
+        state.update((seqs, times, last))
+        if ts:
+            state.setTimeoutTimestamp(last + idle_sec * 1000 + 1)
         yield pd.DataFrame(out, columns=["stream_id", "seq"])
 
-    return events.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq bigint", "seqs array<bigint>, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    rows = events.select("stream_id", "seq", "t", "event_type", F.col(ts).alias("ts")).withWatermark("ts", "1 minute") if ts else events
+    return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq bigint", "seqs array<bigint>, times array<double>, last bigint", "append", timeout)
 
 
 def upsert_latest(path: str, key: str = "event_id", seq: str = "_seq"):
