@@ -123,7 +123,15 @@ def reel_clips(spark, sf_dir):
     return c.select("stream_id", micro(F.col("start")).alias("start_u"), micro(F.col("end")).alias("end_u"), F.size("members").alias("events"))
 
 
-@query("finished_reel")
+FINISHED = (
+    REEL_CLIPS.replace("SELECT stream_id, seq, confidence,", "SELECT stream_id, seq, confidence, event_type AS e,").replace("'c': confidence,", "'c': confidence, 'e': e,")
+    .replace("'c': greatest(acc[-1].c, x[1].c),", "'c': greatest(acc[-1].c, x[1].c), 'e': CASE WHEN x[1].c > acc[-1].c THEN x[1].e ELSE acc[-1].e END,").replace("'c': x[1].c,", "'c': x[1].c, 'e': x[1].e,")
+    + f""" g AS (SELECT stream_id, k.a AS a, k.b AS b, k.n AS n, k.c AS c, k.e AS e, k.seq AS seq, k.b - k.a AS l FROM k WHERE k.b - k.a >= 2.0),
+p AS (SELECT *, sum(l) OVER (PARTITION BY stream_id) - coalesce(sum(l) OVER (PARTITION BY stream_id ORDER BY c, a, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g)
+SELECT stream_id, 'keeper' AS reel, {MICRO.format('a')} AS start_u, {MICRO.format('b')} AS end_u, e AS event_type, n AS events FROM p WHERE rest <= 600""")
+
+
+@query("finished_reel", FINISHED)
 def finished_reel(spark, sf_dir):
     """The keeper reel of each stream as it would be cut: overlaps suppressed, short clips dropped, pruned to ten minutes."""
     c = reels.finished(reels.reel_clips(reels.selected(_events(spark, sf_dir), reels.specs_of(["keeper"]))), cap=600.0)
