@@ -112,7 +112,7 @@ def score(text: str, span: Span) -> float:
 
 
 def judged_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
-    """Scores of the base spans, and the account numbers that are confirmed and score enough."""
+    """Scores of the base spans, and the account numbers that are confirmed and score enough; digits that also pass as a card do not hide one."""
     ibans = []
     for m in IBAN.finditer(text):
         account = m.group().replace(" ", "")
@@ -127,7 +127,8 @@ def judged_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
                     ibans.append((m.start(), 4, end))
                     break
     judged = [(s, score(text, s)) for s in base]
-    return judged + [(s, x) for s in spans.outside(ibans, base) if (x := score(text, s)) >= LIMIT]
+    others = [s for s in base if KINDS[s[1]] != "card"]
+    return judged + [(s, x) for s in spans.outside(ibans, others) if (x := score(text, s)) >= LIMIT]
 
 
 def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:

@@ -109,20 +109,18 @@ def dense_windows(candidate: str, limit: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str, base: list[Span]) -> list[tuple[Span, float]]:
-    """What the windows find outside the base spans, each with the bits that were asked for."""
-    found: list[Span] = []
-    bits: dict[Span, float] = {}
+    """What the windows find in what the base spans leave of candidates, each with the bits that were asked for."""
+    found: list[tuple[Span, float]] = []
     for m in CANDIDATE.finditer(text):
-        for x, y in stretches(m.group()):
-            said = m.group()[x:y]
-            kind = class_of(said)
-            if kind is None or ALLOWED.fullmatch(said):
-                continue
-            for a, b in dense_windows(said, LIMITS[kind]):
-                span = (m.start() + x + a, 3, m.start() + x + b)
-                found.append(span)
-                bits[span] = LIMITS[kind]
-    return [(s, bits[s]) for s in spans.outside(found, base)]
+        for start, end in spans.rest_of(m.start(), m.end(), base, WINDOW):
+            part = text[start:end]
+            for x, y in stretches(part):
+                said = part[x:y]
+                kind = class_of(said)
+                if kind is None or ALLOWED.fullmatch(said):
+                    continue
+                found += [((start + x + a, 3, start + x + b), LIMITS[kind]) for a, b in dense_windows(said, LIMITS[kind])]
+    return found
 
 
 def scan_documents(docs: DataFrame, redact: bool = False, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:

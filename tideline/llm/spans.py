@@ -40,6 +40,17 @@ def outside(spans: Sequence[Span], taken: Sequence[Span]) -> list[Span]:
     return out
 
 
+def rest_of(start: int, end: int, taken: Sequence[Span], least: int = 1) -> list[tuple[int, int]]:
+    """The parts of [start, end), ``least`` long or longer, that no span of ``taken`` covers."""
+    out, at = [], start
+    for a, _, b in sorted(taken):
+        if a < end and b > at:
+            out.append((at, a))
+            at = max(at, b)
+    out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= least]
+
+
 def redacted(text: str, spans: Sequence[Span], kinds: Sequence[str]) -> str:
     """The text with each span replaced by ``[kind]``; overlapping spans go as one, named after the first."""
     out, at = [], 0
