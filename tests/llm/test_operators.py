@@ -352,6 +352,28 @@ def test_near_duplicate_stage_removes_rows_not_ids(spark, nothing):
     assert cp.near_duplicate_stage(spark, nothing, SMALL).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, nothing):
+    """Nulls, empty and very long texts, repeated rows, shared ids and extra columns; and empty tables."""
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    leaks = spark.createDataFrame([(20, f"before {item} after", "en", "s", 1), (20, f"before {item} after", "en", "s", 1), (20, "clean text under the same id", None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = odd.select(*cp.COLUMNS).unionByName(leaks)
+    rows = lambda df: sorted(map(str, df.select("doc_id", F.md5("text").alias("m"), "lang", "source", "n_chars").collect()))
+    # without a labelled document the classifier rejects none
+    assert rows(cp.quality_stage(spark, docs.withColumn("predicted", F.lit("x")).withColumn("score", F.lit("y")), SMALL)) == rows(docs)
+    kept = cp.decontamination_stage(spark, docs.withColumn("contaminated", F.lit("x")), SMALL)
+    assert rows(kept) == rows(docs.where("text is null or not (doc_id = 20 and text like 'before%')"))
+    one = cp.near_duplicate_stage(spark, docs.withColumn("component", F.lit("x")).withColumn("row", F.lit(1)), SMALL)
+    texts = sorted(map(str, ((r["doc_id"], len(r["text"] or "")) for r in one.collect())))
+    assert texts == sorted(map(str, [(1, 7), (2, 0), (3, 0), (4, 4), (None, 17), (5, 150_000), (7, 40_000), (8, 1), (20, len(item) + 13), (20, 28)]))
+    assert rows(cp.secret_stage(spark, docs.withColumn("redacted", F.lit("x")), SMALL)) == rows(docs)
+    coded = cp.encode_stage(spark, docs.withColumn("ids", F.lit("x")), SMALL).collect()
+    assert len(coded) == docs.count() and all(r["n_tokens"] == len(r["ids"]) for r in coded) and {r["n_tokens"] for r in coded if r["doc_id"] in (2, 3)} == {0}
+    for name, stage in cp.STAGES:
+        assert stage(spark, nothing.select(*cp.COLUMNS), SMALL).count() == 0, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
