@@ -152,3 +152,24 @@ def test_flags(spark):
 def test_spread(spark):
     swept = spark.createDataFrame([("a", 0.3, 0.5), ("a", 0.9, 0.75), ("b", 0.3, 0.5)], "event_type string, threshold double, precision double")
     assert {r["event_type"]: r["spread"] for r in evaluate.spread(swept).collect()} == {"a": 0.25, "b": None}
+
+
+def test_merged_cues(spark):
+    from tideline.plans import signals
+
+    ddl = "stream_id string, seq bigint, t double, length double, peak double"
+    w = spark.createDataFrame([("s", 1, 10.0, 1.0, 0.5), ("s", 2, 12.0, 2.0, 0.6), ("s", 3, 50.0, 1.0, 0.1)], ddl)
+    e = spark.createDataFrame([("s", 1, 9.0, 4.0, 0.4), ("s", 2, 12.5, 0.5, 0.9), ("s", 3, 90.0, 1.0, 1.0)], ddl)
+    got = sorted(tuple(r)[1:] for r in signals.merged_cues(w, e).collect())
+    assert got == [(9.0, "whistle_and_surge", 4.0, 0.5), (12.0, "whistle_and_surge", 2.0, 0.9), (50.0, "whistle", 1.0, 0.1), (90.0, "energy_surge", 1.0, 1.0)]
+
+
+def test_cache_keys(spark, tmp_path):
+    import hashlib
+
+    from tideline.sources import events as src
+
+    data = bytes(range(256)) * 5000
+    (tmp_path / "a.mp4").write_bytes(data)
+    want = hashlib.sha1(str(tmp_path / "a.mp4").encode() + str(len(data)).encode() + data[: 1 << 20]).hexdigest()[:16]
+    assert src.cache_keys(spark, str(tmp_path)).first()["key"] == want

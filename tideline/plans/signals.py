@@ -112,3 +112,48 @@ def flag_windows(flags: DataFrame, gap: float, pad: float, most: float) -> DataF
         "stream_id", F.greatest(F.lit(0.0), F.element_at("flags", 1)["t"] - pad).alias("start"), (F.element_at("flags", -1)["t"] + pad).alias("end"),
         F.array_sort(F.array_distinct(F.transform("flags", lambda f: f["label"]))).alias("labels"), F.size("flags").alias("n_flags"),
     )
+
+
+def active_runs(samples: DataFrame, least: float, keep_open: bool, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """Runs of active samples of ``least`` seconds or more: start, end (the first sample after, or the last of all), centre, peak, first_seq.
+
+    ``samples`` has t, seq, active and amplitude.  A run that is still open at the end of its stream goes
+    unless ``keep_open``.
+    """
+    w = tm.in_order(*by)
+    marked = tm.islands(samples.withColumn("__next", F.lead("t").over(w)), F.col("active"), *by).where("active")
+    runs = marked.groupBy(*by, "island").agg(F.min("t").alias("start"), F.max("t").alias("last"), F.max_by("__next", F.struct("t", "seq")).alias("after"), F.max("amplitude").alias("peak"), F.min_by("seq", F.struct("t", "seq")).alias("first_seq"))
+    runs = runs.withColumn("end", F.coalesce("after", "last")).where((F.col("end") - F.col("start") >= least) & (F.lit(keep_open) | F.col("after").isNotNull()))
+    return runs.select(*by, "start", "end", ((F.col("start") + F.col("end")) / 2).alias("centre"), "peak", "first_seq")
+
+
+def whistles(samples: DataFrame, least: float = 0.2, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """Runs of whistle samples with the place of their strongest band; ``samples`` also has bands (array of energies)."""
+    runs = active_runs(samples, least, True, by)
+    inside = samples.where("active").select(*by, "t", F.posexplode("bands").alias("band", "energy"))
+    spans = runs.select(*by, "start", "end", "first_seq").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / 30), F.floor(F.col("end") / 30))))
+    met = inside.withColumn("b", F.floor(F.col("t") / 30)).join(spans, [*by, "b"]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
+    sums = met.groupBy(*by, "first_seq", "band").agg(F.sum("energy").alias("energy"))
+    top = sums.groupBy(*by, "first_seq").agg(F.max_by("band", F.struct("energy", (-F.col("band")).alias("n"))).alias("band"))
+    return runs.join(top, [*by, "first_seq"], "left")
+
+
+def surges(samples: DataFrame, least: float = 0.5, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """Closed runs of surge samples; their peak is a share of the stream's loudest sample."""
+    most = samples.groupBy(*by).agg(F.max("amplitude").alias("most"))
+    runs = active_runs(samples, least, False, by).join(most, list(by))
+    return runs.withColumn("peak", F.col("peak") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)).drop("most")
+
+
+def merged_cues(whistles: DataFrame, surges: DataFrame, window: float = 3.0) -> DataFrame:
+    """Whistles and surges as one list of cues (stream_id, t, cue, length, peak); both have stream_id, seq, t, length and peak.
+
+    In time order each whistle takes the first surge within the window that is still free; the two become one
+    cue at the earlier time, with the longer length and the higher peak.
+    """
+    pairs = folds.greedy_match(whistles, surges, window, first_fit=True)
+    side = lambda df, p: df.select("stream_id", F.col("seq").alias(f"{p}_seq"), *(F.col(c).alias(f"{p}_{c}") for c in ("t", "length", "peak")))
+    both = pairs.join(side(whistles, "truth"), ["stream_id", "truth_seq"]).join(side(surges, "found"), ["stream_id", "found_seq"]).select(
+        "stream_id", F.least("truth_t", "found_t").alias("t"), F.lit("whistle_and_surge").alias("cue"), F.greatest("truth_length", "found_length").alias("length"), F.greatest("truth_peak", "found_peak").alias("peak"))
+    alone = lambda df, key, cue: df.join(pairs.select("stream_id", F.col(key).alias("seq")), ["stream_id", "seq"], "left_anti").select("stream_id", "t", F.lit(cue).alias("cue"), "length", "peak")
+    return both.unionByName(alone(whistles, "truth_seq", "whistle")).unionByName(alone(surges, "found_seq", "energy_surge"))

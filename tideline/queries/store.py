@@ -403,3 +403,42 @@ def clip_signatures(spark, sf_dir):
     c = timeline(spark, sf_dir).withColumn("own", own).groupBy("stream_id", F.floor(F.col("t") / 60).cast("bigint").alias("clip")).agg(F.collect_list("own").alias("all"))
     place = F.array_position(F.array(*map(F.lit, order)), reels.signature_of(F.col("all")))
     return c.select("stream_id", "clip", place.cast("int").alias("place"))
+
+
+RUNS_SQL = f"""{TL}, s AS (SELECT *, confidence >= 0.3 AS active, lead(t) OVER w AS nt, row_number() OVER w - row_number() OVER (PARTITION BY stream_id, confidence >= 0.3 ORDER BY t, seq) AS g FROM tl WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
+r AS (SELECT stream_id, min(t) AS a, arg_max(coalesce(nt, -1), (t, seq)) AS n, max(t) AS l, max(confidence) AS peak, arg_min(seq, (t, seq)) AS first_seq FROM s WHERE active GROUP BY stream_id, g),
+u AS (SELECT *, CASE WHEN n < 0 THEN l ELSE n END AS b FROM r)"""
+
+
+def audio(spark, sf_dir) -> DataFrame:
+    return timeline(spark, sf_dir).withColumn("active", F.col("confidence") >= 0.3).withColumn("amplitude", F.col("confidence"))
+
+
+@query("whistle_runs", f"""WITH {RUNS_SQL}, q AS (SELECT * FROM u WHERE b - a >= 20), e AS (SELECT q.stream_id, first_seq, CAST(count(*) FILTER (seq % 3 = 0) AS BIGINT) AS e0, CAST(count(*) FILTER (seq % 3 = 1) AS BIGINT) AS e1, CAST(count(*) FILTER (seq % 3 = 2) AS BIGINT) AS e2
+ FROM q JOIN tl ON tl.stream_id = q.stream_id AND tl.t >= q.a AND tl.t <= q.b AND tl.confidence >= 0.3 GROUP BY q.stream_id, first_seq)
+SELECT q.stream_id, q.first_seq, {MICRO.format('(a + b) / 2')} AS centre_u, {MICRO.format('peak')} AS peak_u, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS band FROM q JOIN e USING (stream_id, first_seq)""")
+def whistle_runs(spark, sf_dir):
+    """Whistles: runs of active samples with their strongest band, open ones too."""
+    from tideline.plans import signals
+
+    bands = F.array(*((F.col("seq") % 3 == k).cast("double") for k in range(3)))
+    out = signals.whistles(audio(spark, sf_dir).withColumn("bands", bands), 20.0)
+    return out.select("stream_id", "first_seq", micro(F.col("centre")).alias("centre_u"), micro(F.col("peak")).alias("peak_u"), "band")
+
+
+@query("surge_runs", f"WITH {RUNS_SQL}, m AS (SELECT stream_id, max(confidence) AS most FROM tl GROUP BY stream_id) SELECT stream_id, first_seq, {MICRO.format('a')} AS start_u, {MICRO.format('b')} AS end_u, {MICRO.format('peak / most')} AS peak_u FROM u JOIN m USING (stream_id) WHERE n >= 0 AND b - a >= 30")
+def surge_runs(spark, sf_dir):
+    """Surges: closed runs, their peaks as a share of the loudest sample."""
+    from tideline.plans import signals
+
+    return signals.surges(audio(spark, sf_dir), 30.0).select("stream_id", "first_seq", micro(F.col("start")).alias("start_u"), micro(F.col("end")).alias("end_u"), micro(F.col("peak")).alias("peak_u"))
+
+
+@query("window_lines", f"WITH {TL} SELECT stream_id, seq, CAST(seq % 50 AS INTEGER) AS idx, CAST(seq % 4 AS INTEGER) AS events, 'it''s a shot' AS text FROM tl WHERE seq % 3 > 0")
+def window_lines(spark, sf_dir):
+    """The fields of log lines that tell of windows; other lines go."""
+    from tideline.sources import events as src
+
+    s = F.col("seq")
+    line = F.when(s % 3 > 0, F.format_string("12:00 single_pass.window  elapsed=1.5s end=%d events=%d idx=%d start=0.5 text='it's a shot' ", s, s % 4, s % 50)).otherwise("single_pass.start job_id=1")
+    return src.window_lines(timeline(spark, sf_dir).select("stream_id", "seq", line.alias("value"))).select("stream_id", "seq", "idx", "events", "text")

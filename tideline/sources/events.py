@@ -129,3 +129,21 @@ def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4",
 def content_ids(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+#: The fields of a window's line in a worker's log.
+WINDOW_LINE = r"single_pass\.window\s+elapsed=([\d.]+)s\s+end=([\d.]+)\s+events=(\d+)\s+idx=(\d+)\s+start=([\d.]+)\s+text='(.+?)'\s*$"
+
+
+def window_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """elapsed, end, events, idx, start and text of the lines that tell of a window; other lines go."""
+    part = lambda i: F.regexp_extract(value, WINDOW_LINE, i)
+    kinds = (("elapsed", "double"), ("end", "double"), ("events", "int"), ("idx", "int"), ("start", "double"), ("text", "string"))
+    return lines.where(F.col(value).rlike(WINDOW_LINE)).select(*(c for c in lines.columns if c != value), *(part(i + 1).cast(k).alias(n) for i, (n, k) in enumerate(kinds)))
+
+
+def cache_keys(spark: SparkSession, path: str) -> DataFrame:
+    """A short key of each file from its path, its size and its first megabyte."""
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    said = F.concat(F.encode(plain, "UTF-8"), F.encode(F.col("length").cast("string"), "UTF-8"), F.substring("content", 1, 1 << 20))
+    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.sha1(said), 1, 16).alias("key"))
