@@ -83,3 +83,10 @@ def spread(swept: DataFrame, low: float = 0.3, high: float = 0.9, by: str = "eve
     """How much precision grows from the low to the high threshold of a ``sweep``."""
     at = lambda x: F.max(F.when(F.abs(F.col("threshold") - x) < 1e-9, F.col("precision")))
     return swept.groupBy(by).agg(at(low).alias("p_low"), at(high).alias("p_high"), (at(high) - at(low)).alias("spread"))
+
+
+def reel_totals(scored: DataFrame, n_true: DataFrame, groups: dict[str, list[str]], thresholds: DataFrame | None = None, by: str = "event_type") -> DataFrame:
+    """Counts and rates of groups of types over rows (type, confidence, hit), each type from its own threshold on (``by``, threshold)."""
+    rows = scored if thresholds is None else scored.join(F.broadcast(thresholds.select(by, "threshold")), by, "left").where(F.col("confidence") >= F.coalesce("threshold", F.lit(0.0)))
+    kept = rows.groupBy(by).agg(F.count("*").alias("n_found"), F.count_if("hit").alias("tp"))
+    return in_groups(n_true.join(kept, by, "left").na.fill(0), groups, by)

@@ -67,3 +67,18 @@ def split(rows: DataFrame, key: Column, holdout: list[str], val_percent: int) ->
     """With ``split``: holdout games as they are named, of the rest a share by hash is val, all else train."""
     share = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(100)) < val_percent
     return rows.withColumn("split", F.when(F.col("game").isin(holdout), "holdout").when(share, "val").otherwise("train"))
+
+
+def shifted(truths: DataFrame, shifts: list[float], window: float = 6.0, margin: float = 3.0) -> DataFrame:
+    """Samples at each shift of a truth: its label where the window still shows it, else none; not near the ends of the video.
+
+    ``truths`` has t, duration and label; the samples also have centre, shift and visible.
+    """
+    s = truths.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("centre", F.col("t") + F.col("shift")).where((F.col("centre") >= margin) & (F.col("centre") <= F.col("duration") - margin))
+    s = s.withColumn("visible", F.abs(F.col("shift")) <= window / 2)
+    return s.withColumn("label", F.when(F.col("visible"), F.col("label")).otherwise("none"))
+
+
+def hard_negatives(truths: DataFrame, offsets: list[float], window: float = 4.0, margin: float = 3.0) -> DataFrame:
+    """Samples of none just beside a truth, where their window does not show it."""
+    return shifted(truths, offsets, window, margin).where(~F.col("visible"))

@@ -134,3 +134,27 @@ def zoom_window(cx: Column, cy: Column, width: int, height: int, zw: int = 640,
     x = F.greatest(F.lit(0), F.least(F.lit(width - zw), F.floor(cx * width - zw / 2).cast("int")))
     y = F.greatest(F.lit(0), F.least(F.lit(height - zh), F.floor(cy * height - zh / 2).cast("int")))
     return F.struct(x.alias("x"), y.alias("y"), F.lit(zw).alias("w"), F.lit(zh).alias("h"))
+
+
+def crop_box(boxes: DataFrame, *by: str, pad: float = 0.1, least: float = 0.05, most: float = 0.9) -> DataFrame:
+    """The padded union box of a group, cut to the frame, and whether to crop to it: "cropped", "too_small" or "too_big"."""
+    u = union_box(boxes, *by)
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    low = lambda c: F.greatest(F.lit(0.0), c)
+    high = lambda c: F.least(F.lit(1.0), c)
+    p = u.select(*by, low(F.col("x0") - pad * w).alias("x0"), low(F.col("y0") - pad * h).alias("y0"), high(F.col("x1") + pad * w).alias("x1"), high(F.col("y1") + pad * h).alias("y1"))
+    p = p.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return p.withColumn("gate", F.when(F.col("area") < least, "too_small").when(F.col("area") > most, "too_big").otherwise("cropped"))
+
+
+def gated(events: DataFrame, features: DataFrame, gates: dict[str, Column], fail_open: bool = True) -> DataFrame:
+    """Events whose type's gate, a condition over ``features``, holds; types without a gate pass.
+
+    Where an event has no row of features (stream_id, seq, ...), or the gate is null on it, it stays if
+    ``fail_open``, and goes otherwise.
+    """
+    seen = events.join(features.withColumn("__seen", F.lit(True)), ["stream_id", "seq"], "left")
+    keep = F.lit(True)
+    for kind, gate in gates.items():
+        keep = F.when(F.col("event_type") == kind, F.coalesce(F.when(F.col("__seen"), gate), F.lit(fail_open))).otherwise(keep)
+    return seen.where(keep).select(*events.columns)

@@ -442,3 +442,44 @@ def window_lines(spark, sf_dir):
     s = F.col("seq")
     line = F.when(s % 3 > 0, F.format_string("12:00 single_pass.window  elapsed=1.5s end=%d events=%d idx=%d start=0.5 text='it's a shot' ", s, s % 4, s % 50)).otherwise("single_pass.start job_id=1")
     return src.window_lines(timeline(spark, sf_dir).select("stream_id", "seq", line.alias("value"))).select("stream_id", "seq", "idx", "events", "text")
+
+
+@query("gated_events", f"""WITH {TL} SELECT stream_id, seq FROM tl WHERE CASE WHEN event_type = 'corner_kick' THEN CASE WHEN seq % 3 = 0 THEN true ELSE (x <= 0.25 OR x >= 0.75) AND (y <= 0.25 OR y >= 0.75) END WHEN event_type = 'goal_kick' THEN CASE WHEN seq % 3 = 0 THEN true ELSE (x <= 0.2 OR x >= 0.8) AND y >= 0.25 AND y <= 0.75 END ELSE true END""")
+def gated_events(spark, sf_dir):
+    """Events that their type's gate lets pass; without features they pass as well."""
+    from tideline.plans import spatial
+
+    tl = timeline(spark, sf_dir)
+    features = tl.where("seq % 3 > 0").select("stream_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
+    gates = {"corner_kick": spatial.corner_place(F.col("px"), F.col("py")), "goal_kick": spatial.goal_kick_place(F.col("px"), F.col("py"))}
+    return spatial.gated(tl.select("stream_id", "seq", "event_type"), features, gates).select("stream_id", "seq")
+
+
+@query("crop_boxes", f"""WITH {TL}, b AS (SELECT stream_id, CAST(floor(t / 60) AS BIGINT) AS f, min(x) AS x0, min(y) AS y0, max(x + 0.05) AS x1, max(y + 0.1) AS y1 FROM tl GROUP BY ALL),
+p AS (SELECT stream_id, f, greatest(0.0, x0 - 0.1 * (x1 - x0)) AS a, greatest(0.0, y0 - 0.1 * (y1 - y0)) AS b, least(1.0, x1 + 0.1 * (x1 - x0)) AS c, least(1.0, y1 + 0.1 * (y1 - y0)) AS d FROM b)
+SELECT stream_id, f AS frame, CASE WHEN (c - a) * (d - b) < 0.05 THEN 'too_small' WHEN (c - a) * (d - b) > 0.9 THEN 'too_big' ELSE 'cropped' END AS gate FROM p""")
+def crop_boxes(spark, sf_dir):
+    """Whether to crop a frame to the box around what is in it."""
+    from tideline.plans import spatial
+
+    rows = timeline(spark, sf_dir).withColumn("frame", F.floor(F.col("t") / 60).cast("bigint")).withColumn("w", F.lit(0.05)).withColumn("h", F.lit(0.1))
+    return spatial.crop_box(rows, "stream_id", "frame").select("stream_id", "frame", "gate")
+
+
+@query("shifted_samples", f"""WITH {TL}, m AS (SELECT stream_id, max(t) AS duration FROM tl GROUP BY stream_id), s AS (SELECT tl.*, duration, k FROM tl JOIN m USING (stream_id), (VALUES (-4.0), (-2.0), (0.0), (3.0), (5.0)) v(k) WHERE t + k >= 3 AND t + k <= duration - 3)
+SELECT CASE WHEN abs(k) <= 3 THEN event_type ELSE 'none' END AS label, CAST(k AS INTEGER) AS shift, count(*) AS samples FROM s GROUP BY ALL""")
+def shifted_samples(spark, sf_dir):
+    """Samples at shifts of an event, with its label where it is still in the window."""
+    tl = timeline(spark, sf_dir)
+    rows = tl.join(tl.groupBy("stream_id").agg(F.max("t").alias("duration")), "stream_id").withColumn("label", F.col("event_type"))
+    return records.shifted(rows, [-4.0, -2.0, 0.0, 3.0, 5.0]).groupBy("label", F.col("shift").cast("int").alias("shift")).agg(F.count("*").alias("samples"))
+
+
+@query("reel_thresholds", f"""WITH {TL}, h AS (SELECT *, seq % 3 = 0 AS hit, CASE event_type WHEN 'catch' THEN 0.6 WHEN 'goal_kick' THEN 0.3 ELSE 0.0 END AS th FROM tl), k AS (SELECT event_type, count(*) FILTER (confidence >= th) AS nf, count(*) FILTER (confidence >= th AND hit) AS tp, count(*) FILTER (hit) AS nt FROM h GROUP BY event_type),
+g AS (SELECT * FROM (VALUES ('restarts', 'goal_kick'), ('restarts', 'corner_kick'), ('restarts', 'kickoff'), ('keeper', 'catch'), ('keeper', 'goal_kick')) AS v(grp, event_type)) SELECT grp, CAST(sum(nt) AS BIGINT) AS n_true, CAST(sum(nf) AS BIGINT) AS n_found, CAST(sum(tp) AS BIGINT) AS tp FROM k JOIN g USING (event_type) GROUP BY grp""")
+def reel_thresholds(spark, sf_dir):
+    """Reels' counts with a threshold for each type."""
+    rows = timeline(spark, sf_dir).withColumn("hit", F.col("seq") % 3 == 0)
+    n = rows.where("hit").groupBy("event_type").agg(F.count("*").alias("n_true"))
+    limits = spark.createDataFrame([("catch", 0.6), ("goal_kick", 0.3)], "event_type string, threshold double")
+    return evaluate.reel_totals(rows, n, {"restarts": ["goal_kick", "corner_kick", "kickoff"], "keeper": ["catch", "goal_kick"]}, limits).select("grp", "n_true", "n_found", "tp")
