@@ -47,26 +47,29 @@ class Encoder:
             self.tokens[rank] = token
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.find = regex.compile(pattern).findall
-        self.pairs: Memo = Memo(self._stay)
-        self.windows: Memo = Memo(self._merge, 16 << 20)
+        self.pairs: Memo = Memo(self._stay, 150_000)
+        self.windows: Memo = Memo(self._merge, 60_000)
         self.pieces: Memo = Memo(self._reduce)
-        self.chunks: Memo = Memo(self._chunk, 64 << 20)
+        self.chunks: Memo = Memo(self._chunk, 250_000)
         self.whole = {token: rank for token, rank in ranks.items() if self._merge(token) != (rank,)}
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
         """Plain merging, lowest rank first and leftmost among equals; for windows of a few tokens."""
+        get, none = self.ranks.get, self.size
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            least = min(pairs)
+            if least == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return tuple([self.ranks[p] for p in parts])
 
     def _stay(self, pair: int) -> bool:
         a, b = divmod(pair, self.size)

@@ -7,7 +7,6 @@ slices of bounded size first, so one run of very long texts never has to fit int
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -88,28 +87,26 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """``memo[key]`` computes missing values with ``fn``; holds about ``limit`` bytes of what was asked for last.
+    """``memo[key]`` computes missing values with ``fn``; holds the values of up to ``limit`` keys, those asked for last.
 
-    When half of that is full, it becomes the old half, from which values are taken back as they are asked for.
+    When half of that is full, it becomes the old half, from which values are taken back as they are asked
+    for.  Keys have to be short: the caller keeps long ones out.
     """
 
-    def __init__(self, fn, limit: int = 24 << 20):
+    def __init__(self, fn, limit: int = 100_000):
         super().__init__()
-        self.fn, self.half, self.held, self.old = fn, limit // 2, 0, {}
+        self.fn, self.half, self.old = fn, limit // 2, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if self.held > self.half:
+        if len(self) >= self.half:
             self.old = dict(self)
             super().clear()
-            self.held = 0
         self[key] = value
-        # a tuple's numbers are objects of their own
-        self.held += 100 + getsizeof(key) + getsizeof(value) + (28 * len(value) if isinstance(value, tuple) else 0)
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.old, self.held = {}, 0
+        self.old = {}

@@ -32,6 +32,8 @@ EPOCHS = 60
 SAMPLE = 6000
 WORDS = 20_000
 SHAPES = 2_000
+#: Characters of the longest words whose rows are remembered.
+LONG_WORD = 40
 #: Label 1 is likelier than not from this score on.
 CUT = 0.5
 
@@ -83,7 +85,7 @@ def repeats(words: list[str], text: str) -> list[float]:
     ]
 
 
-def pooled(texts: list[str | None], vectors: Vectors, memo: Memo) -> np.ndarray:
+def pooled(texts: list[str | None], vectors: Vectors, memo: Codes) -> np.ndarray:
     """One row of features for each text; a null or empty text gives zeros."""
     split = [t.split() if t else [] for t in texts]
     counts = np.array([len(w) for w in split])
@@ -102,8 +104,23 @@ def pooled(texts: list[str | None], vectors: Vectors, memo: Memo) -> np.ndarray:
     return np.concatenate([out, extra], axis=1)
 
 
-def row_memo(vectors: Vectors) -> Memo:
-    return Memo(lambda w: (lambda r: (r[0] << 32) + r[1])(vectors.rows(w)))
+class Codes(Memo):
+    """The rows of words as one number each; long words are looked up every time."""
+
+    def __init__(self, vectors: Vectors):
+        super().__init__(self.code)
+        self.vectors = vectors
+
+    def code(self, word: str) -> int:
+        row, shape = self.vectors.rows(word)
+        return (row << 32) + shape
+
+    def __missing__(self, word: str) -> int:
+        return super().__missing__(word) if len(word) <= LONG_WORD else self.code(word)
+
+
+def row_memo(vectors: Vectors) -> Codes:
+    return Codes(vectors)
 
 
 @dataclass
