@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, jaccard_join, langid, line_rules, maxent_lm, oracle, pii, quality, secret_scan, substring_dedup
+from tideline.llm import bpe, conversation_repair, conversation_trie, decontaminate, jaccard_join, langid, line_rules, maxent_lm, oracle, packing, pii, quality, secret_scan, substring_dedup
 from tideline.llm.common import in_fold, read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.opening_trie(read_table(spark, sf_dir, "conversations"), group=5, longest=9)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)[0]
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5_secrets reports of its fixed patterns alone."""
     return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -84,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op11_trie": op11_trie,
+    "op12_repair": op12_repair,
+    "op13_packing": op13_packing,
     "secrets_base": secrets_base,
     "personal_base": personal_base,
 }
