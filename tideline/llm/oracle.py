@@ -75,3 +75,50 @@ PERSONAL = spans_sql("n_", [
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"len({DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(list_reverse(string_split({DIGITS}, '')), {DOUBLED})) % 10 = 0"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({DIGITS}) BETWEEN 10 AND 15"),
 ])
+
+
+def crc32(text: str) -> str:
+    """crc32 of a string of ASCII signs: each sign, then eight steps of one bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda s: list_prepend(CAST(ascii(s) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    step = "CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda x, y: {step}), 4294967295)"
+
+
+KEY = "substr(sha256(length(role) || ':' || role || text), 1, 32)"
+TRIE = rf"""WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, {KEY}) AS i, {KEY} AS k, strlen(text) AS size FROM t),
+h AS (SELECT c, c - c % 5 AS base, {crc32("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+r AS (SELECT h.c, i AS d, k, size FROM h JOIN p ON p.c = base AND i <= h UNION ALL
+ SELECT h.c, i - h + least(h, coalesce(n.n, 0)), k, size FROM h JOIN p ON p.c = h.c AND i > h LEFT JOIN n ON n.c = base),
+x AS (SELECT c, CAST(0 AS BIGINT) AS d, '' AS path, CAST(0 AS BIGINT) AS size FROM h UNION ALL SELECT r.c, r.d, sha256(path || k), r.size FROM x JOIN r ON r.c = x.c AND r.d = x.d + 1),
+z AS (SELECT x.*, lag(path) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM x),
+g AS (SELECT d, path, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * max(size) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ended FROM z GROUP BY d, path),
+k AS (SELECT g.d, g.path, count(y.path) AS n FROM g LEFT JOIN g y ON y.d = g.d + 1 AND y.up = g.path GROUP BY ALL),
+s AS (SELECT v.d, v.path, sum(u.w) AS saved, count(*) FILTER (k.n = 0) AS leaves FROM g v JOIN z ON z.d = v.d AND z.path = v.path JOIN g u ON u.c = z.c AND u.d >= v.d JOIN k ON k.d = u.d AND k.path = u.path GROUP BY ALL)
+SELECT g.c AS conv_id, g.d AS depth, o.c AS parent_conv_id, g.n AS n_convs, k.n AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, g.ended AS ends_sha256
+ FROM g JOIN k USING (d, path) JOIN s USING (d, path) LEFT JOIN g o ON o.d = g.d - 1 AND o.path = g.up"""
+
+SIGN = r"[^\x20\x09-\x0D]"
+#: State of a whole prefix: 1 nothing, 2 after s, 3 after u, 4 after a; (from, edits, to, keeps, reroles) of one row, inserted rows before it included.
+ARCS = "(1,'',2,'s',0),(1,'',3,'u',0),(1,'I',4,'a',0),(2,'',3,'u',0),(2,'I',4,'a',0),(3,'',4,'a',0),(3,'I',3,'u',0),(4,'',3,'u',0),(4,'I',4,'a',0),(1,'',3,'*',1),(1,'I',4,'*',1),(2,'',3,'*',1),(2,'I',4,'*',1),(3,'',4,'*',1),(3,'I',3,'*',1),(4,'',3,'*',1),(4,'I',4,'*',1)"
+REPAIR = rf"""WITH RECURSIVE a(f, ins, t, role, r) AS (VALUES {ARCS}),
+o AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+f AS (SELECT *, {crc32("id")} % 20 AS z FROM o),
+m AS (SELECT c, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN z = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE z <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, {KEY}) AS i FROM m),
+q AS (SELECT *, substr(role, 1, 1) AS s, NOT regexp_matches(text, '{SIGN}') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '({SIGN})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS prior FROM p),
+l AS (SELECT *, blank OR again AS gone, CAST(cut AND NOT blank AND NOT again AS BIGINT) AS late FROM q),
+e AS (SELECT c, i, f, t, 2 * length(ins) + 2 * r + late AS cost, ins || CASE WHEN r = 1 THEN 'R' ELSE 'K' END AS audit FROM l JOIN a ON NOT gone AND (a.role = s OR r = 1)
+ UNION ALL SELECT c, i, x, x, 3, 'D' FROM l, (VALUES (1), (2), (3), (4)) v(x)),
+b AS (SELECT c, CAST(0 AS BIGINT) AS i, 1 AS t, CAST(0 AS BIGINT) AS cost, '' AS audit FROM o GROUP BY c UNION ALL
+ SELECT c, i, t, (w).cost, (w).audit FROM (SELECT e.c, e.i, e.t, min({{'cost': b.cost + e.cost, 'audit': b.audit || e.audit}}) AS w FROM b JOIN e ON e.c = b.c AND e.i = b.i + 1 AND e.f = b.t GROUP BY e.c, e.i, e.t)),
+n AS (SELECT c, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(late) AS truncated,
+ count(*) FILTER (prior || s NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY c),
+d AS (SELECT b.c, min({{'cost': cost + CASE t WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 0 END, 'audit': audit || CASE t WHEN 2 THEN 'II' WHEN 3 THEN 'I' ELSE '' END}}) AS w FROM b LEFT JOIN n USING (c) WHERE b.i = coalesce(n.n, 0) GROUP BY b.c),
+u AS (SELECT c, (w).audit AS audit, j, substr((w).audit, j, 1) AS x FROM d, range(1, 100000) g(j) WHERE j <= length((w).audit)),
+y AS (SELECT *, count(*) FILTER (x <> 'I') OVER (PARTITION BY c ORDER BY j) AS i FROM u),
+k AS (SELECT y.c, y.j, y.x, l.role, CASE WHEN y.x = 'I' THEN '' ELSE l.text END AS text, row_number() OVER (PARTITION BY y.c ORDER BY y.j) - max(CASE WHEN y.x = 'K' AND l.s = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.c) AS place FROM y LEFT JOIN l ON l.c = y.c AND l.i = y.i WHERE y.x <> 'D'),
+v AS (SELECT c, string_agg(CASE WHEN x = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS said FROM k GROUP BY c)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, (w).cost AS cost, (w).audit AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id, c FROM o) o JOIN d USING (c) LEFT JOIN n USING (c) LEFT JOIN v USING (c)"""

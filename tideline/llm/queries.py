@@ -107,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": oracle.JACCARD, "op8_rules": oracle.RULES, "op10_decontaminate": oracle.DECONTAMINATE, "secrets_base": oracle.SECRETS, "personal_base": oracle.PERSONAL,
+    "op11_trie": oracle.TRIE, "op12_repair": oracle.REPAIR,
 }
