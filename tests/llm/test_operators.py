@@ -391,3 +391,31 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in dup.select("doc_id").collect()} == {i for i, c in want.items() if i == c}
     out = cp.run(spark, SMALL)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} and 0 < out.count() < docs.count()
+
+
+def test_samples_cut_rows_whatever_the_ids(spark):
+    """Null ids, one id on many rows, equal rows, a rare language: the bounds hold, and each language is learned."""
+    words = {"aa": "ba lo mi ne tu", "bb": "xq wz kj vh pf", "cc": "1 été çà où"}
+    rows = [(None, f"{words['aa']} {i}", "aa") for i in range(3000)] + [(7, f"{words['bb']} {i}", "bb") for i in range(3000)] + [(8, words["aa"], "aa")] * 3000 + [(9, words["cc"] + " " * i, "cc") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    known = docs.select(F.col("doc_id").alias("id"), "lang", "text")
+    taken = {r["lang"]: r["count"] for r in langid.sample_of(known, 90).groupBy("lang").count().collect()}
+    assert taken == {"aa": 30, "bb": 30, "cc": 3}
+    assert langid.sample_of(known, 2).count() == 2
+    net = langid.fit(docs, F.lit(True), sample=120)
+    out = langid.predict(docs, net, lang=F.col("lang"))
+    assert out.where("lang_pred <> lang").count() < 0.02 * len(rows)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    marked = labels.where("doc_id is not null").select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
+    texts = docs.select(F.col("doc_id").alias("label_id"), "text")
+    assert quality.sample_of(texts, marked, 50).count() == 50
+    assert quality.sample_of(texts, marked, 50_000).count() == 6003
+    assert quality.sample_of(texts.limit(0), marked, 50).count() == 0
+    scored = quality.score(docs, quality.fit(docs, labels, F.lit(True), sample=400), lang=F.col("lang")).groupBy("lang").agg(F.avg("score").alias("s")).collect()
+    means = {r["lang"]: r["s"] for r in scored}
+    assert means["bb"] > 0.9 and means["aa"] < 0.1
+
+
+def test_long_shapes_tell_all_their_signs():
+    long = "".join(chr(33 + i) for i in range(15))
+    assert quality.shape_of(long + "\u00a7" * 2) != quality.shape_of(long + "\u00b6" * 2)

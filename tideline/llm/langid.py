@@ -14,17 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.llm.common import kinds_of, map_texts, slices
 
 WINDOW = 160
 WIDTHS = (2, 4)
 FILTERS = 12
-#: Bound of the training sample, in documents; each gives up to PIECES windows.
+#: Bound of the training sample, in texts; each gives up to PIECES windows.
 SAMPLE = 4000
 PIECES = 3
-#: Documents that each language may give at least.
-LEAST = 20
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -139,26 +138,34 @@ class _PairView:
         return np.take(self.first, pairs >> 8, axis=0) + np.take(self.second, pairs & 255, axis=0)
 
 
+def sample_of(known: DataFrame, sample: int) -> DataFrame:
+    """``rank``, ``lang``, ``text`` of at most ``sample`` rows of ``known`` (id, lang, text), shared out evenly by language.
+
+    Each language gives its rows whose ids and texts hash lowest, up to its share; of equal rows any.  Beyond ``sample``
+    languages the most frequent ones share.  The cut of each language is found on hashes alone.
+    """
+    totals = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    languages = [r["lang"] for r in totals.collect()]
+    share = sample // max(1, len(languages))
+    ranked = known.withColumn("rank", F.xxhash64(F.col("id").cast("string"), "text", F.lit("langid"))).where(F.col("lang").isin(languages))
+    # a limit within each group, which Spark takes in every task before it shuffles
+    first = lambda rows: rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= share)
+    cuts = first(ranked.select("lang", "rank")).groupBy("lang").agg(F.max("rank").alias("last"))
+    # a row a language
+    return first(ranked.join(F.broadcast(cuts), "lang").where(F.col("rank") <= F.col("last"))).select("rank", "lang", "text")
+
+
 def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network:
     """Trains on up to ``sample`` texts for which ``train`` holds and ``lang`` is not null.
 
-    Each language has the same part of the sample (LEAST texts if that is less): those with the smallest
-    hashes of their ids, the same in every run.  Of a sampled text up to PIECES windows are used; scoring
-    always covers whole texts.
+    Rows are cut, not ids: null, equal and few ids make no difference to the bound, and every language among them is
+    learned.  Of a sampled text up to PIECES windows are used; scoring always covers whole texts.  Where nothing can be
+    learned, every text is ``und``.
     """
-    rank = F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid")).bitwiseAND(F.lit((1 << 62) - 1))
-    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(rank.alias("rank"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return Network([UNKNOWN])
-    quota = max(LEAST, sample // len(totals))
-    # shares a little above the quota, cut exactly on the driver; only windows travel there
-    shares = [(k, int(min(1.0, 1.2 * quota / n + 1e-9) * ((1 << 62) - 1))) for k, n in totals.items()]
-    below = docs.sparkSession.createDataFrame(shares, "lang string, below bigint")
-    pick = known.join(F.broadcast(below), "lang").where(F.col("rank") <= F.col("below")).select("rank", "lang", "text")
+    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             rank, lang, out = [], [], []
             for r, l, t in zip(*(batch.column(c).to_pylist() for c in ("rank", "lang", "text"))):
                 w = windows_of(t.encode("utf-8", "surrogatepass"))
@@ -168,9 +175,10 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                     out.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["rank", "lang", "window"])
 
-    rows = sorted((r["rank"], r["lang"], bytes(r["window"])) for r in pick.mapInArrow(cut, "rank bigint, lang string, window binary").toLocalIterator())
-    taken: dict[str, set] = {k: set() for k in totals}
-    rows = [r for r in rows if r[0] in taken[r[1]] or (len(taken[r[1]]) < quota and not taken[r[1]].add(r[0]))]
+    picked = sample_of(known, sample)
+    rows = sorted((r["rank"], r["lang"], bytes(r["window"])) for r in picked.mapInArrow(cut, "rank bigint, lang string, window binary").toLocalIterator())
+    if not rows:
+        return Network([UNKNOWN])
     languages = sorted({r[1] for r in rows})
     net = Network(languages)
     x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)

@@ -43,7 +43,7 @@ RUN = re.compile(r"(.)\1+")
 def shape_of(word: str) -> str:
     """Letters as A or a, digits as 0, runs of one sign as two of it; of long shapes their signs, and how long they are."""
     out = RUN.sub(r"\1\1", "".join("0" if c.isdigit() else c if not c.isalpha() else "A" if c.isupper() else "a" for c in word))
-    return out if len(out) <= 12 else f"{''.join(sorted({*out}))[:12]}~{len(out).bit_length()}"
+    return out if len(out) <= 12 else f"{''.join(sorted({*out}))}~{len(out).bit_length()}"
 
 
 def core_of(word: str) -> str:
@@ -173,9 +173,15 @@ def train(x: np.ndarray, y: np.ndarray, vectors: Vectors, seed: int = 5) -> Mode
     return model
 
 
-def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
-    """The ``sample`` rows whose ids hash lowest; the same in every run."""
-    return labelled.orderBy("rank", "label_id").limit(sample)
+def sample_of(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``rank``, ``label_id``, ``label``, ``text`` of exactly ``sample`` labelled rows (all if there are fewer): those whose ids and texts hash lowest.
+
+    The same rows in every run; of equal rows any.  The cut is found on hashes alone, so texts of the sample only move.
+    """
+    ranked = rows.withColumn("rank", F.xxhash64(F.col("label_id").cast("string"), F.col("text"), F.lit("quality")))
+    last = ranked.select("rank", "label_id").join(labels, "label_id").select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    below = ranked.where(F.col("rank") <= F.lit(last)).join(labels, "label_id")
+    return below.select("rank", "label_id", "label", "text").orderBy("rank").limit(sample)
 
 
 def fit(
@@ -187,15 +193,15 @@ def fit(
     label: str = "quality",
     sample: int = SAMPLE,
 ) -> Model:
-    """Learns from up to ``sample`` labelled documents for which ``train_rows``, a condition over ``label_id``, holds.
+    """Learns from up to ``sample`` labelled rows for which ``train_rows``, a condition over ``label_id``, holds.
 
-    Rows without a label, an id or a text teach nothing; where an id has several labels the lowest counts.
-    The sample bounds what is fitted, and only counts of terms, vectors and features reach the driver.
+    Rows without a label, an id or a text teach nothing; where an id has several labels the lowest counts, and all rows
+    of an id have it.  The sample bounds what is fitted: rows, not ids, are cut, and only counts of terms, vectors and
+    features of its rows reach the driver.
     """
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg(F.min(label).alias("label"))
-    ids = sample_of(known.withColumn("rank", F.xxhash64(F.col("label_id").cast("string"), F.lit("quality"))).where(train_rows), sample)
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg(F.min(label).alias("label")).where(train_rows)
     texts = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    picked = texts.join(ids, "label_id").select("rank", "label_id", "label", "text")
+    picked = sample_of(texts, known, sample)
     picked = picked.persist()
     try:
         vectors = fit_vectors(picked)
@@ -227,7 +233,7 @@ def fit_vectors(texts: DataFrame) -> Vectors:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             seen: Counter = Counter()
             for t in batch.column("text").to_pylist():
                 words = t.split()
