@@ -16,7 +16,7 @@ from tideline.plans.verdicts import should_include, with_types
 
 # Extra seconds of a clip after a parry, and the order in which signatures name a clip.
 PARRY_PAD = 3.0
-SIGNATURE_ORDER = ["caught", "parried", "deflected", "passed", "unknown"]
+SIGNATURE_ORDER = ["parry", "catch", "deflection", "missed", "insufficient_data"]
 MERGE_GAP = 2.0
 CLIP_CAP = 90.0
 OVERLAP = 0.3
@@ -57,7 +57,7 @@ def event_clips(events: DataFrame) -> DataFrame:
     """
     pre, post, cap = schema.DEFAULT_PADDING
     typed = events if "pre_pad" in events.columns else with_types(events)
-    extra = F.when(F.col("signature") == "parried", PARRY_PAD).otherwise(0.0)
+    extra = F.when(F.col("signature") == "parry", PARRY_PAD).otherwise(0.0)
     return (
         typed.withColumn("start", F.greatest(F.lit(0.0), F.col("t0") - F.coalesce("pre_pad", F.lit(pre))))
         .withColumn("end", F.least(F.col("duration"), F.col("t1") + F.coalesce("post_pad", F.lit(post)) + extra))

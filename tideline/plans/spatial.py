@@ -16,6 +16,10 @@ EXEMPT = ("penalty", "corner_kick", "goal_kick")
 SIDE_EXEMPT = ("corner_kick", "goal_kick")
 VOTER_CONFIDENCE, VOTER_SIMILARITY = 0.75, 0.77
 STATIONARY = (0.04, 0.08)
+# Fixed values of contacts: degrees, shares of the speed before, and a speed in shares of the field a second.
+PARRY_ANGLE, DEFLECTION_ANGLE = 90.0, 30.0
+CATCH_RATIO, MISSED_RATIO = 0.3, 0.8
+LEAST_MOTION = 0.01
 
 
 def proximity(a: DataFrame, b: DataFrame, limit: float, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
@@ -115,14 +119,59 @@ def turn(ax: Column, ay: Column, bx: Column, by_: Column) -> Column:
     return F.when(n > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
-def trajectory_signature(ratio: Column, angle: Column) -> Column:
-    """What happened at a contact, from the ratio of speeds after and before it and the turn in degrees."""
+def split_tracks(balls: DataFrame, keepers: DataFrame, *by: str) -> DataFrame:
+    """One row a track (``by``): its points, the contact, and the mean velocity on either side of it.
+
+    The contact is the point nearest to a keeper seen at the same time (to hundredths of a second; the earliest of equals),
+    or the middle point where no keeper is seen with the ball; it is moved inwards until a step lies on either side.
+    ``balls`` has t, seq, x, y and ``keepers`` t, x, y.  Columns: points, contact_t and distance (null without a keeper),
+    vx0, vy0, vx1, vy1, which are 0 where a side has no step longer than a microsecond.
+    """
+    w = in_order(*by)
+    frame = F.bround("t", 2).alias("frame")
+    places = balls.select(*by, "t", "seq", "x", "y", (F.row_number().over(w) - 1).alias("i"), F.lag("t").over(w).alias("t0"), F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), frame)
+    seen = keepers.select(*by, F.bround("t", 2).alias("frame"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    apart = F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky"))
+    nearest = places.join(seen, [*by, "frame"]).groupBy(*by).agg(F.min(F.struct(apart.alias("d"), "i", "t")).alias("m"))
+    sizes = places.groupBy(*by).agg(F.count("*").alias("points")).join(nearest, list(by), "left")
+    at = F.greatest(F.lit(1), F.least(F.coalesce("m.i", F.floor(F.col("points") / 2)), F.col("points") - 2))
+    contacts = sizes.select(*by, "points", at.alias("at"), F.col("m.t").alias("contact_t"), F.col("m.d").alias("distance"))
+    dt = F.col("t") - F.col("t0")
+    side = lambda cond, new, old: F.coalesce(F.avg(F.when(cond & (dt > 1e-6), (F.col(new) - F.col(old)) / dt)), F.lit(0.0))
+    before, after = F.col("i") <= F.col("at"), F.col("i") > F.col("at")
+    means = {"vx0": side(before, "x", "x0"), "vy0": side(before, "y", "y0"), "vx1": side(after, "x", "x0"), "vy1": side(after, "y", "y0")}
+    return places.join(contacts, list(by)).groupBy(*by).agg(*(F.first(c).alias(c) for c in ("points", "contact_t", "distance")), *(v.alias(k) for k, v in means.items()))
+
+
+def trajectory_signature(points: Column, before: Column, after: Column, ratio: Column, angle: Column) -> Column:
+    """What happened at a contact, from the speeds on either side, their ratio and the turn in degrees; the first that holds.
+
+    Under three points, or without motion on either side, nothing can be said; a sharp turn is a parry, a fall in speed
+    a catch, a mild turn a deflection, and a ball that goes on as it came was missed.  What is left counts as a deflection.
+    """
     return (
-        F.when(ratio.isNull() | angle.isNull(), "unknown")
-        .when(ratio < 0.3, "caught").when((angle >= 90) & (ratio >= 0.3), "parried").when((angle >= 30), "deflected").otherwise("passed")
+        F.when((points < 3) | (F.greatest(before, after) < LEAST_MOTION), "insufficient_data")
+        .when(angle >= PARRY_ANGLE, "parry").when(ratio <= CATCH_RATIO, "catch").when(angle >= DEFLECTION_ANGLE, "deflection").when(ratio >= MISSED_RATIO, "missed")
+        .otherwise("deflection")
     )
 
 
+def contact_signatures(balls: DataFrame, keepers: DataFrame, *by: str) -> DataFrame:
+    """The signature of each track of ``balls`` (``split_tracks``), with speeds, their ratio and the angle it comes from.
+
+    A ratio is 1 where the ball stood before, an angle 0 where it stood on either side.
+    """
+    tracks = split_tracks(balls, keepers, *by)
+    still = 1e-6
+    sped = tracks.withColumn("speed_before", F.hypot("vx0", "vy0")).withColumn("speed_after", F.hypot("vx1", "vy1"))
+    moved = (F.col("speed_before") >= still) & (F.col("speed_after") >= still)
+    angle = F.when(moved, turn(F.col("vx0"), F.col("vy0"), F.col("vx1"), F.col("vy1"))).otherwise(0.0)
+    ratio = F.when(F.col("speed_before") > still, F.col("speed_after") / F.col("speed_before")).otherwise(1.0)
+    out = sped.withColumn("speed_ratio", ratio).withColumn("angle", angle)
+    signature = trajectory_signature(*(F.col(c) for c in ("points", "speed_before", "speed_after", "speed_ratio", "angle")))
+    return out.withColumn("signature", signature).drop("vx0", "vy0", "vx1", "vy1")
+
+
 def union_box(boxes: DataFrame, *by: str) -> DataFrame:
     """The box around all boxes (x, y, w, h) of a group, and its area."""
     u = boxes.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))

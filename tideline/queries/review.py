@@ -98,7 +98,7 @@ def event_listing(spark, sf_dir):
 def _events(spark, sf_dir):
     tl = timeline(spark, sf_dir)
     ends = tl.groupBy("stream_id").agg(F.max("t").alias("duration"))
-    return tl.join(ends, "stream_id").withColumn("t0", F.col("t")).withColumn("t1", F.col("t") + 1.0).withColumn("signature", F.when(F.col("seq") % 9 == 0, "parried"))
+    return tl.join(ends, "stream_id").withColumn("t0", F.col("t")).withColumn("t1", F.col("t") + 1.0).withColumn("signature", F.when(F.col("seq") % 9 == 0, "parry"))
 
 
 @query("event_construction", f"""WITH {TL}, d AS (SELECT * FROM {DIM}), m AS (SELECT stream_id, max(t) AS duration FROM tl GROUP BY stream_id), e AS (SELECT stream_id, seq, is_gk, greatest(0.0, t - pre_pad) AS a, least(duration, t + post_pad) AS b FROM tl JOIN d USING (event_type) JOIN m USING (stream_id))

@@ -346,22 +346,27 @@ def jersey_colours(spark, sf_dir):
     return summaries.with_jersey(rows, "jersey").select("stream_id", "seq", "jersey", F.col("hue").cast("int").alias("hue"))
 
 
-@query("contact_signatures", f"""WITH {TL}, v AS (SELECT stream_id, seq, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(x, 2) OVER w AS ox, lag(y, 2) OVER w AS oy FROM tl WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
-a AS (SELECT *, px - ox AS ax, py - oy AS ay, x - px AS bx, y - py AS by_ FROM v), n AS (SELECT *, sqrt(ax * ax + ay * ay) AS la, sqrt(bx * bx + by_ * by_) AS lb FROM a),
-g AS (SELECT *, CASE WHEN la * lb > 0 THEN degrees(acos(greatest(-1.0, least(1.0, (ax * bx + ay * by_) / (la * lb))))) END AS angle, CASE WHEN la > 0 THEN lb / la END AS ratio FROM n)
-SELECT stream_id, CASE WHEN ratio IS NULL OR angle IS NULL THEN 'unknown' WHEN ratio < 0.3 THEN 'caught' WHEN angle >= 90 THEN 'parried' WHEN angle >= 30 THEN 'deflected' ELSE 'passed' END AS signature, count(*) AS n FROM g GROUP BY ALL""")
+CONTACT_SQL = f"""WITH {TL}, s AS (SELECT stream_id, seq, event_type, x, y, CAST(floor(t / 600) AS BIGINT) AS track, floor(t / 25) * 25 AS t FROM tl),
+b AS (SELECT *, row_number() OVER w - 1 AS i, lag(t) OVER w AS t0, lag(x) OVER w AS x0, lag(y) OVER w AS y0, count(*) OVER (PARTITION BY stream_id, track) AS n FROM s WHERE {is_('shot_on_target')} WINDOW w AS (PARTITION BY stream_id, track ORDER BY t, seq)),
+k AS (SELECT * FROM s WHERE {is_('corner_kick')}),
+p AS (SELECT b.stream_id, b.track, b.i, sqrt((b.x - k.x) * (b.x - k.x) + (b.y - k.y) * (b.y - k.y)) AS d FROM b JOIN k ON b.stream_id = k.stream_id AND b.track = k.track AND b.t = k.t),
+m AS (SELECT stream_id, track, arg_min(i, (d, i)) AS c, min(d) AS d FROM p GROUP BY ALL),
+f AS (SELECT b.*, m.d, CASE WHEN coalesce(m.c, n // 2) < 1 THEN 1 WHEN coalesce(m.c, n // 2) > n - 2 AND n > 2 THEN n - 2 ELSE coalesce(m.c, n // 2) END AS c FROM b LEFT JOIN m USING (stream_id, track)),
+v AS (SELECT stream_id, track, max(n) AS n, max(d) AS d, coalesce(avg((x - x0) / (t - t0)) FILTER (i <= c AND t > t0), 0) AS px, coalesce(avg((y - y0) / (t - t0)) FILTER (i <= c AND t > t0), 0) AS py,
+ coalesce(avg((x - x0) / (t - t0)) FILTER (i > c AND t > t0), 0) AS qx, coalesce(avg((y - y0) / (t - t0)) FILTER (i > c AND t > t0), 0) AS qy FROM f GROUP BY ALL),
+g AS (SELECT *, sqrt(px * px + py * py) AS u, sqrt(qx * qx + qy * qy) AS w FROM v),
+h AS (SELECT *, CASE WHEN u > 0.000001 THEN w / u ELSE 1 END AS ratio, CASE WHEN u < 0.000001 OR w < 0.000001 THEN 0 ELSE degrees(acos(greatest(-1, least(1, (px * qx + py * qy) / (u * w))))) END AS angle FROM g)
+SELECT stream_id, track, CAST(n AS BIGINT) AS points, {MICRO.format('d')} AS distance_u, CASE WHEN n < 3 OR greatest(u, w) < 0.01 THEN 'insufficient_data' WHEN angle >= 90 THEN 'parry' WHEN ratio <= 0.3 THEN 'catch' WHEN angle >= 30 THEN 'deflection' WHEN ratio >= 0.8 THEN 'missed' ELSE 'deflection' END AS signature FROM h"""
+
+
+@query("contact_signatures", CONTACT_SQL)
 def contact_signatures(spark, sf_dir):
-    """What happened at each point of a track, from speeds and directions around it."""
-    from tideline.operators.timeline import in_order
+    """What the ball did at its contact with a keeper, of each track of ten minutes."""
     from tideline.plans import spatial
 
-    w = in_order("stream_id")
-    p = timeline(spark, sf_dir).select("stream_id", "seq", "t", "x", "y", *(F.lag(c, k).over(w).alias(f"{c}{k}") for c in ("x", "y") for k in (1, 2)))
-    ax, ay, bx, by = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"), F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    before = F.sqrt(ax * ax + ay * ay)
-    ratio = F.when(before > 0, F.sqrt(bx * bx + by * by) / before)
-    out = p.withColumn("signature", spatial.trajectory_signature(ratio, spatial.turn(ax, ay, bx, by)))
-    return out.groupBy("stream_id", "signature").agg(F.count("*").alias("n"))
+    rows = timeline(spark, sf_dir).withColumn("track", F.floor(F.col("t") / 600).cast("bigint")).withColumn("t", F.floor(F.col("t") / 25) * 25.0)
+    out = spatial.contact_signatures(kind(rows, "shot_on_target"), kind(rows, "corner_kick"), "stream_id", "track")
+    return out.select("stream_id", "track", "points", micro(F.col("distance")).alias("distance_u"), "signature")
 
 
 @query("flat_confidences", f"WITH {TL}, r AS (SELECT CASE WHEN stream_id < '2024-01-10' THEN stream_id ELSE 'rest' END AS stream_id, CASE WHEN stream_id < '2024-01-10' THEN 0.5 + (seq % 2) / 10.0 ELSE confidence END AS confidence FROM tl) SELECT stream_id, count(*) AS n, count(DISTINCT floor(confidence * 100 + 0.5)) AS values FROM r GROUP BY stream_id HAVING count(*) > 20 AND count(DISTINCT floor(confidence * 100 + 0.5)) <= 2")
@@ -392,17 +397,16 @@ def prometheus_lines(spark, sf_dir):
     return jobs.prometheus(jobs.by_status(_jobs(spark, sf_dir)))
 
 
-@query("clip_signatures", f"""WITH {TL}, s AS (SELECT stream_id, CAST(floor(t / 60) AS BIGINT) AS clip, min(CASE seq % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END) AS k FROM tl GROUP BY ALL) SELECT stream_id, clip, k AS place FROM s""")
+@query("clip_signatures", f"""WITH {TL}, s AS (SELECT stream_id, CAST(floor(t / 60) AS BIGINT) AS clip, list(CASE seq % 6 WHEN 0 THEN 'insufficient_data' WHEN 1 THEN 'missed' WHEN 2 THEN 'deflection' WHEN 3 THEN 'catch' WHEN 4 THEN 'parry' ELSE 'odd' END) AS a FROM tl GROUP BY ALL)
+SELECT stream_id, clip, CASE WHEN list_contains(a, 'parry') THEN 'parry' WHEN list_contains(a, 'catch') THEN 'catch' WHEN list_contains(a, 'deflection') THEN 'deflection' WHEN list_contains(a, 'missed') THEN 'missed' WHEN list_contains(a, 'insufficient_data') THEN 'insufficient_data' END AS signature FROM s""")
 def clip_signatures(spark, sf_dir):
-    """The place in the fixed order of the signature that a clip of several events gets."""
+    """The signature that a clip of several events gets."""
     from tideline.plans import reels
 
-    order = reels.SIGNATURE_ORDER
-    s = F.col("seq") % 5
-    own = F.when(s == 0, order[0]).when(s == 1, order[1]).when(s == 2, order[2]).otherwise("odd")
-    c = timeline(spark, sf_dir).withColumn("own", own).groupBy("stream_id", F.floor(F.col("t") / 60).cast("bigint").alias("clip")).agg(F.collect_list("own").alias("all"))
-    place = F.array_position(F.array(*map(F.lit, order)), reels.signature_of(F.col("all")))
-    return c.select("stream_id", "clip", place.cast("int").alias("place"))
+    s = F.col("seq") % 6
+    own = F.when(s == 0, "insufficient_data").when(s == 1, "missed").when(s == 2, "deflection").when(s == 3, "catch").when(s == 4, "parry").otherwise("odd")
+    c = timeline(spark, sf_dir).withColumn("own", own).groupBy("stream_id", F.floor(F.col("t") / 60).cast("bigint").alias("clip")).agg(F.collect_set("own").alias("all"))
+    return c.select("stream_id", "clip", reels.signature_of(F.col("all")).alias("signature"))
 
 
 RUNS_SQL = f"""{TL}, s AS (SELECT *, confidence >= 0.3 AS active, lead(t) OVER w AS nt, row_number() OVER w - row_number() OVER (PARTITION BY stream_id, confidence >= 0.3 ORDER BY t, seq) AS g FROM tl WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
