@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from tideline.catalog import ORACLE_SQL, QUERIES
-from tideline.queries import evaluation, folding, joins, review, rules, store, texts, windows  # noqa: F401  each module registers its queries
+from tideline.queries import evaluation, folding, joins, review, rules, scoring, store, texts, windows  # noqa: F401  each module registers its queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -41,3 +41,10 @@ def unstaged(df: DataFrame) -> None:
     """Removes the files of a staged table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _remove(df.sparkSession, folder)
+
+
+def store(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a program appends to while it runs; it goes when the program ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
