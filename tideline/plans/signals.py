@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,38 +81,54 @@ def probe_window(t: Column, whistle: Column, clip_start: Column, clip_end: Colum
     return F.struct(F.when(b - a > WINDOW_MOST, cut).otherwise(a).alias("start"), F.when(b - a > WINDOW_MOST, cut + WINDOW_MOST).otherwise(b).alias("end"))
 
 
+def _cuts(start: np.ndarray, end: np.ndarray, run: np.ndarray, pad: float, most: float) -> np.ndarray:
+    """Whether a window is split before each flag of a stretch, in order.
+
+    Splitting at the largest gap, and again, makes a tree: a flag's gap is the largest between the nearest larger one
+    (or, before it, equal one: the first of equals splits first) on either side.  It splits iff the window between those
+    two is too long.  Two passes with a stack of falling gaps find both neighbours.
+    """
+    n = len(start)
+    gap = np.full(n, np.inf)
+    gap[1:] = np.where(run[1:] == run[:-1], start[1:] - end[:-1], np.inf)
+    left, right, stack = np.zeros(n, np.int64), np.full(n, n, np.int64), []
+    for i, g in enumerate(gap.tolist()):
+        while stack and gap[stack[-1]] < g:
+            right[stack.pop()] = i
+        left[i] = stack[-1] if stack else 0
+        stack.append(i)
+    # the first flag of a run has no gap; what begins there is no split
+    return (gap < np.inf) & (end[right - 1] + pad - np.maximum(0.0, start[left] - pad) > most)
+
+
 def flag_windows(flags: DataFrame, gap: float, pad: float, most: float) -> DataFrame:
     """Flags (t, seq, label, zone) merged while gaps are at most ``gap`` and the zone stays, then padded.
 
-    Windows over ``most`` seconds are split at their largest gap, and again, until each fits; the first of
-    equal gaps splits.  Columns: stream_id, start, end, labels, n_flags.
+    A flag spans from ``start`` to ``end`` where it has these (neither may fall along t, seq), else its t alone.  Windows over
+    ``most`` seconds are split at their largest gap, and again, until each fits or is one flag; the first of equal gaps
+    splits.  Whether a flag splits its window shows within ``most`` seconds of it, so streams are dealt by stretches that
+    know that much of their neighbours.  Columns: stream_id, start, end, labels, n_flags.
     """
-    w = tm.in_order()
-    new = (F.col("t") - F.lag("t").over(w) > gap) | ~F.col("zone").eqNullSafe(F.lag("zone").over(w))
-    runs = flags.withColumn("run", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    grouped = runs.groupBy("stream_id", "run").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "label"))).alias("flags"))
-
-    def split(times: list[float]) -> list[tuple[int, int]]:
-        todo, done = [(0, len(times))], []
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2 or times[b - 1] - times[a] + 2 * pad <= most:
-                done.append((a, b))
-                continue
-            cut = max(range(a + 1, b), key=lambda i: (times[i] - times[i - 1], -i))
-            todo += [(a, cut), (cut, b)]
-        return sorted(done)
-
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def parts(times: pd.Series) -> pd.Series:
-        return times.map(lambda ts: [{"a": a, "b": b} for a, b in split(list(ts))])
-
-    cut = grouped.withColumn("p", F.explode(parts(F.transform("flags", lambda f: f["t"]))))
-    own = cut.withColumn("flags", F.slice("flags", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")))
-    return own.select(
-        "stream_id", F.greatest(F.lit(0.0), F.element_at("flags", 1)["t"] - pad).alias("start"), (F.element_at("flags", -1)["t"] + pad).alias("end"),
-        F.array_sort(F.array_distinct(F.transform("flags", lambda f: f["label"]))).alias("labels"), F.size("flags").alias("n_flags"),
-    )
+    spans = flags if "start" in flags.columns else flags.withColumn("start", F.col("t")).withColumn("end", F.col("t"))
+    spans = spans.select("stream_id", "t", "seq", "label", "zone", "start", "end")
+    apart = lambda before, v: (v["start"] - before["end"] > gap) | ~v["zone"].eqNullSafe(before["zone"])
+    runs = tm.numbered(spans, F.struct("start", "end", "zone"), apart, ("stream_id",), "run")
+    reach = most + 2 * pad
+    width = 8 * reach
+    near = F.sequence(F.floor((F.col("t") - reach) / width), F.floor((F.col("t") + reach) / width))
+    dealt = runs.withColumn("stretch", F.explode(near))
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "seq"])
+        rows["cut"] = _cuts(rows["start"].to_numpy(), rows["end"].to_numpy(), rows["run"].to_numpy(), pad, most)
+        return rows[np.floor(rows["t"] / width) == rows["stretch"]]
+
+    kept = dealt.groupBy("stream_id", "stretch").applyInPandas(split, ", ".join(f"{c} {t}" for c, t in dealt.dtypes) + ", cut boolean").drop("stretch")
+    # the cuts of a run, counted from its start
+    parts = tm.numbered(kept, F.struct("run", "cut"), lambda before, v: v["cut"] | (before["run"] != v["run"]), ("stream_id",), "part")
+    at = F.struct("t", "seq")
+    windows = parts.groupBy("stream_id", "part").agg(F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.array_sort(F.collect_set("label")).alias("labels"), F.count("*").cast("int").alias("n_flags"))
+    return windows.select("stream_id", F.greatest(F.lit(0.0), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"), "labels", "n_flags")
 
 
 def active_runs(samples: DataFrame, least: float, keep_open: bool, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:

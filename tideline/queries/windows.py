@@ -202,3 +202,24 @@ def probe_windows(spark, sf_dir):
 
     w = timeline(spark, sf_dir).withColumn("w", probe_window(F.col("t"), F.when(F.col("seq") % 3 == 0, F.col("t")), F.greatest(F.lit(0.0), F.col("t") - 5.0), F.col("t") + 15.0))
     return w.select("stream_id", "seq", micro(F.col("w.start")).alias("start_u"), micro(F.col("w.end")).alias("end_u"))
+
+
+SPLIT = f"""WITH RECURSIVE {TL}, f AS (SELECT stream_id, seq, t, floor(t / 10) * 10 AS a, floor(t / 10) * 10 + 10 AS b, CAST(floor(t / 1200) AS BIGINT) AS zone, event_type AS label FROM tl),
+g AS (SELECT *, row_number() OVER w AS i, a - lag(b) OVER w AS gap, coalesce(a - lag(b) OVER w > 40 OR zone <> lag(zone) OVER w, true) AS new FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
+r AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY stream_id ORDER BY i) AS run FROM g),
+p AS (SELECT stream_id, min(i) AS lo, max(i) AS hi FROM r GROUP BY stream_id, run UNION ALL
+ SELECT stream_id, unnest([lo, c]) AS lo, unnest([c - 1, hi]) AS hi FROM (SELECT p.stream_id, lo, hi, arg_max(i, (gap, -i)) AS c FROM p JOIN r ON r.stream_id = p.stream_id AND i > lo AND i <= hi GROUP BY p.stream_id, lo, hi HAVING
+  max(CASE WHEN i = hi THEN b END) + 3 - greatest(0, (SELECT any_value(a) FROM r z WHERE z.stream_id = p.stream_id AND z.i = lo) - 3) > 90)),
+o AS (SELECT p.stream_id, lo, hi, arg_min(a, i) AS a, arg_max(b, i) AS b, count(*) AS n, list_sort(list_distinct(list(label))) AS labels FROM p JOIN r ON r.stream_id = p.stream_id AND i BETWEEN lo AND hi GROUP BY p.stream_id, lo, hi)
+SELECT stream_id, {MICRO.format('greatest(0, a - 3)')} AS start_u, {MICRO.format('(b + 3)')} AS end_u, array_to_string(labels, ',') AS labels, n AS flags FROM o WHERE n = 1 OR b + 3 - greatest(0, a - 3) <= 90"""
+
+
+@query("flag_windows", SPLIT)
+def flag_windows(spark, sf_dir):
+    """Flags of ten seconds merged into windows, and these split at their largest gaps until they fit."""
+    from tideline.plans.signals import flag_windows as merged
+
+    start = F.floor(F.col("t") / 10) * 10.0
+    rows = timeline(spark, sf_dir).select("stream_id", "seq", "t", F.col("event_type").alias("label"), F.floor(F.col("t") / 1200).alias("zone"), start.alias("start"), (start + 10).alias("end"))
+    out = merged(rows, 40.0, 3.0, 90.0)
+    return out.select("stream_id", micro(F.col("start")).alias("start_u"), micro(F.col("end")).alias("end_u"), F.array_join("labels", ",").alias("labels"), F.col("n_flags").cast("bigint").alias("flags"))
