@@ -131,7 +131,8 @@ def split_tracks(balls: DataFrame, keepers: DataFrame, *by: str) -> DataFrame:
     frame = F.bround("t", 2).alias("frame")
     places = balls.select(*by, "t", "seq", "x", "y", (F.row_number().over(w) - 1).alias("i"), F.lag("t").over(w).alias("t0"), F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), frame)
     seen = keepers.select(*by, F.bround("t", 2).alias("frame"), F.col("x").alias("kx"), F.col("y").alias("ky"))
-    apart = F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky"))
+    dx, dy = F.col("x") - F.col("kx"), F.col("y") - F.col("ky")
+    apart = F.sqrt(dx * dx + dy * dy)
     nearest = places.join(seen, [*by, "frame"]).groupBy(*by).agg(F.min(F.struct(apart.alias("d"), "i", "t")).alias("m"))
     sizes = places.groupBy(*by).agg(F.count("*").alias("points")).join(nearest, list(by), "left")
     at = F.greatest(F.lit(1), F.least(F.coalesce("m.i", F.floor(F.col("points") / 2)), F.col("points") - 2))
