@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.plans import rules
+
 LOOK_AHEAD_SEC = 180.0
 
 
@@ -61,6 +63,50 @@ def confirmed_by_kickoff(shots: DataFrame, kickoffs: DataFrame, late: str = "1 m
     return s.join(k, (F.col("s.stream_id") == F.col("k.stream_id")) & gap).select("s.stream_id", "s.seq", F.col("k.seq").alias("kickoff_seq"))
 
 
+def _apart(lo: float, hi: float) -> Column:
+    """lo < r.ts - l.ts < hi, in seconds."""
+    after = lambda sec: F.expr(f"l.ts + INTERVAL '{sec}' SECOND")
+    return (F.col("r.ts") > after(lo)) & (F.col("r.ts") < after(hi))
+
+
+def shots_and_kickoffs(shots: DataFrame, kickoffs: DataFrame, late: str = "1 minute", lo: float = 10.0, hi: float = 90.0) -> DataFrame:
+    """Every shot with each kickoff between ``lo`` and ``hi`` seconds after it (ends left out), or with none.
+
+    A shot that no kickoff followed is given out once the watermark has passed its window; state ends there too.  The side that
+    is further behind sets the watermark.
+    """
+    l, r = shots.withWatermark("ts", late).alias("l"), kickoffs.withWatermark("ts", late).alias("r")
+    return l.join(r, (F.col("l.stream_id") == F.col("r.stream_id")) & _apart(lo, hi), "left_outer").select("l.stream_id", "l.seq", "l.ts", F.col("r.seq").alias("kickoff_seq"))
+
+
+def without_neighbours(left: DataFrame, right: DataFrame, reach: dict[str, tuple[float, float]], late: str = "1 minute") -> DataFrame:
+    """Left rows near which their stream has no right row of a type, between the seconds that ``reach`` gives each type.
+
+    An outer join of two streams whose matched side is dropped: a row is given out when the watermark has passed all it
+    could meet, and held no longer.
+    """
+    l, r = left.withWatermark("ts", late).alias("l"), right.where(F.col("event_type").isin(list(reach))).withWatermark("ts", late).alias("r")
+    meets = F.lit(False)
+    for kind, (lo, hi) in reach.items():
+        meets = meets | ((F.col("r.event_type") == kind) & _apart(lo, hi))
+    widest = _apart(min(lo for lo, _ in reach.values()), max(hi for _, hi in reach.values()))
+    out = l.join(r, (F.col("l.stream_id") == F.col("r.stream_id")) & widest & meets, "left_outer")
+    return out.where(F.col("r.seq").isNull()).select("l.*")
+
+
+def caught(events: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Shots on target of ``events`` (stream_id, seq, ts, event_type, confidence) after which play simply goes on: the keeper caught.
+
+    The online form of the catch rule without probes: no save or goal near, no corner, kickoff or goal kick after the shot
+    within the rule's reach, the longest of which is the look-ahead.
+    """
+    near = rules.CATCH_SKIP
+    reach = dict.fromkeys(rules.SAVES, (-near["save"], near["save"])) | {"goal": (-near["goal"], near["goal"]), "corner_kick": (0.0, near["corner"]), "kickoff": (0.0, near["kickoff"]), "goal_kick": (0.0, near["goal_kick"])}
+    shots = events.where(F.col("event_type") == "shot_on_target").select("stream_id", "seq", "ts", "event_type", "confidence")
+    out = without_neighbours(shots, events.select("stream_id", "seq", "ts", "event_type"), reach, late)
+    return out.select("stream_id", "seq", F.lit("catch").alias("event_type"), (F.col("confidence") * 0.85).alias("confidence"))
+
+
 def dead_time(events: DataFrame, quiet_sec: float = 45.0, after_sec: float = 1.0, shot: str = "shot_on_target", ts: str | None = None, idle_sec: int = 3600) -> DataFrame:
     """Shots after which a stream is quiet, as soon as an event at or past their window shows it.
 
