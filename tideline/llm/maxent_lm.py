@@ -3,7 +3,7 @@
 Words are symbols: the most frequent ones each their own, all others one symbol for each shape (how they
 end).  The probability of a word is that of its symbol's class, times that of the symbol within its class,
 times the word's share of its symbol.  Both softmaxes add up weights of features of the words before it: the
-last word, the one before it (a skip feature), and the hashed n-gram of both; those within classes are hashed
+last word, the second and the third (skip features), and hashed n-grams; those within classes are hashed
 together with the class.  Shares and priors are counts over all training documents.
 
 Training is synchronous.  Texts are dealt into ROUNDS by a hash of what they say.  In each round the weights
@@ -116,25 +116,28 @@ class Net:
 
     @property
     def class_rows(self) -> int:
-        return 2 * (SYMBOLS + 1) + self.pairs
+        return 3 * (SYMBOLS + 1) + self.pairs
 
     def rows(self, symbols: np.ndarray, fresh: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Feature rows of tokens a to b: (3, n) of the class model and (2, n) within the class of each token."""
-        lo = max(0, a - 2)
+        """Feature rows of tokens a to b: (4, n) of the class model and (3, n) within the class of each token."""
+        lo = max(0, a - 3)
         x, new = symbols[lo:b].astype(np.uint32), fresh[lo:b]
-        one = np.full(len(x), START, np.uint32)
-        one[1:] = x[:-1]
-        one[new] = START
-        two = np.full(len(x), START, np.uint32)
-        two[1:] = one[:-1]
-        two[new] = START
-        one, two, own = one[a - lo :], two[a - lo :], self.of_class[x[a - lo :]].astype(np.uint32)
-        gram = one * np.uint32(SYMBOLS + 1) + two
+        before, last = [], x
+        for _ in range(3):
+            shifted = np.full(len(x), START, np.uint32)
+            shifted[1:] = last[:-1]
+            shifted[new] = START
+            before.append(shifted[a - lo :])
+            last = shifted
+        (one, two, three), own = before, self.of_class[x[a - lo :]].astype(np.uint32)
+        size = np.uint32(SYMBOLS + 1)
+        gram = one * size + two
         shift = lambda n: np.uint32(33 - n.bit_length())  # noqa: E731  numbers of rows are powers of two
         pair = np.uint32(0x9E3779B1)
-        outer = np.stack([one, two + np.uint32(SYMBOLS + 1), (gram * pair >> shift(self.pairs)) + np.uint32(2 * (SYMBOLS + 1))])
-        n = len(self.inner)
-        inner = np.stack([(one * np.uint32(CLASSES) + own) * pair >> shift(n), (gram * np.uint32(0x85EBCA77) ^ own * np.uint32(0xC2B2AE3D)) * pair >> shift(n)])
+        outer = np.stack([one, two + size, three + 2 * size, (gram * pair >> shift(self.pairs)) + 3 * size])
+        n = shift(len(self.inner))
+        skip = (two * np.uint32(CLASSES) + own) * np.uint32(0x85EBCA6B)
+        inner = np.stack([(one * np.uint32(CLASSES) + own) * pair >> n, skip >> n, (gram * np.uint32(0x85EBCA77) ^ own * np.uint32(0xC2B2AE3D)) * pair >> n])
         return outer, inner
 
     def masses(self, symbols: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
