@@ -28,14 +28,14 @@ from tideline.llm.common import U64, as_long, kinds_of, map_texts, mix, slices
 from tideline.llm.scratch import Scratch
 from tideline.llm.tokens import LOWERED, Words
 
-SHAPE_BITS = 9
+SHAPE_BITS = 10
 SHAPES = 1 << SHAPE_BITS
 #: Words that are symbols of their own, and words whose counts travel with the model.
-FEATURES = 1792
+FEATURES = 3072
 KNOWN = 100_000
 SYMBOLS = FEATURES + SHAPES
 #: As many classes as symbols in each, so that both softmaxes cost the same.
-CLASSES = SLOTS = 48
+CLASSES = SLOTS = 64
 assert CLASSES * SLOTS == SYMBOLS
 #: Stands before a text.
 START = SYMBOLS
