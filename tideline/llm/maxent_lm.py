@@ -42,7 +42,7 @@ START = SYMBOLS
 ANCHORS = 64
 ROUNDS = 8
 RATE, DAMP = 0.7, 2.0
-BATCH, BLOCK = 1 << 15, 1 << 11
+BATCH, BLOCK = 1 << 12, 1 << 11
 LONG_RUN = 16
 #: The end of a text, as a token.
 END_KEY = 0x1234567890ABCD << SHAPE_BITS
