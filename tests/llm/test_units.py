@@ -298,7 +298,8 @@ def test_features_of_the_words_before():
     outer, _ = net.rows(symbols, fresh, 0, 7)
     assert outer[0].tolist() == [start, 1, start, start, 4, 5, 6]
     assert (outer[1] - step).tolist() == [start, start, start, start, start, 4, 5]
-    assert (outer[2] >= 2 * step).all() and (outer[2] < net.class_rows).all() and outer[2][0] == outer[2][2]
+    assert (outer[2] - 2 * step).tolist() == [start, start, start, start, start, start, 4]
+    assert (outer[3] >= 3 * step).all() and (outer[3] < net.class_rows).all() and outer[3][0] == outer[3][2]
     for a in range(7):
         for whole, part in zip(net.rows(symbols, fresh, 0, 7), net.rows(symbols, fresh, a, 7)):
             assert np.array_equal(whole[:, a:], part)
