@@ -14,8 +14,8 @@ from tideline.queries.texts import VERDICTS, said
 COLUMNS = ("stream_id", "seq", "t", "result", "event_type", "confidence", "reasoning")
 #: A fifth of the rows were never scored: candidates only.
 SCORED, UNSCORED = "seq % 5 <> 0", "seq % 5 = 0"
-#: One row in forty stands in for a sparse stream, where gaps are long.
-SPARSE = "seq % 40 = 1"
+#: Times that a stream is stretched, so that its gaps are long and all its rows are looked at.
+LONG, LONGER = 20.0, 40.0
 # What models say when they are asked again, by the seq of the row at that time.
 ANSWERS_SQL = """a AS (SELECT stream_id, t, CASE WHEN seq % 5 <> 0 THEN CASE seq % 3 WHEN 0 THEN 'shot' WHEN 1 THEN 'catch' ELSE 'goal' END WHEN seq % 2 = 0 THEN 'set_piece' ELSE 'kickoff' END AS phase,
  CASE WHEN seq % 5 <> 0 THEN CASE seq % 3 WHEN 0 THEN 'shot_on_target' WHEN 1 THEN 'catch' ELSE 'goal' END WHEN seq % 4 = 0 THEN 'corner_kick' WHEN seq % 2 = 0 THEN 'goal_kick' ELSE 'kickoff' END AS event_type,
@@ -76,24 +76,24 @@ def kickoff_probes(spark, sf_dir):
     return rules.kickoff_probes(rows, candidates(spark, sf_dir).where(UNSCORED), extent(spark, sf_dir)).select("stream_id", micro(F.col("t")).alias("t_u"))
 
 
-@query("corner_probes", f"""WITH {VERDICTS}, w AS (SELECT * FROM v WHERE {SPARSE}), k AS (SELECT * FROM w WHERE result = 'confirmed' AND event_type = 'corner_kick'), d AS (SELECT DISTINCT stream_id, t FROM w),
+@query("corner_probes", f"""WITH {VERDICTS}, w AS (SELECT * REPLACE (t * {LONGER} AS t) FROM v), k AS (SELECT * FROM w WHERE result = 'confirmed' AND event_type = 'corner_kick'), d AS (SELECT DISTINCT stream_id, t FROM w),
 g AS (SELECT stream_id, t, lead(t) OVER (PARTITION BY stream_id ORDER BY t) AS nt FROM d),
 p AS (SELECT DISTINCT stream_id, t + i * 60.0 AS t FROM g, range(1, 11) r(i) WHERE nt - t >= 150 AND nt - t <= 600 AND t + i * 60.0 < nt - 10),
 q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.stream_id = p.stream_id AND abs(k.t - p.t) < 45))
 SELECT stream_id, {MICRO.format('t')} AS t_u FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS r FROM q) WHERE r <= 20""")
 def corner_probes(spark, sf_dir):
     """Where the chain looks for corners in long gaps."""
-    rows = rules.narrow(said(spark, sf_dir).where(SPARSE).select(*COLUMNS))
+    rows = rules.narrow(said(spark, sf_dir).select(*COLUMNS).withColumn("t", F.col("t") * LONGER))
     return rules.corner_probes(rows).select("stream_id", micro(F.col("t")).alias("t_u"))
 
 
-@query("shot_probes", f"""WITH {VERDICTS}, w AS (SELECT * FROM v WHERE {SPARSE} OR seq % 40 = 21), n AS (SELECT * FROM w x WHERE result = 'rejected' AND NOT EXISTS (SELECT 1 FROM w y WHERE y.stream_id = x.stream_id AND y.result = 'confirmed' AND abs(y.t - x.t) < 10)),
+@query("shot_probes", f"""WITH {VERDICTS}, w AS (SELECT * REPLACE (t * {LONG} AS t) FROM v), n AS (SELECT * FROM w x WHERE result = 'rejected' AND NOT EXISTS (SELECT 1 FROM w y WHERE y.stream_id = x.stream_id AND y.result = 'confirmed' AND abs(y.t - x.t) < 10)),
 b AS (SELECT *, count(*) OVER p AS many, min(t) OVER p AS lo, max(t) OVER p AS hi FROM n WINDOW p AS (PARTITION BY stream_id)),
 e AS (SELECT *, CASE WHEN hi > lo THEN least(CAST(floor((t - lo) / ((hi - lo) / 30)) AS INTEGER), 29) ELSE 0 END AS bin FROM b),
 f AS (SELECT *, row_number() OVER (PARTITION BY stream_id, bin ORDER BY confidence DESC, t, seq) AS r FROM e) SELECT stream_id, seq FROM f WHERE many <= 30 OR r = 1""")
 def shot_probes(spark, sf_dir):
     """Rejected rows that the chain asks about again."""
-    rows = rules.narrow(said(spark, sf_dir).where(f"{SPARSE} OR seq % 40 = 21").select(*COLUMNS))
+    rows = rules.narrow(said(spark, sf_dir).select(*COLUMNS).withColumn("t", F.col("t") * LONG))
     return rules.shot_probes(rows).select("stream_id", "seq")
 
 
