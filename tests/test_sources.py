@@ -62,6 +62,21 @@ def test_files_and_content(spark, tmp_path):
     assert len({r["sha256"] for r in src.content_ids(spark, str(tmp_path)).collect()}) == 1
 
 
+def test_ids_of_files_of_any_size(spark, tmp_path):
+    """One beyond what a cell can hold, one of a whole number of pieces, one empty, and one with an odd name."""
+    import hashlib
+
+    made = {"big.mp4": 2**31 + 10, "pieces.mp4": 2 * src.PIECE, "empty.mp4": 0, "odd name %20 é.mp4": 3}
+    for name, n in made.items():
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(n)
+    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in src.content_ids(spark, str(tmp_path)).collect()}
+    for name in set(made) - {"empty.mp4"}:
+        with open(tmp_path / name, "rb") as f:
+            assert got.pop(name) == hashlib.file_digest(f, "sha256").hexdigest()
+    assert not got
+
+
 def test_job_rows(spark):
     assert jobs.by_status(spark.createDataFrame([("failed",)], "status string")).where("jobs = 0").count() == len(schema.JOB_STATUS) - 1
     p = spark.createDataFrame([("j", i, v) for i, v in enumerate([0.0, 5.0, 5.0, 5.05, 9.0])], "job_id string, tick int, pct double")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,9 +131,31 @@ def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4",
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), "modificationTime").where(ext.isin(*extensions))
 
 
+#: Bytes of a file that are in memory at once while it is hashed.
+PIECE = 8 << 20
+
+
 def content_ids(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each file, of any size: a task opens its files itself and reads them piece by piece.
+
+    Spark lists the files and deals them by path; the store must be one that Arrow opens.  A file that cannot be read fails its task;
+    empty files are not listed.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                fs, at = FileSystem.from_uri(re.sub("^file:/+", "/", name) if name.startswith("file:") else quote(name, safe=":/"))
+                state = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while piece := f.read(PIECE):
+                        state.update(piece)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "sha256"])
+
+    return spark.read.format("binaryFile").load(path).select("path").repartition("path").mapInArrow(run, "path string, sha256 string")
 
 
 #: The fields of a window's line in a worker's log.
