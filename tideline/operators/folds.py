@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.operators.timeline import numbered, sessions
+from tideline.operators.timeline import numbered, scan, sessions, with_totals
 
 Step = Callable[[Column, Column], Column]
 
+#: Parts of a point of score that a stream's clips are dealt by.
+SCORE_PARTS = 1024
+
 
 def chunks(df: DataFrame, reach: float, *by: str) -> DataFrame:
     """Splits streams where neighbouring times are more than ``reach`` apart."""
@@ -26,10 +28,10 @@ def chunks(df: DataFrame, reach: float, *by: str) -> DataFrame:
 def interval_chunks(df: DataFrame, reach: float, *by: str, start: str = "start", end: str = "end") -> DataFrame:
     """Splits streams of intervals where one begins more than ``reach`` after all before it ended."""
     by = by or ("stream_id",)
-    w = W.partitionBy(*by).orderBy(start, "seq")
-    before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = (F.col(start) > before + reach).cast("int")
-    return df.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("chunk", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    known = scan(df, by, (start, "seq"), highest={"__until": F.col(end)})
+    known = known.withColumn("__new", F.coalesce((F.col(start) > F.col("__until") + reach).cast("int"), F.lit(0)))
+    counted = scan(known, by, (start, "seq"), summed={"__earlier": F.col("__new")})
+    return counted.withColumn("chunk", F.col("__earlier") + F.col("__new")).drop("__until", "__new", "__earlier")
 
 
 def fold(df: DataFrame, by: tuple[str, ...], order: tuple[Column, ...], fields: list[str], step: Step, state: str | None = None, finish: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -139,10 +141,9 @@ def suppress_overlaps(df: DataFrame, threshold: float, by: tuple[str, ...] = ("s
 
 def budget_prune(df: DataFrame, cap: float, by: tuple[str, ...] = ("stream_id",), score: str = "score") -> DataFrame:
     """Drops clips from the lowest score up until the total length fits ``cap``; the earlier of equals goes first."""
-    w = W.partitionBy(*by).orderBy(score, "start", "seq").rowsBetween(W.unboundedPreceding, -1)
-    dropped = F.coalesce(F.sum("length").over(w), F.lit(0.0))
-    total = F.sum("length").over(W.partitionBy(*by))
-    return df.withColumn("length", F.col("end") - F.col("start")).withColumn("__keep", total - dropped <= cap).where("__keep").drop("__keep", "length")
+    long = with_totals(df.withColumn("length", F.col("end") - F.col("start")), by, __total=F.sum("length"))
+    ranked = scan(long, by, (score, "start", "seq"), summed={"__dropped": F.col("length")}, stretch=F.floor(F.col(score) * SCORE_PARTS))
+    return ranked.where(F.col("__total") - F.col("__dropped") <= cap).drop("__total", "__dropped", "length")
 
 
 def goal_dedup(goals: DataFrame, reach: float, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
@@ -189,9 +190,7 @@ def greedy_match(truths: DataFrame, found: DataFrame, tolerance: float, by: tupl
     With ``first_fit`` they take the first free one in time order.  To let detections choose, swap the sides.
     """
     both = truths.select(*by, "t", "seq", F.lit(0).alias("side")).unionByName(found.select(*by, "t", "seq", F.lit(1).alias("side")))
-    w = W.partitionBy(*by).orderBy("t", "side", "seq")
-    new = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("int"), F.lit(0))
-    both = both.withColumn("__new", new).withColumn("chunk", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    both = chunks(both, tolerance, *by)
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("t", "seq"))))
     grouped = both.groupBy(*by, "chunk").agg(side(0).alias("truths"), side(1).alias("found")).where((F.size("truths") > 0) & (F.size("found") > 0))
 

@@ -8,7 +8,6 @@ long stream is dealt to many tasks and no nested loop arises.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +23,11 @@ def in_order(*by: str):
     return W.partitionBy(*(by or ("stream_id",))).orderBy(*ORDER)
 
 
+def stretch_of(time: str) -> Column:
+    """The stretch of a stream that a time is in."""
+    return F.floor(F.col(time) / BUCKET)
+
+
 def _gap(lo: float, hi: float, lo_open: bool, hi_open: bool, gap: Column) -> Column:
     return ((gap > lo) if lo_open else (gap >= lo)) & ((gap < hi) if hi_open else (gap <= hi))
 
@@ -95,21 +99,89 @@ def numbered(df: DataFrame, value: Column, new: Callable[[Column, Column], Colum
     Streams are cut into stretches of BUCKET seconds, which are looked at apart; only how each stretch begins,
     ends and counts goes through a window over the whole stream.  So a long stream is dealt to many tasks.
     """
-    keys = [*by, "__nb_b"]
-    w = W.partitionBy(*keys).orderBy(*ORDER)
-    rows = df.withColumn("__nb_v", F.struct(value.alias("v"))).withColumn("__nb_b", F.floor(F.col("t") / BUCKET)).withColumn("__nb_p", F.lag("__nb_v").over(w))
+    # a struct is never null and holds equal nulls, so window, grouping and join share one exchange
+    key = F.struct(*by, stretch_of("t").alias("__nb_b"))
+    w = W.partitionBy("__nb_k").orderBy(*ORDER)
+    rows = df.withColumn("__nb_v", F.struct(value.alias("v"))).withColumn("__nb_k", key).withColumn("__nb_p", F.lag("__nb_v").over(w))
     begins = lambda before: F.coalesce(new(before["v"], F.col("__nb_v.v")), F.lit(False)).cast("int")
     rows = rows.withColumn("__nb_n", F.when(F.col("__nb_p").isNull(), 0).otherwise(begins(F.col("__nb_p"))))
     at = F.struct(*ORDER)
-    ends = rows.groupBy(*keys).agg(F.min_by("__nb_v", at).alias("__nb_v"), F.max_by("__nb_v", at).alias("__nb_last"), F.sum("__nb_n").alias("__nb_inner"))
-    stream = W.partitionBy(*by).orderBy("__nb_b")
+    ends = rows.groupBy("__nb_k").agg(F.min_by("__nb_v", at).alias("__nb_v"), F.max_by("__nb_v", at).alias("__nb_last"), F.sum("__nb_n").alias("__nb_inner"))
+    stream = W.partitionBy(*(F.col("__nb_k")[k] for k in by)).orderBy("__nb_k.__nb_b")
     ends = ends.withColumn("__nb_before", F.lag("__nb_last").over(stream)).withColumn("__nb_first", begins(F.col("__nb_before")))
     ends = ends.withColumn("__nb_from", F.sum(F.col("__nb_inner") + F.col("__nb_first")).over(stream.rowsBetween(W.unboundedPreceding, 0)) - F.col("__nb_inner"))
-    known = ends.select(*(F.col(k).alias(f"__nb_k{i}") for i, k in enumerate(keys)), "__nb_from")
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__nb_k{i}")) for i, k in enumerate(keys)))
     counted = rows.withColumn("__nb_n", F.sum("__nb_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = counted.join(known, same).withColumn(name, F.col("__nb_from") + F.col("__nb_n"))
-    return out.drop("__nb_v", "__nb_b", "__nb_p", "__nb_n", "__nb_from", *(f"__nb_k{i}" for i in range(len(keys))))
+    out = counted.join(ends.select("__nb_k", "__nb_from"), "__nb_k").withColumn(name, F.col("__nb_from") + F.col("__nb_n"))
+    return out.drop("__nb_v", "__nb_k", "__nb_p", "__nb_n", "__nb_from")
+
+
+def scan(
+    df: DataFrame,
+    by: tuple[str, ...] = ("stream_id",),
+    order: tuple[str, ...] = ORDER,
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
+    highest: dict[str, Column] | None = None,
+    summed: dict[str, Column] | None = None,
+    stretch: Column | None = None,
+) -> DataFrame:
+    """What a row knows of the rows before and after it in its stream, with no window over a whole stream.
+
+    New columns: of ``before`` and ``after``, the value in the previous and the next row (null at the ends); of
+    ``highest`` and ``summed``, the greatest value (null if none) and the sum (0 if none) over all earlier rows.
+    ``order`` tells all rows of a stream apart; a null stream is a stream.
+
+    Streams are cut into stretches, BUCKET seconds of the first column of ``order`` unless told (they must not fall
+    along the order), which are looked at apart.  Only what a stretch hands on,
+    its first and last values, its greatest and its sum, goes through windows over the stream: a row a stretch.
+    """
+    before, after, highest, summed = before or {}, after or {}, highest or {}, summed or {}
+    key = F.struct(*by, (stretch_of(order[0]) if stretch is None else stretch).alias("__sc_b"))
+    rows = df.withColumn("__sc_v", F.struct(*(c.alias(n) for n, c in {**before, **after, **highest, **summed}.items()))).withColumn("__sc_k", key)
+    v = lambda n: F.col("__sc_v")[n]
+    folded = {**{n: F.max for n in highest}, **{n: F.sum for n in summed}}
+    at = F.struct(*order)
+    ends = rows.groupBy("__sc_k").agg(F.min_by("__sc_v", at).alias("__sc_f"), F.max_by("__sc_v", at).alias("__sc_l"), *(f(v(n)).alias(f"__sc_{n}") for n, f in folded.items()))
+    stream = W.partitionBy(*(F.col("__sc_k")[k] for k in by)).orderBy("__sc_k.__sc_b")
+    earlier = stream.rowsBetween(W.unboundedPreceding, -1)
+    handed = ends.select("__sc_k", F.lag("__sc_l").over(stream).alias("__sc_p"), F.lead("__sc_f").over(stream).alias("__sc_n"), *(f(f"__sc_{n}").over(earlier).alias(f"__sc_{n}") for n, f in folded.items()))
+    w = W.partitionBy("__sc_k").orderBy(*order)
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({"__sc_lag": F.lag("__sc_v").over(w), "__sc_lead": F.lead("__sc_v").over(w), **{f"__sc_h_{n}": f(v(n)).over(past) for n, f in folded.items()}})
+    met = rows.join(handed, "__sc_k")
+    found = {n: F.coalesce("__sc_lag", "__sc_p")[n] for n in before} | {n: F.coalesce("__sc_lead", "__sc_n")[n] for n in after}
+    found |= {n: F.greatest(f"__sc_h_{n}", f"__sc_{n}") for n in highest}
+    found |= {n: F.coalesce(f"__sc_{n}", F.lit(0)) + F.coalesce(f"__sc_h_{n}", F.lit(0)) for n in summed}
+    return met.select(*(c for c in df.columns if c not in found), *(c.alias(n) for n, c in found.items()))
+
+
+def in_blocks(df: DataFrame, reach: int, by: tuple[str, ...], size: int = 4096):
+    """Streams in blocks of ``size`` rows that also know ``reach`` rows on either side, and the window of a block.
+
+    Frames of up to ``reach`` rows are whole for a block's own rows, which ``own`` keeps.
+    """
+    size = max(size, reach)
+    rows = scan(df, by, summed={"__bl_at": F.lit(1)})
+    block = lambda n: F.floor((F.col("__bl_at") + n) / size)
+    dealt = rows.withColumn("__bl_b", F.explode(F.sequence(F.greatest(F.lit(0), block(-reach)), block(reach))))
+    return dealt.withColumn("__bl_own", F.col("__bl_b") == block(0)), W.partitionBy(*by, "__bl_b").orderBy("__bl_at")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.where("__bl_own").drop("__bl_at", "__bl_b", "__bl_own")
+
+
+def with_totals(df: DataFrame, by: tuple[str, ...], **totals: Column) -> DataFrame:
+    """Rows with aggregates of their stream, summed up before they are shuffled."""
+    known = df.groupBy(F.struct(*by).alias("__to_k")).agg(*(c.alias(n) for n, c in totals.items()))
+    return df.withColumn("__to_k", F.struct(*by)).join(known, "__to_k").drop("__to_k")
+
+
+def first_rows(df: DataFrame, n: int, by: tuple[str, ...], order: tuple[Column, ...], part: Column, rank: str) -> DataFrame:
+    """The first ``n`` rows of each group, ranked from 1; those of each ``part`` of a group are picked first."""
+    near = df.withColumn("__fi_p", part)
+    near = near.withColumn(rank, F.row_number().over(W.partitionBy(*by, "__fi_p").orderBy(*order))).where(F.col(rank) <= n)
+    return near.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n).drop("__fi_p")
 
 
 def sessions(df: DataFrame, gap: float, *by: str, name: str = "session") -> DataFrame:
@@ -129,9 +201,8 @@ def runs_above(df: DataFrame, value: Column, threshold: Column, *by: str) -> Dat
     still open), ``open``, the first peak's value, time and threshold, and the number of samples.
     """
     by = by or ("stream_id",)
-    w = in_order(*by)
     marked = islands(df.withColumn("__v", value).withColumn("__h", threshold), F.col("__v") >= F.col("__h"), *by)
-    marked = marked.withColumn("__next", F.lead("t").over(w)).where(F.col("__v") >= F.col("__h"))
+    marked = scan(marked, by, after={"__next": F.col("t")}).where(F.col("__v") >= F.col("__h"))
     peak = F.max(F.struct("__v", (-F.col("t")).alias("nt"), (-F.col("seq")).alias("ns"), "__h"))
     return marked.groupBy(*by, "island").agg(
         F.min("t").alias("start"), F.max("t").alias("last"), F.max(F.struct("t", "__next")).alias("__e"), peak.alias("__p"), F.count("*").alias("samples")
@@ -143,23 +214,25 @@ def runs_above(df: DataFrame, value: Column, threshold: Column, *by: str) -> Dat
 
 def rolling(df: DataFrame, value: str, half: int, *by: str) -> DataFrame:
     """Mean and population deviation over ``half`` rows on each side, cut at the ends."""
-    w = in_order(*by).rowsBetween(-half, half)
-    return df.withColumn("local_mean", F.avg(value).over(w)).withColumn("local_std", F.stddev_pop(value).over(w))
+    rows, block = in_blocks(df, half, by or ("stream_id",))
+    w = block.rowsBetween(-half, half)
+    return own(rows.withColumn("local_mean", F.avg(value).over(w)).withColumn("local_std", F.stddev_pop(value).over(w)))
 
 
 def rolling_padded(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
     """Mean and deviation of ``n`` rows with zeros beyond the ends: the divisor is always ``n``."""
-    w = in_order(*by).rowsBetween(-(n // 2), n - 1 - n // 2)
+    rows, block = in_blocks(df, n, by or ("stream_id",))
+    w = block.rowsBetween(-(n // 2), n - 1 - n // 2)
     mean = F.sum(value).over(w) / n
     square = F.sum(F.col(value) * F.col(value)).over(w) / n
-    return df.withColumn("pad_mean", mean).withColumn("pad_std", F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
+    return own(rows.withColumn("pad_mean", mean).withColumn("pad_std", F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))))
 
 
 def gaps(df: DataFrame, *by: str) -> DataFrame:
     """(gap_start, gap_end) between neighbouring distinct times."""
     by = by or ("stream_id",)
-    w = W.partitionBy(*by).orderBy("t")
-    return df.select(*by, "t").distinct().select(*by, F.col("t").alias("gap_start"), F.lead("t").over(w).alias("gap_end")).where(F.col("gap_end").isNotNull())
+    times = df.select(*by, F.col("t").alias("gap_start")).distinct()
+    return scan(times, by, ("gap_start",), after={"gap_end": F.col("gap_start")}).where(F.col("gap_end").isNotNull())
 
 
 def gap_probes(df: DataFrame, least: float, most: float | None, step: float, margin: float, cap: int, *by: str) -> DataFrame:
@@ -171,7 +244,8 @@ def gap_probes(df: DataFrame, least: float, most: float | None, step: float, mar
     # the last index that may still lie before the margin; the exact test follows
     g = g.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("gap") / step).cast("int")))))
     g = g.withColumn("t", F.col("gap_start") + F.col("k") * step).where(F.col("t") < F.col("gap_end") - margin)
-    return g.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("t"))).where(F.col("rank") <= cap).select(*by, "t", "gap_start", "gap_end", "rank")
+    first = first_rows(g, cap, by, (F.col("t"),), stretch_of("t"), "rank")
+    return first.select(*by, "t", "gap_start", "gap_end", "rank")
 
 
 def offset_probes(df: DataFrame, offsets: tuple[float, ...], duration: Column) -> DataFrame:
@@ -181,15 +255,11 @@ def offset_probes(df: DataFrame, offsets: tuple[float, ...], duration: Column) -
 
 def time_bins(df: DataFrame, bins: int, *order: Column, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """The best row (by ``order``, then earliest) of each of ``bins`` equal stretches of a stream."""
-    whole = W.partitionBy(*by)
-    lo, hi = F.min("t").over(whole), F.max("t").over(whole)
+    known = with_totals(df, by, __lo=F.min("t"), __hi=F.max("t"))
+    lo, hi = F.col("__lo"), F.col("__hi")
     at = F.when(hi > lo, F.least(F.floor((F.col("t") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(F.lit(0))
-    return (
-        df.withColumn("bin", at.cast("int"))
-        .withColumn("__r", F.row_number().over(W.partitionBy(*by, "bin").orderBy(*order, *ORDER)))
-        .where(F.col("__r") == 1)
-        .drop("__r")
-    )
+    binned = known.withColumn("bin", at.cast("int")).drop("__lo", "__hi")
+    return first_rows(binned, 1, (*by, "bin"), (*order, *(F.col(c) for c in ORDER)), stretch_of("t"), "__r").drop("__r")
 
 
 def sliding_windows(extent: DataFrame, step: float, span: float, centred: bool = True) -> DataFrame:

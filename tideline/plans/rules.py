@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import text
@@ -224,8 +223,7 @@ def corner_probes(rows: DataFrame) -> DataFrame:
     inside = tm.gap_probes(rows, least, most, step, margin, 1 << 30).select("stream_id", "t", F.lit(0).cast("bigint").alias("seq"))
     asked = inside.unionByName(confirmed(rows, "throw_in").select("stream_id", "t", "seq"))
     near = tm.within(asked, confirmed(rows, "corner_kick"), -CORNER_NEAR, CORNER_NEAR, "left_anti", True, True)
-    order = W.partitionBy("stream_id").orderBy("t")
-    return near.select("stream_id", "t").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CORNER_MOST).drop("rank")
+    return tm.first_rows(near.select("stream_id", "t").distinct(), CORNER_MOST, ("stream_id",), (F.col("t"),), tm.stretch_of("t"), "rank").drop("rank")
 
 
 def reverse_restart_rule(rows: DataFrame) -> DataFrame:
@@ -265,7 +263,7 @@ def catch_rule(rows: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     if answers is None:
         return edited(rows, caught)
     asked = tm.within(out, kicks, 0.0, near["goal_kick"], "left_semi", True, True)
-    asked = asked.withColumn("rank", F.row_number().over(tm.in_order())).where(F.col("rank") <= CATCH_MOST).drop("rank")
+    asked = tm.first_rows(asked, CATCH_MOST, ("stream_id",), tuple(F.col(c) for c in tm.ORDER), tm.stretch_of("t"), "rank").drop("rank")
     yes = answered(asked, answers, "catch").select("stream_id", "seq", *edit(F.col("said_type"), F.col("said_confidence"), F.col("said"), NONE))
     no = asked.join(yes, ["stream_id", "seq"], "left_anti").select("stream_id", "seq", *edit("shot_off_target", F.col("confidence"), F.lit(NOT_CAUGHT)))
     return edited(rows, caught.unionByName(yes).unionByName(no))

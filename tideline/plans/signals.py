@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.operators import folds
@@ -20,14 +19,13 @@ WINDOW_MOST = 12.0
 
 def adaptive(df: DataFrame, value: str, half: int, sigmas: float = 0.7, floor: float = 0.8) -> DataFrame:
     """``threshold``: local mean plus ``sigmas`` population deviations, at least ``floor`` of the stream's mean."""
-    whole = F.avg(value).over(W.partitionBy("stream_id"))
-    out = tm.rolling(df, value, half).withColumn("global_mean", whole)
+    out = tm.rolling(tm.with_totals(df, ("stream_id",), global_mean=F.avg(value)), value, half)
     return out.withColumn("threshold", F.greatest(F.col("local_mean") + sigmas * F.col("local_std"), floor * F.col("global_mean")))
 
 
 def over_median(df: DataFrame, value: str, sigmas: float) -> DataFrame:
     """Rows whose share of the stream's largest value is over its median plus ``sigmas`` deviations."""
-    part = df.withColumn("v", F.col(value) / F.max(value).over(W.partitionBy("stream_id")))
+    part = tm.with_totals(df, ("stream_id",), __most=F.max(value)).withColumn("v", F.col(value) / F.col("__most")).drop("__most")
     limit = part.groupBy("stream_id").agg((F.median("v") + sigmas * F.stddev_pop("v")).alias("limit"))
     return part.join(limit, "stream_id").where(F.col("v") > F.col("limit"))
 
@@ -42,15 +40,13 @@ def dead_runs(df: DataFrame, least: int) -> DataFrame:
     """Runs of ``dead`` rows, ``least`` or longer, that live rows follow: start, end (the first live time), dead_samples."""
     first = F.min(F.struct("t", "seq"))
     runs = tm.islands(df, F.col("dead")).groupBy("stream_id", "island", "dead").agg(F.min("t").alias("start"), F.count("*").alias("dead_samples"), first.alias("f"))
-    following = F.lead("f.t").over(W.partitionBy("stream_id").orderBy("island"))
-    return runs.withColumn("end", following).where(F.col("dead") & (F.col("dead_samples") >= least) & F.col("end").isNotNull())
+    following = tm.scan(runs.withColumn("seq", F.col("f.seq")), ("stream_id",), ("start", "seq"), after={"end": F.col("f.t")}).drop("seq")
+    return following.where(F.col("dead") & (F.col("dead_samples") >= least) & F.col("end").isNotNull())
 
 
 def longest_low(df: DataFrame, low: Column, a: float, b: float) -> DataFrame:
     """The longest run of low rows between shares a and b of a stream, the first of equals."""
-    p = W.partitionBy("stream_id")
-    lo, hi = F.min("t").over(p), F.max("t").over(p)
-    mid = df.withColumn("__lo", lo).withColumn("__hi", hi).where((F.col("t") >= F.col("__lo") + a * (F.col("__hi") - F.col("__lo"))) & (F.col("t") <= F.col("__lo") + b * (F.col("__hi") - F.col("__lo"))))
+    mid = tm.with_totals(df, ("stream_id",), __lo=F.min("t"), __hi=F.max("t")).where((F.col("t") >= F.col("__lo") + a * (F.col("__hi") - F.col("__lo"))) & (F.col("t") <= F.col("__lo") + b * (F.col("__hi") - F.col("__lo"))))
     runs = tm.islands(mid.withColumn("low", low), F.col("low")).where("low").groupBy("stream_id", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("samples"))
     best = F.max_by(F.struct("start", "end", "samples"), F.struct("samples", (-F.col("start")).alias("n")))
     return runs.groupBy("stream_id").agg(best.alias("r")).select("stream_id", "r.*")
@@ -137,8 +133,7 @@ def active_runs(samples: DataFrame, least: float, keep_open: bool, by: tuple[str
     ``samples`` has t, seq, active and amplitude.  A run that is still open at the end of its stream goes
     unless ``keep_open``.
     """
-    w = tm.in_order(*by)
-    marked = tm.islands(samples.withColumn("__next", F.lead("t").over(w)), F.col("active"), *by).where("active")
+    marked = tm.islands(tm.scan(samples, by, after={"__next": F.col("t")}), F.col("active"), *by).where("active")
     runs = marked.groupBy(*by, "island").agg(F.min("t").alias("start"), F.max("t").alias("last"), F.max_by("__next", F.struct("t", "seq")).alias("after"), F.max("amplitude").alias("peak"), F.min_by("seq", F.struct("t", "seq")).alias("first_seq"))
     runs = runs.withColumn("end", F.coalesce("after", "last")).where((F.col("end") - F.col("start") >= least) & (F.lit(keep_open) | F.col("after").isNotNull()))
     return runs.select(*by, "start", "end", ((F.col("start") + F.col("end")) / 2).alias("centre"), "peak", "first_seq")

@@ -108,8 +108,7 @@ SELECT stream_id, seq, {MICRO.format('(t + nt) / 2')} AS mid_u FROM g WHERE nt -
 def gap_midpoints(spark, sf_dir):
     """Midpoints of gaps over 60 s within a half: places that surely show nothing."""
     h = timeline(spark, sf_dir).withColumn("first_half", F.col("t") < 3600)
-    nt = F.lead("t").over(tm.in_order("stream_id", "first_half"))
-    return h.withColumn("nt", nt).where(F.col("nt") - F.col("t") > 60).select("stream_id", "seq", micro((F.col("t") + F.col("nt")) / 2).alias("mid_u"))
+    return tm.scan(h, ("stream_id", "first_half"), after={"nt": F.col("t")}).where(F.col("nt") - F.col("t") > 60).select("stream_id", "seq", micro((F.col("t") + F.col("nt")) / 2).alias("mid_u"))
 
 
 @query("longest_low_run", f"""WITH {TL}, e AS (SELECT *, confidence < 0.6 AS low, min(t) OVER p AS a, max(t) OVER p AS b FROM tl WINDOW p AS (PARTITION BY stream_id)), m AS (SELECT * FROM e WHERE t >= a + 0.2 * (b - a) AND t <= a + 0.8 * (b - a)),
@@ -127,8 +126,9 @@ def longest_low_run(spark, sf_dir):
 SELECT stream_id, min(seq) AS seq FROM q WHERE n = 4 AND m > 0.3 GROUP BY stream_id""")
 def first_active_stretch(spark, sf_dir):
     """Where the first four high samples in a row begin: kickoff by its motion."""
-    w = tm.in_order().rowsBetween(0, 3)
-    q = timeline(spark, sf_dir).withColumn("m", F.min("confidence").over(w)).withColumn("n", F.count("*").over(w))
+    rows, block = tm.in_blocks(timeline(spark, sf_dir), 3, ("stream_id",))
+    w = block.rowsBetween(0, 3)
+    q = tm.own(rows.withColumn("m", F.min("confidence").over(w)).withColumn("n", F.count("*").over(w)))
     return q.where((F.col("n") == 4) & (F.col("m") > 0.3)).groupBy("stream_id").agg(F.min("seq").alias("seq"))
 
 

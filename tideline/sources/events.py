@@ -10,9 +10,10 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.timeline import scan
+
 from tideline import schema
 
 EVENT_KINDS = [t[0] for t in schema.EVENT_TYPES]
@@ -107,10 +108,10 @@ def calibration(games: DataFrame) -> DataFrame:
 
 def between_markers(lines: DataFrame, start: Column, stop: Column, seq: str = "seq") -> DataFrame:
     """Lines strictly after a start marker and before the next stop marker; ``lines`` has a stream and ``seq``."""
-    w = W.partitionBy("stream_id").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    # the last marker seen decides
-    last = F.last(F.when(start, F.lit(1)).when(stop, F.lit(0)), ignorenulls=True).over(w)
-    return lines.withColumn("__in", last).where((F.col("__in") == 1) & ~start).drop("__in")
+    # the last marker seen decides, which has the greatest number
+    mark = F.when(start, F.struct(F.col(seq), F.lit(True).alias("opens"))).when(stop, F.struct(F.col(seq), F.lit(False).alias("opens")))
+    seen = scan(lines, ("stream_id",), (seq,), highest={"__seen": mark})
+    return seen.where(F.col("__seen.opens") & mark.isNull()).drop("__seen")
 
 
 def probe_row(df: DataFrame, value: str = "value") -> DataFrame:
