@@ -257,7 +257,8 @@ def test_repeated_passages_equal_a_plain_version(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     docs += [(docs[0][0], "same id, " + docs[1][1]), (None, docs[2][1]), (9_999_999, None)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    chunks = [(i, t, *substring_dedup.chunks_of(t)) for i, t in docs if i is not None]
+    # the row without an id comes after all others
+    chunks = [(math.inf if i is None else i, t, *substring_dedup.chunks_of(t)) for i, t in docs]
     holders: dict = {}
     for i, _, digests, _, _ in chunks:
         for d in digests:
@@ -281,11 +282,28 @@ def test_repeated_passages_equal_a_plain_version(spark):
         if inside:
             want.append((i, len(digests), sum(len(holders[d]) > 1 for d in digests), ",".join(f"{starts[r[0]]}:{ends[r[-1]]}" for r in runs), sum(ends[k] - starts[k] for k in inside), sum(ends[k] - starts[k] for k in spare), min(min(holders[digests[k]]) for k in inside)))
     got = [tuple(r)[:7] for r in substring_dedup.repeated_passages(df).collect()]
-    assert sorted(got) == sorted(want) and len(want) > 20
+    got = [(math.inf if r[0] is None else r[0], *r[1:]) for r in got]
+    assert sorted(got) == sorted(want) and len(want) > 20 and want[-1][0] == math.inf
     out = substring_dedup.deduplicated(df, lang=F.lit("x"))
     assert out.columns == ["doc_id", "lang", "text", "spare_bytes"]
-    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect()))) == sorted(map(str, texts))
-    assert out.where("doc_id is null").first()["text"] == docs[2][1]
+    assert sorted(map(str, ((math.inf if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, texts))
+
+
+def test_passages_of_rows_without_an_id(spark):
+    rng = random.Random(6)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    one, two = said(70), said(70)
+    texts = [f"{said(20)} {one} {said(20)}" for _ in range(3)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, f"{said(9)} {two} {said(9)}"), (None, f"{said(9)} {two}"), (None, said(80)), (8, said(80))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = substring_dedup.repeated_passages(df).collect()
+    named = [r for r in out if r["first_doc"] == 7]
+    assert sorted((r["doc_id"] or 0, r["spare_bytes"] > 0) for r in named) == [(0, True), (7, False)]
+    # equal rows are one document; one of the three distinct ones keeps the passage
+    alone = [r for r in out if r["first_doc"] is None]
+    assert len(alone) == 4 and len({r["row"] for r in alone}) == 3 and len({r["row"] for r in alone if r["spare_bytes"] == 0}) == 1
+    left = [r["text"] for r in substring_dedup.deduplicated(df).collect()]
+    assert len(left) == len(rows) and sum(two[60:-60] in t for t in left) == 1 and len({t for t in left if one[60:-60] in t}) == 1
 
 
 def plain_quality(text, vectors):

@@ -132,6 +132,12 @@ def without(text: str, spare: str) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
+def parts(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of few rows; their arrays are views, so only one row's are worked on at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that share passages with others.
 
@@ -140,50 +146,63 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     first holder is another document: what deduplication removes), first_doc (the smallest doc_id that
     holds a chunk of its passages), spare (the bytes that go, as start:end, comma-joined) and row (a key of id
     and text).  Null, empty and short texts have none.  Rows that share a doc_id count as one document; rows
-    without one are left out, for nothing could name them.
+    without one are told apart by their texts, equal ones counting as one document, and come after all others:
+    their doc_id is null, and first_doc where only such rows hold a passage.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                digests, ends, words = [], [], []
+                digests, sizes, words = [], [], []
                 for t in batch.column("text").to_pylist():
                     d, e, w = chunks_of(t)
                     digests.append(as_long(np.array(d, np.uint64)))
-                    ends.append(e)
-                    words.append(w)
-                cols = [pa.array(digests, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "digests", "ends", "words"])
-
-    named = docs.where(F.col(doc_id).isNotNull())
-    chunked = scratch.table("chunks", map_texts(named, run, "doc_id bigint, row bigint, digests array<bigint>, ends array<int>, words array<int>", doc_id=F.col(doc_id).cast("bigint"), row=row_key(doc_id, text), text=F.col(text)))
-    held = chunked.select("doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
-    shared = held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    known = scratch.table("known", held.join(shared, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first")).alias("known")))
+                    sizes.append(np.diff(e, prepend=0).astype(np.int16))
+                    words.append(np.array(w, np.int16))
+                cols = [pa.array(digests, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int16())), pa.array(words, pa.list_(pa.int16()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "digests", "sizes", "words"])
+
+    # a chunk has at most LONGEST bytes and so few words that both fit two bytes
+    chunked = scratch.table("chunks", map_texts(docs, run, "doc_id bigint, row bigint, digests array<bigint>, sizes array<smallint>, words array<smallint>", doc_id=F.col(doc_id).cast("bigint"), row=row_key(doc_id, text), text=F.col(text)))
+    # what is known of a digest holds for all that hold it, so an id that equals another row's key does no harm
+    chunked = chunked.withColumn("key", F.coalesce("doc_id", "row"))
+    held = chunked.select("key", "doc_id", F.explode(F.array_distinct("digests")).alias("digest"))
+    shared = held.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("doc_id").alias("named")).where(F.col("first") < F.col("last"))
+    shared = shared.select("digest", F.coalesce("named", "first").alias("first"), F.col("named").isNotNull().alias("named"))
+    known = scratch.table("known", held.select("key", "digest").join(shared, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "first", "named")).alias("known")))
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, row, digests, ends, words, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "digests", "ends", "words", "known"))):
-                first = {x["digest"]: x["first"] for x in known}
-                repeated = np.array([d in first for d in digests], bool)
-                found = passages(repeated, np.array(words), min_words)
-                if not found:
-                    continue
-                starts = [0, *ends[:-1]]
-                inside = [i for a, b in found for i in range(a, b)]
-                spare = [i for i in inside if first[digests[i]] != doc]
-                cuts = runs_of(spare, starts, ends)
-                rows.append((
-                    doc, len(digests), int(repeated.sum()), ",".join(f"{starts[a]}:{ends[b - 1]}" for a, b in found),
-                    sum(ends[i] - starts[i] for i in inside), sum(ends[i] - starts[i] for i in spare), min(first[digests[i]] for i in inside), ",".join(f"{a}:{b}" for a, b in cuts), row,
-                ))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_chunks", "n_repeated", "passages", "passage_bytes", "spare_bytes", "first_doc", "spare", "row"])
+        for whole in batches:
+            for batch in parts(whole):
+                docs, keys, keys_of_rows = (batch.column(c).to_pylist() for c in ("doc_id", "key", "row"))
+                rows = []
+                for i in range(batch.num_rows):
+                    digests, sizes, words = (batch.column(c)[i].values.to_numpy() for c in ("digests", "sizes", "words"))
+                    met = batch.column("known")[i].values
+                    there = met.field("digest").to_numpy()
+                    order = np.argsort(there)
+                    at = order[np.minimum(np.searchsorted(there, digests, sorter=order), len(order) - 1)]
+                    repeated = there[at] == digests
+                    found = passages(repeated, words, min_words)
+                    if not found:
+                        continue
+                    first, named = met.field("first").to_numpy()[at], met.field("named").to_numpy(zero_copy_only=False)[at]
+                    ends = np.cumsum(sizes, dtype=np.int64)
+                    starts = ends - sizes
+                    inside = np.concatenate([np.arange(x, y) for x, y in found])
+                    spare = inside[first[inside] != keys[i]]
+                    cuts = runs_of(spare.tolist(), starts.tolist(), ends.tolist())
+                    by_name = first[inside][named[inside]]
+                    rows.append((
+                        docs[i], len(digests), int(repeated.sum()), ",".join(f"{starts[x]}:{ends[y - 1]}" for x, y in found),
+                        int(sizes[inside].sum(dtype=np.int64)), int(sizes[spare].sum(dtype=np.int64)), int(by_name.min()) if len(by_name) else None, ",".join(f"{x}:{y}" for x, y in cuts), keys_of_rows[i],
+                    ))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_chunks", "n_repeated", "passages", "passage_bytes", "spare_bytes", "first_doc", "spare", "row"])
 
     schema = "doc_id bigint, n_chunks bigint, n_repeated bigint, passages string, passage_bytes bigint, spare_bytes bigint, first_doc bigint, spare string, row bigint"
-    return chunked.join(known, "doc_id").mapInArrow(judge, schema)
+    return chunked.join(known, "key").mapInArrow(judge, schema)
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
