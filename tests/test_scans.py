@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import folds
 from tideline.operators import timeline as tm
-from tideline.plans import signals
+from tideline.plans import routing, signals
 
 SCHEMA = "stream_id string, seq bigint, t double, v double"
 
@@ -92,6 +92,17 @@ def test_first_rows_are_the_first_of_all_parts(spark):
     assert {(r["seq"], r["r"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
+def test_ranked_values(spark, p):
+    rng = random.Random(8)
+    held = {"outlier": [*(rng.random() for _ in range(3000)), 1e12, -1e9], "ties": [0.5] * 2000 + [0.25, 0.75], "one": [3.0], "two": [2.0, 1.0]}
+    df = spark.createDataFrame([(s, x) for s, xs in held.items() for x in [*xs, None]], "stream_id string, v double")
+    # few values make the sketch coarse: the part that holds the rank need not be the middle one
+    for accuracy in (10, 10_000):
+        got = {r["stream_id"]: r["x"] for r in routing.ranked_value(df, "v", p, name="x", accuracy=accuracy).collect()}
+        assert got == {s: sorted(xs)[min(int(len(xs) * p), len(xs) - 1)] for s, xs in held.items()}
+
+
 SPANS = "stream_id string, seq bigint, start double, end double, score double"
 PLANS = {
     "sessions": lambda d, s: tm.sessions(d, 4.0),

@@ -19,22 +19,26 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(F.sort_array(values), (F.least(F.floor(n * p).cast("int"), n - 1) + 1))
 
 
-def ranked_value(rows: DataFrame, value: str, p: float, *by: str, name: str, bins: int = 1024) -> DataFrame:
+def ranked_value(rows: DataFrame, value: str, p: float, *by: str, name: str, accuracy: int = 10_000) -> DataFrame:
     """The same of a column by group, without collecting a group: nulls do not count.
 
-    A histogram of the group says in which bin the value is; only that bin is put in order.
+    A sketch of the group gives two values around the one asked for, by rank, so outliers do no harm.  Rows below, between
+    and above them are counted; only the distinct values of the part that holds the rank are put in order.
     """
     by = by or ("stream_id",)
     v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
-    ends = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    span = F.col("hi") - F.col("lo")
-    binned = v.join(ends, [*by]).withColumn("bin", F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0)))
-    w = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    held = binned.groupBy(*by, "bin").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("upto", F.sum("held").over(w))
+    slack = 2 / accuracy
+    ends = v.groupBy(*by).agg(F.percentile_approx("v", [max(p - slack, 0.0), min(p + slack, 1.0)], accuracy).alias("q"), F.count("*").alias("n"))
+    part = F.when(F.col("v") < F.col("q")[0], 0).when(F.col("v") <= F.col("q")[1], 1).otherwise(2)
+    parted = v.join(ends, [*by]).withColumn("part", part).drop("q")
+    w = W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    held = parted.groupBy(*by, "part").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("upto", F.sum("held").over(w))
     rank = F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    here = held.where((F.col("upto") > rank) & (F.col("upto") - F.col("held") <= rank)).select(*by, "bin", (rank - F.col("upto") + F.col("held") + 1).alias("place"))
-    ordered = binned.join(here, [*by, "bin"]).withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("v")))
-    return ordered.where(F.col("r") == F.col("place")).select(*by, F.col("v").alias(name))
+    here = held.where((F.col("upto") > rank) & (F.col("upto") - F.col("held") <= rank)).select(*by, "part", (rank - F.col("upto") + F.col("held")).alias("place"))
+    values = parted.join(here, [*by, "part"]).groupBy(*by, "v").agg(F.count("*").alias("times"), F.first("place").alias("place"))
+    through = F.sum("times").over(W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    values = values.withColumn("upto", through).where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("times") <= F.col("place")))
+    return values.select(*by, F.col("v").alias(name))
 
 
 def routed(rows: DataFrame, key_types: list[str], cap: float = RATE_CAP) -> DataFrame:
