@@ -78,16 +78,13 @@ def in_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def flagged(df: DataFrame, other: DataFrame, lo: float, hi: float, name: str, lo_open: bool = True, hi_open: bool = True) -> DataFrame:
-    """``df`` with a boolean: whether any other row lies in the interval; one semi join, joined back by row."""
-    hit = tm.within(df, other, lo, hi, "left_semi", lo_open, hi_open).select("stream_id", "seq", F.lit(True).alias(name)).distinct()
-    return df.join(hit, ["stream_id", "seq"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """``df`` with a boolean: whether any other row lies in the interval."""
+    return tm.asof(df, other.select("stream_id", "seq", "t"), lo, hi, "next", "left", lo_open, hi_open).withColumn(name, F.col("r").isNotNull()).drop("r")
 
 
 def nearest_gap(df: DataFrame, other: DataFrame, lo: float, hi: float, name: str) -> DataFrame:
     """``df`` with the smallest t' - t of other rows strictly inside (lo, hi), null if there is none."""
-    pairs = tm.within(df.select("stream_id", "seq", "t"), other, lo, hi, "inner", True, True)
-    least = pairs.groupBy("stream_id", "seq").agg(F.min(F.col("r.t") - F.col("t")).alias(name))
-    return df.join(least, ["stream_id", "seq"], "left")
+    return tm.asof(df, other.select("stream_id", "seq", "t"), lo, hi, "next", "left", True, True).withColumn(name, F.col("r.t") - F.col("t")).drop("r")
 
 
 def restart_reclassified(shots: DataFrame, saves: DataFrame, corners: DataFrame, goal_kicks: DataFrame, keep_gap: bool = False) -> DataFrame:
@@ -153,7 +150,7 @@ def rescans(rows: DataFrame, verdicts: DataFrame, candidates: DataFrame, extent:
     """
     seen = at_clock(verdicts.select("stream_id", "t")).select("stream_id", "at").distinct()
     fresh = at_clock(candidates.select("stream_id", "seq", "t")).join(seen, ["stream_id", "at"], "left_anti").drop("at")
-    found = tm.asof(rows.select("stream_id", "seq", "t"), fresh, lo, hi, F.col("r.t") - F.col("t"))
+    found = tm.asof(rows.select("stream_id", "seq", "t"), fresh, lo, hi, "next")
     direct = tm.offset_probes(found.where(F.col("r").isNull()).join(extent, "stream_id"), offsets, F.col("duration"))
     return found.where(F.col("r").isNotNull()).select("stream_id", F.col("r.t").alias("t")).unionByName(direct.select("stream_id", F.col("probe").alias("t"))).dropDuplicates(["stream_id", "t"])
 
@@ -231,7 +228,7 @@ def reverse_restart_rule(rows: DataFrame) -> DataFrame:
     restarts = confirmed(rows, "corner_kick", "goal_kick")
     open_ = tm.within(restarts, confirmed(rows, *SAVES, "shot_on_target", "shot_off_target"), -30.0, 0.0, "left_anti", True, True)
     lo, hi = MISS_REACH
-    found = tm.asof(open_, rows.where(F.col("result") == "rejected"), -hi, -lo, F.col("t") - F.col("r.t"), "inner", True, True)
+    found = tm.asof(open_.select("stream_id", "seq", "t", "event_type"), rows.where(F.col("result") == "rejected").select("stream_id", "seq", "t"), -hi, -lo, "last", "inner", True, True)
     # of several restarts after one row the last one is told
     last = found.groupBy("stream_id", F.col("r.seq").alias("seq")).agg(F.max_by(F.struct("event_type", "t"), F.struct("t", F.col("seq").alias("s"))).alias("x"))
     label = F.when(F.col("x.event_type") == "corner_kick", "blocked/deflected → corner").otherwise("missed → goal kick")
