@@ -29,7 +29,7 @@ def plan_of(df, capsys) -> str:
 
 
 #: Queries that look rows up by time.
-LOOKED_UP = ["recheck_before_kickoff", "shots_before_kickoff", "next_unscored_candidate", "nearest_error"]
+LOOKED_UP = ["recheck_before_kickoff", "shots_before_kickoff", "next_unscored_candidate", "nearest_error", "nearest_cue_boost"]
 
 
 @pytest.mark.parametrize("name", LOOKED_UP)
