@@ -57,3 +57,15 @@ def test_lookups_equal_a_loop(spark, pick, lo, hi, lo_open, hi_open):
     assert {r["seq"]: r["r"] and r["r"]["seq"] for r in got.collect()} == want
     inner = tm.asof(a, b, lo, hi, pick, "inner", lo_open, hi_open)
     assert {r["seq"]: r["r"]["seq"] for r in inner.collect()} == {i: k for i, k in want.items() if k is not None}
+
+
+def test_rescans_within_a_microsecond(spark):
+    """Times of one microsecond are other candidates, but one probe."""
+    from tideline.plans import rules
+
+    third = 1 / 3e6
+    rows = spark.createDataFrame([("s", 0, 10.0, "shot_on_target"), ("s", 1, 10.0 + third, "shot_on_target"), ("s", 2, 30.0, "catch"), ("s", 3, 900.0, "shot_on_target"), ("s", 4, 900.0 + third, "shot_on_target")], POINTS + ", event_type string")
+    fresh = spark.createDataFrame([("s", 5, 30.0 + third)], POINTS)
+    extent = spark.createDataFrame([("s", 2000.0)], "stream_id string, duration double")
+    got = rules.rescans(rows.where("event_type = 'shot_on_target'"), rows, fresh, extent, 10.0, 90.0, (20.0, 35.0))
+    assert sorted(r["t"] for r in got.collect()) == [30.0 + third, 920.0, 935.0]

@@ -146,13 +146,15 @@ def answered(probes: DataFrame, answers: DataFrame, phase: str, kinds: tuple[str
 def rescans(rows: DataFrame, verdicts: DataFrame, candidates: DataFrame, extent: DataFrame, lo: float, hi: float, offsets: tuple[float, ...]) -> DataFrame:
     """(stream_id, t) to look at again after each row: the first candidate in the span that no verdict has, else fixed offsets.
 
-    ``candidates`` has stream_id, seq, t, ``extent`` stream_id and duration.
+    ``candidates`` has stream_id, seq, t, ``extent`` stream_id and duration.  Probes in one microsecond, by which
+    answers are joined, are one probe: the first.
     """
-    seen = at_clock(verdicts.select("stream_id", "t")).select("stream_id", "at").distinct()
-    fresh = at_clock(candidates.select("stream_id", "seq", "t")).join(seen, ["stream_id", "at"], "left_anti").drop("at")
+    seen = verdicts.select("stream_id", "t").distinct()
+    fresh = candidates.select("stream_id", "seq", "t").join(seen, ["stream_id", "t"], "left_anti")
     found = tm.asof(rows.select("stream_id", "seq", "t"), fresh, lo, hi, "next")
     direct = tm.offset_probes(found.where(F.col("r").isNull()).join(extent, "stream_id"), offsets, F.col("duration"))
-    return found.where(F.col("r").isNotNull()).select("stream_id", F.col("r.t").alias("t")).unionByName(direct.select("stream_id", F.col("probe").alias("t"))).dropDuplicates(["stream_id", "t"])
+    probes = found.where(F.col("r").isNotNull()).select("stream_id", F.col("r.t").alias("t")).unionByName(direct.select("stream_id", F.col("probe").alias("t")))
+    return probes.groupBy("stream_id", F.floor(F.col("t") * 1e6 + 0.5).alias("at")).agg(F.min("t").alias("t")).select("stream_id", "t")
 
 
 def appended(rows: DataFrame, found: DataFrame, phase: int) -> DataFrame:
