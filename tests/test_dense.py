@@ -9,6 +9,7 @@ import pytest
 from compare import difference
 
 from tideline import registry
+from tideline.operators import folds
 from tideline.operators import timeline as tm
 
 POINTS = "stream_id string, seq bigint, t double"
@@ -40,6 +41,17 @@ def test_lookups_make_no_pairs(spark, name, dense, capsys):
         assert difference(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], dense) == ""
 
 
+#: Queries whose rows are judged in order.
+FOLDED = ["cue_pairing"]
+
+
+@pytest.mark.parametrize("name", FOLDED)
+def test_folds_hold_no_group(spark, name, dense, capsys):
+    plan = plan_of(registry.QUERIES[name](spark, dense), capsys)
+    assert "MapInArrow" in plan and "collect_list" not in plan
+    assert difference(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], dense) == ""
+
+
 @pytest.mark.parametrize("pick", ["next", "last", "nearest"])
 @pytest.mark.parametrize(("lo", "hi", "lo_open", "hi_open"), [(-5.0, 5.0, True, True), (-5.0, 5.0, False, False), (20.0, 90.0, False, True), (-30.0, -3.0, True, False), (0.0, 2000.0, False, False)])
 def test_lookups_equal_a_loop(spark, pick, lo, hi, lo_open, hi_open):
@@ -69,3 +81,48 @@ def test_rescans_within_a_microsecond(spark):
     extent = spark.createDataFrame([("s", 2000.0)], "stream_id string, duration double")
     got = rules.rescans(rows.where("event_type = 'shot_on_target'"), rows, fresh, extent, 10.0, 90.0, (20.0, 35.0))
     assert sorted(r["t"] for r in got.collect()) == [30.0 + third, 920.0, 935.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_goal_dedup_equals_a_loop(spark, seed):
+    rng = random.Random(seed)
+    goals = sorted(((rng.randrange(0, 600) / 2, i, rng.choice([None, 0.1, 0.5, 0.5, 0.9])) for i in range(150)))
+    gone = set()
+    for t, i, c in goals:
+        if i not in gone:
+            for u, j, d in goals:
+                if (u, j) > (t, i) and u - t < 9.0:
+                    gone.add(j if None not in (c, d) and c >= d else i)
+    df = spark.createDataFrame([("s", i, t, c) for t, i, c in goals], POINTS + ", confidence double")
+    assert sorted(r["seq"] for r in folds.goal_dedup(df, 9.0).collect()) == sorted(gone)
+
+
+@pytest.mark.parametrize("first_fit", [False, True])
+@pytest.mark.parametrize("tolerance", [0.0, 1.5, 8.0])
+def test_greedy_match_equals_a_loop(spark, tolerance, first_fit):
+    rng = random.Random(7)
+    side = lambda n: sorted((rng.randrange(0, 500) / 2, i) for i in rng.sample(range(1000), n))
+    truths, found = side(150), side(170)
+    want, used = {}, set()
+    for t, i in truths:
+        free = [((u if first_fit else abs(u - t)), u, j) for u, j in found if abs(u - t) <= tolerance and j not in used]
+        if free:
+            want[i] = min(free)[2]
+            used.add(want[i])
+    df = lambda rows: spark.createDataFrame([("s", i, t) for t, i in rows], POINTS)
+    got = folds.greedy_match(df(truths), df(found), tolerance, first_fit=first_fit)
+    assert {r["truth_seq"]: r["found_seq"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.9, 1.0])
+def test_suppression_equals_a_loop(spark, threshold):
+    rng = random.Random(9)
+    spans = [(i, rng.randrange(0, 400) / 2, rng.choice([0.0, 0.5, 3.0, 8.0, 8.5, 64.0, 100.0])) for i in range(200)]
+    rows = sorted(((rng.choice([1, 2]), a, i, a + n) for i, a, n in spans), key=lambda r: (-r[0], r[1], r[2]))
+    kept = []
+    for _, a, i, b in rows:
+        share = lambda k: (x := max(0.0, min(b, k[1]) - max(a, k[0]))) and x / (b - a + k[1] - k[0] - x)
+        if all(share(k) < threshold for k in kept):
+            kept.append((a, b, i))
+    df = spark.createDataFrame([("s", i, a, b, n) for n, a, i, b in rows], "stream_id string, seq bigint, start double, end double, n_events int")
+    assert sorted(r["seq"] for r in folds.suppress_overlaps(df, threshold).collect()) == sorted(k[2] for k in kept)

@@ -54,17 +54,18 @@ def longest_low(df: DataFrame, low: Column, a: float, b: float) -> DataFrame:
 
 def merge_spikes(df: DataFrame, reach: float = SPIKE_MERGE) -> DataFrame:
     """Candidates closer than ``reach`` to the kept one merge: the more confident stays, clips are widened."""
-    def both(a: Column, b: Column) -> Column:
-        win = F.when(b["confidence"] > a["confidence"], b).otherwise(a)
-        return win.withField("clip_start", F.least(a["clip_start"], b["clip_start"])).withField("clip_end", F.greatest(a["clip_end"], b["clip_end"]))
+    def both(a: folds.Row, b: folds.Row) -> folds.Row:
+        win = b if folds.less(a[2], b[2]) else a
+        return *win[:3], folds.least(a[3], b[3]), folds.greatest(a[4], b[4])
 
     return folds.merge_near(df, reach, both, ["t", "seq", "confidence", "clip_start", "clip_end"])
 
 
 def merge_surges(df: DataFrame, reach: float = SURGE_MERGE) -> DataFrame:
     """Surges closer than ``reach`` to the kept one extend it; it keeps its time and takes the larger amplitude."""
-    def both(a: Column, b: Column) -> Column:
-        return a.withField("duration", F.greatest(a["duration"], b["t"] + b["duration"] - a["t"])).withField("amplitude", F.greatest(a["amplitude"], b["amplitude"]))
+    def both(a: folds.Row, b: folds.Row) -> folds.Row:
+        through = None if b[2] is None else b[0] + b[2] - a[0]
+        return *a[:2], folds.greatest(a[2], through), folds.greatest(a[3], b[3])
 
     return folds.merge_near(df, reach, both, ["t", "seq", "duration", "amplitude"])
 
