@@ -42,7 +42,7 @@ def test_lookups_make_no_pairs(spark, name, dense, capsys):
 
 
 #: Queries whose rows are judged in order.
-FOLDED = ["cue_pairing", "two_pass_dedup", "greedy_match_detections", "greedy_match_truths", "precision_recall", "finished_reel", "clip_merge", "boundary_clips", "clip_stats", "reel_clips", "goal_dedup", "overlap_suppression"]
+FOLDED = ["cue_pairing", "two_pass_dedup", "greedy_match_detections", "greedy_match_truths", "precision_recall", "finished_reel", "clip_merge", "boundary_clips", "clip_stats", "reel_clips", "goal_dedup", "overlap_suppression", "surge_merge"]
 
 
 @pytest.mark.parametrize("name", FOLDED)
