@@ -42,7 +42,7 @@ def test_lookups_make_no_pairs(spark, name, dense, capsys):
 
 
 #: Queries whose rows are judged in order.
-FOLDED = ["cue_pairing", "two_pass_dedup", "greedy_match_detections", "greedy_match_truths", "precision_recall", "finished_reel", "clip_merge", "boundary_clips", "clip_stats", "reel_clips", "goal_dedup", "overlap_suppression", "surge_merge"]
+FOLDED = ["cue_pairing", "two_pass_dedup", "greedy_match_detections", "greedy_match_truths", "precision_recall", "finished_reel", "clip_merge", "boundary_clips", "clip_stats", "reel_clips", "goal_dedup", "overlap_suppression", "surge_merge", "goal_inference"]
 
 
 @pytest.mark.parametrize("name", FOLDED)
@@ -126,3 +126,14 @@ def test_suppression_equals_a_loop(spark, threshold):
             kept.append((a, b, i))
     df = spark.createDataFrame([("s", i, a, b, n) for n, a, i, b in rows], "stream_id string, seq bigint, start double, end double, n_events int")
     assert sorted(r["seq"] for r in folds.suppress_overlaps(df, threshold).collect()) == sorted(k[2] for k in kept)
+
+
+def test_the_rule_chain_makes_no_pairs(spark, capsys):
+    from tideline.plans import rules
+
+    df = spark.createDataFrame([("s", 0, 1.0, "goal", 0.5)], POINTS + ", event_type string, confidence double")
+    for found in (rules.nearest_gap(df, df, 0.0, 90.0, "gap"), rules.flagged(df, df, 0.0, 90.0, "hit")):
+        plan = plan_of(found, capsys)
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    plan = plan_of(rules.deduplicated(df, ["t", "seq", "event_type", "confidence"]), capsys)
+    assert plan.count("MapInArrow") >= 2 and "collect_list" not in plan
