@@ -354,3 +354,29 @@ def test_subtract_by_row():
 def test_quality_features_of_empty_texts():
     v = quality.Vectors({}, {}, np.zeros((1, quality.DIM), np.float32))
     assert quality.pooled([None, "", "a b"], v, quality.row_memo(v)).shape == (3, quality.FEATURES)
+
+
+def test_gradients_reach_the_driver_in_few_rows(spark):
+    """Sums of a matrix are many rows a value, and equal rows of a batch are all subtracted."""
+    width, most = 64, 9000
+    values = np.arange(most * width, dtype=np.float32).reshape(most, width) % 97 + 1
+
+    def parts(_):
+        yield maxent_lm.as_rows(values)
+
+    both = spark.range(2).repartition(2).mapInArrow(lambda batches: (b for batch in batches for b in parts(batch)), "row int, v binary")
+    got = maxent_lm.summed(both).collect()
+    assert len(got) <= 2 * both.sparkSession.sparkContext.defaultParallelism + most // maxent_lm.PACK + 1 < most
+    total = np.zeros((most, width))
+    for r in got:
+        total[np.frombuffer(r["row"], np.int32)] += np.frombuffer(r["v"], np.float32).reshape(-1, width)
+    assert (total % (2 * values) == 0).all() and (total >= 2 * values).all()
+    keys = maxent_lm.packed(spark.range(5), "id").collect()
+    assert sorted(np.frombuffer(b"".join(r["id"] for r in keys), np.int64)) == [0, 1, 2, 3, 4]
+
+    rng = np.random.default_rng(5)
+    rows, error = rng.choice([0, 1, 2, 3, *range(50)], 400).astype(np.uint32), rng.integers(-9, 9, (400, 8)).astype(np.float32)
+    out, want = np.zeros((64, 8), np.float32), np.zeros((64, 8), np.float32)
+    maxent_lm.subtract_by_row(out, rows, error)
+    np.subtract.at(want, rows, error)
+    assert (out == want).all()

@@ -42,8 +42,10 @@ START = SYMBOLS
 ANCHORS = 64
 ROUNDS = 8
 RATE, DAMP = 0.7, 2.0
-BATCH, BLOCK = 1 << 12, 1 << 11
+BATCH, BLOCK = 1 << 13, 1 << 11
 LONG_RUN = 16
+#: Rows of a matrix that travel to the driver as one.
+PACK = 1 << 12
 #: The end of a text, as a token.
 END_KEY = 0x1234567890ABCD << SHAPE_BITS
 #: Rows of hashed n-grams: one to so many training tokens, at least and at most.
@@ -188,19 +190,21 @@ def subtract_by_row(total: np.ndarray, rows: np.ndarray, error: np.ndarray) -> N
     """total[rows[i]] -= error[i], over runs of equal rows; long runs as products, short ones side by side."""
     # numbers of 16 bits sort fastest
     order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
-    at, x = rows[order], error.take(order, axis=0)
+    at = rows[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     n = np.diff(np.append(first, len(at)))
-    out = np.zeros((len(first), x.shape[1]), np.float32)
     ones = np.ones(int(n.max()), np.float32)
     for k in np.flatnonzero(n > LONG_RUN):
-        np.dot(ones[: n[k]], x[first[k] : first[k] + n[k]], out=out[k])
-    short, j = np.flatnonzero(n <= LONG_RUN), 0
-    while len(short):
-        out[short] += x.take(first[short] + j, axis=0)
-        j += 1
-        short = short[n[short] > j]
-    total[at[first]] -= out
+        total[at[first[k]]] -= ones[: n[k]] @ error.take(order[first[k] : first[k] + n[k]], axis=0)
+    # the rows of one turn differ, most runs are of one row, and nothing is copied but what is taken
+    now, left = first[n <= LONG_RUN], n[n <= LONG_RUN]
+    while len(now):
+        row = at[now]
+        held = total.take(row, axis=0)
+        held -= error.take(order[now], axis=0)
+        total[row] = held
+        more = left > 1
+        now, left = now[more] + 1, left[more] - 1
 
 
 def balanced_classes(vectors: np.ndarray, parts: int) -> np.ndarray:
@@ -223,19 +227,36 @@ def balanced_classes(vectors: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(split(np.arange(len(x)), parts))
 
 
+def packed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Columns of fixed width as bytes, a batch in one row: what goes to the driver is few large values, no rows to be unpacked."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [b"".join(c.to_pylist()) if pa.types.is_binary(c.type) else c.to_numpy().tobytes() for c in map(batch.column, columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in flat], list(columns))
+
+    return rows.select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns))
+
+
 def summed(rows: DataFrame) -> DataFrame:
-    """Adds up (row, v) by row on the executors; v holds float32 values, n counts its parts."""
+    """Adds up (row, v) by row on the executors; v holds float32 values.  Result: rows and values of many rows at once, as bytes."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, v in zip(batch.column("row").to_pylist(), batch.column("v").to_pylist()):
                 x = np.frombuffer(v, np.float32)
-                held[row] = held[row] + x if row in held else x.astype(np.float64)
+                if row in held:
+                    held[row] += x
+                else:
+                    held[row] = x.astype(np.float64)
         keys = [*held]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k].astype(np.float32).tobytes() for k in keys], pa.binary())], ["row", "v"])
+        for a in range(0, len(keys), PACK):
+            part = keys[a : a + PACK]
+            flat = [np.array(part, np.int32).tobytes(), np.array([held[k] for k in part]).astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in flat], ["row", "v"])
 
-    return rows.repartition("row").mapInArrow(add, "row int, v binary")
+    return rows.repartition("row").mapInArrow(add, "row binary, v binary")
 
 
 def as_rows(values: np.ndarray, shift: int = 0) -> pa.RecordBatch:
@@ -244,12 +265,10 @@ def as_rows(values: np.ndarray, shift: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at + shift, pa.int32()), pa.array([x.tobytes() for x in values[at].astype(np.float32)], pa.binary())], ["row", "v"])
 
 
-def _gather(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """Rows of a matrix whose size the model bounds, on the driver."""
-    values = np.zeros((size, width), np.float32)
+def _arrived(rows: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and values of a matrix whose size the model bounds, on the driver, up to PACK rows at a time."""
     for r in rows.collect():
-        values[r["row"]] = np.frombuffer(r["v"], np.float32)
-    return values
+        yield np.frombuffer(r["row"], np.int32), np.frombuffer(r["v"], np.float32).reshape(-1, width)
 
 
 def _texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,9 +331,11 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     scratch = Scratch(spark, "maxent")
     counts = scratch.table("counts", count_words(docs, text))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the known words come as one bounded, ordered list, most frequent first
-    top = [(r["key"], r["n"]) for r in counts.orderBy(F.desc("n"), "key").limit(KNOWN).collect()]
-    keys, n = (np.array([t[i] for t in top], np.int64) for i in (0, 1))
+    # the known words are bounded; executors pick them, and the driver puts them in order, most frequent first
+    top = packed(counts.orderBy(F.desc("n"), "key").limit(KNOWN), "key", "n").collect()
+    keys, n = (np.frombuffer(b"".join(r[c] for r in top), np.int64) for c in ("key", "n"))
+    at = np.lexsort((keys, -n))
+    keys, n = keys[at], n[at]
     rank = np.arange(len(keys))
     symbols = np.where(rank < FEATURES, rank, FEATURES + (keys & (SHAPES - 1)))
     order = np.argsort(keys)
@@ -352,7 +373,9 @@ def symbol_table(docs: DataFrame, vocabulary: Vocabulary, text: str, scratch: Sc
                 yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(packed, pa.binary())], ["round", "symbols"])
 
     dealt = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(ROUNDS)).cast("int")
-    return scratch.table("symbols", map_texts(docs, run, "round int, symbols binary", round=dealt, text=F.col(text)), "round")
+    out = scratch.table("symbols", map_texts(docs, run, "round int, symbols binary", round=dealt, text=F.col(text)), "round")
+    shared.destroy()
+    return out
 
 
 def blank_net(texts: DataFrame, weight: np.ndarray, tokens: int) -> Net:
@@ -368,8 +391,10 @@ def blank_net(texts: DataFrame, weight: np.ndarray, tokens: int) -> Net:
                 table += np.bincount(of[live] * (2 * ANCHORS) + by[live] + shift, minlength=len(table))
         yield as_rows(table.reshape(SYMBOLS, -1))
 
-    vectors = _gather(summed(texts.select("symbols").mapInArrow(beside, "row int, v binary")), SYMBOLS, 2 * ANCHORS)
-    order = balanced_classes(vectors.astype(np.float64), CLASSES)
+    vectors = np.zeros((SYMBOLS, 2 * ANCHORS))
+    for at, v in _arrived(summed(texts.select("symbols").mapInArrow(beside, "row int, v binary")), 2 * ANCHORS):
+        vectors[at] = v
+    order = balanced_classes(vectors, CLASSES)
     of_class, slot = np.empty(SYMBOLS, np.int64), np.empty(SYMBOLS, np.int64)
     of_class[order], slot[order] = np.divmod(np.arange(SYMBOLS), SLOTS)
     smooth = weight + 0.5
@@ -396,12 +421,15 @@ def train(spark: SparkSession, texts: list[DataFrame], net: Net) -> None:
             yield as_rows(sums)
             yield as_rows(inner, len(sums))
 
-        got = _gather(summed(part.select("symbols").mapInArrow(gradient, "row int, v binary")), len(squares), CLASSES)
-        squares += got * got
-        got *= RATE / (np.sqrt(squares) + DAMP)
-        net.weights = net.weights + got[: net.class_rows]
-        net.inner = net.inner + got[net.class_rows :]
-        shared.unpersist()
+        # a row that no task has a gradient of stays as it is
+        for at, got in _arrived(summed(part.select("symbols").mapInArrow(gradient, "row int, v binary")), CLASSES):
+            squares[at] += got * got
+            step = got * (RATE / (np.sqrt(squares[at]) + DAMP))
+            of_class = at < net.class_rows
+            net.weights[at[of_class]] += step[of_class]
+            net.inner[at[~of_class] - net.class_rows] += step[~of_class]
+        # the driver keeps its copy of what is only unpersisted
+        shared.destroy()
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
