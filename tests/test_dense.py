@@ -137,3 +137,10 @@ def test_the_rule_chain_makes_no_pairs(spark, capsys):
         assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
     plan = plan_of(rules.deduplicated(df, ["t", "seq", "event_type", "confidence"]), capsys)
     assert plan.count("MapInArrow") >= 2 and "collect_list" not in plan
+
+
+@pytest.mark.parametrize(("name", "answers"), [("focused_answers", 8), ("model_answers", 1), ("two_tiers", 2)])
+def test_answers_are_parsed_once(spark, name, answers, dense):
+    plan = registry.QUERIES[name](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("parseJson") <= answers
+    assert difference(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], dense) == ""

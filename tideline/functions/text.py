@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,16 +104,30 @@ def unfenced(text: Column) -> Column:
     return stripped(F.regexp_replace(stripped(t), r"^json", ""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is read.
+
+    A column that is named twice in a condition is worked out twice, and what is built of it four times; answers read
+    field by field would be parsed hundreds of times, in code too long to be compiled.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def json_object(text: Column) -> Column:
     """From the first brace to the last, where an answer has prose around its object; else the text."""
-    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(text.startswith("{"), text).when(found != "", found).otherwise(text)
+    pick = lambda t, found: F.when(t.startswith("{"), t).when(found != "", found).otherwise(t)
+    return once(text, lambda t: once(F.regexp_extract(t, r"(?s)(\{.*\})", 1), lambda found: pick(t, found)))
 
 
 def as_variant(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def parsed(answer: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the object of an answer, parsed once; null where there is none."""
+    return once(as_variant(json_object(unfenced(answer))), use)
+
+
 def field(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
@@ -123,44 +138,55 @@ def verdict_of(text: Column, least: float = 0.6) -> Column:
     Without an object, or with an unknown event, the row passes through as uncertain with no type; "none" and
     "neither" reject it; a known event is confirmed from ``least`` on.  The older form says is_correct.
     """
-    v = as_variant(json_object(unfenced(text)))
-    event, correct = field(v, "event", "string"), field(v, "is_correct", "boolean")
-    conf = F.coalesce(field(v, "confidence", "double"), F.lit(0.5))
     known = [t[0] for t in schema.EVENT_TYPES]
-    actual = field(v, "actual_event", "string")
-    result = (
-        F.when(event.isin("none", "neither"), "rejected").when(event.isin(known) & (conf >= least), "confirmed").when(event.isNotNull(), "uncertain")
-        .when(correct & (conf >= least), "confirmed").when(correct.isNotNull(), "rejected").otherwise("uncertain")
-    )
-    kind = F.when(event.isin(known), event).when(event.isNull() & correct.isNotNull() & actual.isin(known), actual)
-    said = (event.isNotNull() & (event.isin("none", "neither") | event.isin(known))) | (event.isNull() & correct.isNotNull())
-    return F.struct(result.alias("result"), kind.alias("event_type"), F.when(said, conf).otherwise(0.5).alias("confidence"), F.coalesce(field(v, "reasoning", "string"), F.lit("")).alias("reasoning"))
+
+    def read(v: Column) -> Column:
+        return F.struct(
+            field(v, "event", "string").alias("event"), field(v, "is_correct", "boolean").alias("correct"), F.coalesce(field(v, "confidence", "double"), F.lit(0.5)).alias("conf"),
+            field(v, "actual_event", "string").alias("actual"), F.coalesce(field(v, "reasoning", "string"), F.lit("")).alias("why"),
+        )
+
+    def judge(r: Column) -> Column:
+        event, correct, conf, actual = r["event"], r["correct"], r["conf"], r["actual"]
+        result = (
+            F.when(event.isin("none", "neither"), "rejected").when(event.isin(known) & (conf >= least), "confirmed").when(event.isNotNull(), "uncertain")
+            .when(correct & (conf >= least), "confirmed").when(correct.isNotNull(), "rejected").otherwise("uncertain")
+        )
+        kind = F.when(event.isin(known), event).when(event.isNull() & correct.isNotNull() & actual.isin(known), actual)
+        said = (event.isNotNull() & (event.isin("none", "neither") | event.isin(known))) | (event.isNull() & correct.isNotNull())
+        return F.struct(result.alias("result"), kind.alias("event_type"), F.when(said, conf).otherwise(0.5).alias("confidence"), r["why"].alias("reasoning"))
+
+    return parsed(text, lambda v: once(read(v), judge))
 
 
 def refinement_of(text: Column) -> Column:
     """(confirmed, confidence): the object, else the words "confirmed": true or false, else confirmed at 0.5."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    v = F.coalesce(F.when(t.startswith("{"), as_variant(t)), F.when(inner != "", as_variant(inner)))
-    low = F.lower(t)
-    yes, no = low.rlike(r'"confirmed": ?true'), low.rlike(r'"confirmed": ?false')
-    ok = F.when(v.isNotNull(), F.coalesce(field(v, "confirmed", "boolean"), F.lit(False))).when(yes, True).when(no, False).otherwise(True)
-    conf = F.when(v.isNotNull(), F.coalesce(field(v, "confidence", "double"), F.lit(0.0))).when(yes | no, 0.7).otherwise(0.5)
-    return F.struct(ok.alias("confirmed"), conf.alias("confidence"))
+    def read(t: Column) -> Column:
+        inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+        return once(F.coalesce(F.when(t.startswith("{"), as_variant(t)), F.when(inner != "", as_variant(inner))), lambda v: judge(v, F.lower(t)))
+
+    def judge(v: Column, low: Column) -> Column:
+        yes, no = low.rlike(r'"confirmed": ?true'), low.rlike(r'"confirmed": ?false')
+        ok = F.when(v.isNotNull(), F.coalesce(field(v, "confirmed", "boolean"), F.lit(False))).when(yes, True).when(no, False).otherwise(True)
+        conf = F.when(v.isNotNull(), F.coalesce(field(v, "confidence", "double"), F.lit(0.0))).when(yes | no, 0.7).otherwise(0.5)
+        return F.struct(ok.alias("confirmed"), conf.alias("confidence"))
+
+    return once(F.trim(F.coalesce(text, F.lit(""))), read)
 
 
 def triage_of(text: Column) -> Column:
     """(label, zone): known values of the object; else the first label named in the text; else PLAY, middle."""
-    t = unfenced(text)
-    v = as_variant(t)
-    label, zone = F.upper(field(v, "label", "string")), field(v, "ball_zone", "string")
-    named = F.lit("PLAY")
-    for k in reversed(TRIAGE_LABELS):
-        named = F.when(F.upper(t).contains(k), k).otherwise(named)
-    return F.struct(
-        F.when(v.isNull(), named).when(label.isin(TRIAGE_LABELS), label).otherwise("PLAY").alias("label"),
-        F.when(v.isNotNull() & zone.isin(BALL_ZONES), zone).otherwise("middle").alias("zone"),
-    )
+    def judge(t: Column, v: Column) -> Column:
+        label, zone = F.upper(field(v, "label", "string")), field(v, "ball_zone", "string")
+        named = F.lit("PLAY")
+        for k in reversed(TRIAGE_LABELS):
+            named = F.when(F.upper(t).contains(k), k).otherwise(named)
+        return F.struct(
+            F.when(v.isNull(), named).when(label.isin(TRIAGE_LABELS), label).otherwise("PLAY").alias("label"),
+            F.when(v.isNotNull() & zone.isin(BALL_ZONES), zone).otherwise("middle").alias("zone"),
+        )
+
+    return once(unfenced(text), lambda t: once(as_variant(t), lambda v: judge(t, v)))
 
 
 ITEM = "event_type string, start_sec double, end_sec double, confidence double, reasoning string, outcome string"
@@ -172,8 +198,8 @@ def window_events(df: DataFrame, text: str = "response", least: float = 0.65) ->
     An answer is a list or one object.  Unknown types, confidences under ``least`` and empty spans go; spans are
     cut to the video.  A shot whose outcome is a goal gives a goal as well, of 15 s at least.
     """
-    t = unfenced(F.col(text))
-    items = F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), f"array<struct<{ITEM.replace(' string', ':string').replace(' double', ':double')}>>")
+    listed = once(unfenced(F.col(text)), lambda t: F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))))
+    items = F.from_json(listed, f"array<struct<{ITEM.replace(' string', ':string').replace(' double', ':double')}>>")
     e = df.withColumn("i", F.explode(items)).where(F.col("i").isNotNull())
     start0 = F.coalesce("i.start_sec", "window_start")
     e = e.withColumn("start", F.greatest(F.lit(0.0), start0)).withColumn("end", F.least("duration", F.coalesce("i.end_sec", start0 + 5))).withColumn("confidence", F.coalesce("i.confidence", F.lit(0.7)))
