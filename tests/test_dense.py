@@ -144,3 +144,14 @@ def test_answers_are_parsed_once(spark, name, answers, dense):
     plan = registry.QUERIES[name](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("parseJson") <= answers
     assert difference(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], dense) == ""
+
+
+def test_what_escalates_is_worked_out_once(spark, dense, monkeypatch):
+    """The second tier reads written rows: neither its questions nor its verdicts go through the ranks of the first again."""
+    from tideline.plans import scoring
+
+    plans = []
+    kept = scoring.verdicts
+    monkeypatch.setattr(scoring, "verdicts", lambda rows, *more: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or kept(rows, *more))
+    registry.QUERIES["two_tiers"](spark, dense)
+    assert len(plans) == 2 and "Join" not in plans[1]

@@ -90,10 +90,11 @@ def asking(rows: DataFrame, scorer: Scorer, inputs: Sequence[str]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[tuple[str, dict[str, Any]]]:
             for batch in batches:
-                # row by row, so that a batch of large cells is never copied whole
-                for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                    yield row.pop("ask"), row
+                # a few rows at a time, so that a batch of large cells is never copied whole
+                step = max(1, min(scorer.batch_rows, batch.num_rows * scorer.batch_bytes // max(1, batch.nbytes)))
+                for i in range(0, batch.num_rows, step):
+                    for row in batch.slice(i, step).to_pylist():
+                        yield row.pop("ask"), row
 
         for batch in batched(flat(), scorer.batch_rows, scorer.batch_bytes):
             done = list(zip(*_ask(scorer, batch)))
@@ -158,7 +159,8 @@ def two_tiers(
     if expected is not None:
         odd = routing.label_anomalies(first.where(F.col("event_type").isNotNull()), expected).where("anomalous").select("stream_id").distinct()
         escalated = escalated.union(first.join(odd, "stream_id", "left_semi").select("stream_id", "seq")).distinct()
-    asked = rows.join(escalated, ["stream_id", "seq"], "left_semi")
+    # read twice, by the questions and by what their answers go to
+    asked = staged(rows.join(escalated, ["stream_id", "seq"], "left_semi"), "asked")
     fields = ["result", "event_type", "confidence", "reasoning", "tier"]
     second = verdicts(asked, two, inputs, store, "tier2", least).where("answered")
     last = second.groupBy("stream_id", "t").agg(F.max_by(F.struct(*fields), "seq").alias("two"))
