@@ -52,6 +52,29 @@ def test_folds_hold_no_group(spark, name, dense, capsys):
     assert difference(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], dense) == ""
 
 
+def test_both_passes_go_past_rows_once(spark, dense, capsys):
+    """Neither is the first pass worked out again for the second, nor are its rows dealt again."""
+    plan = plan_of(registry.QUERIES["two_pass_dedup"](spark, dense), capsys)
+    assert plan.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.5, 3.0, 7.5, 2000.0])
+def test_sessions_equal_a_loop(spark, gap, capsys):
+    rng = random.Random(5)
+    times = [None, -3.0, *(rng.randrange(0, 2400) / rng.choice([2, 3, 10]) for _ in range(400))]
+    rows = [(rng.choice(["a", "b", None]), i, t) for i, t in enumerate(times)]
+    want = {}
+    for stream in ("a", "b", None):
+        last, n = None, 0
+        for t, i in sorted(((t, i) for s, i, t in rows if s == stream), key=lambda r: (r[0] is not None, r)):
+            n += last is not None and t - last > gap
+            want[i], last = n, t
+    df = tm.sessions(spark.createDataFrame(rows, POINTS), gap)
+    assert {r["seq"]: r["session"] for r in df.collect()} == want
+    # what is looked at in order is bins, found before rows are shuffled
+    assert not gap or "partial_min(t" in plan_of(df, capsys)
+
+
 @pytest.mark.parametrize("pick", ["next", "last", "nearest"])
 @pytest.mark.parametrize(("lo", "hi", "lo_open", "hi_open"), [(-5.0, 5.0, True, True), (-5.0, 5.0, False, False), (20.0, 90.0, False, True), (-30.0, -3.0, True, False), (0.0, 2000.0, False, False)])
 def test_lookups_equal_a_loop(spark, pick, lo, hi, lo_open, hi_open):

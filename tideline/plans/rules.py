@@ -301,8 +301,8 @@ def looked_up(column: Column, mapping: dict[str, object], default: object = None
 
 def deduplicated(events: DataFrame, fields: list[str]) -> DataFrame:
     """Two passes against the last kept row, each within 15 s: equal types by confidence, related types by priority."""
-    one = folds.dedup_last(events, DEDUP_NEAR, F.col("event_type"), F.col("confidence"), fields)
-    return folds.dedup_last(one, DEDUP_NEAR, looked_up(F.col("event_type"), RELATED), looked_up(F.col("event_type"), PRIORITY, 0), fields)
+    kind = F.col("event_type")
+    return folds.dedup_passes(events, DEDUP_NEAR, ((kind, F.col("confidence")), (looked_up(kind, RELATED), looked_up(kind, PRIORITY, 0))), fields)
 
 
 def run_rules(verdicts: DataFrame, candidates: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
