@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,21 @@ def test_chain_on_a_sparse_stream(spark):
     assert {"kickoff", "set_piece", "corner", "goal_kick"} & {w[3] for w in want.values()}
 
 
+def test_several_answers_to_one_probe(spark):
+    """Rows stay one each where an answer is recorded several times; the most confident one holds."""
+    tables = [f(spark, SMALL).where("seq % 17 = 3 OR seq % 29 = 5") for f in (queries.verdicts, queries.candidates, queries.answers)]
+    v, c, a = (spark.createDataFrame(t.collect(), t.schema) for t in tables)
+    kinds = {"kickoff": "kickoff", "set_piece": "goal_kick", "shot": "shot_on_target", "catch": "catch", "goal": "goal"}
+    probes = v.select("stream_id", F.explode(F.array(*(F.col("t") + o for o in (0.0, 20.0, 30.0, 35.0, 50.0)))).alias("t")).distinct()
+    told = [probes.select("stream_id", F.lit(p).alias("phase"), "t", F.lit("confirmed").alias("result"), F.lit(k).alias("event_type"), F.lit(0.8).alias("confidence"), F.lit(p).alias("reasoning")) for p, k in kinds.items()]
+    once = reduce(lambda x, y: x.unionByName(y), told)
+    less = once.withColumn("confidence", F.lit(0.75)).withColumn("reasoning", F.lit("another"))
+    rows = lambda answers: sorted(tuple(r) for r in rules.run_rules(v, c, answers).collect())
+    want = rows(once)
+    assert len({r[:2] for r in want}) == len(want) and any("set_piece" in r[-1] for r in want)
+    assert rows(once.unionByName(once).unionByName(less)) == want
+
+
 def test_final_events(spark):
     rows = [("a", 1, 10.0, "confirmed", "catch", 0.9, "x"), ("a", 2, 14.0, "confirmed", "shot_on_target", 0.8, "y"), ("a", 3, 60.0, "rejected", "goal", 0.9, "z"), ("a", 4, 90.0, "uncertain", None, 0.9, ""),
             ("a", 5, 91.0, "confirmed", "corner_kick", 0.4, ""), ("a", 6, 120.0, "confirmed", None, 0.7, ""), ("b", 7, 5.0, "confirmed", "goal", 0.6, "")]

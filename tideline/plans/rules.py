@@ -135,11 +135,15 @@ def at_clock(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def answered(probes: DataFrame, answers: DataFrame, phase: str, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Probes (stream_id, t, ...) with the confirmed answers of their phase: said_type, said_confidence, said."""
+    """Probes (stream_id, t, ...) with the confirmed answer of their phase, if there is one: said_type, said_confidence, said.
+
+    Of several answers at one time the most confident holds, so a probe is never more than one row.
+    """
     own = answers.where((F.col("phase") == phase) & (F.col("result") == "confirmed") & F.col("event_type").isNotNull())
     if kinds:
         own = own.where(F.col("event_type").isin(*kinds))
-    own = at_clock(own).select("stream_id", "at", F.col("event_type").alias("said_type"), F.col("confidence").alias("said_confidence"), F.coalesce("reasoning", F.lit("")).alias("said"))
+    best = F.max(F.struct(F.col("confidence").alias("said_confidence"), F.col("event_type").alias("said_type"), F.coalesce("reasoning", F.lit("")).alias("said")))
+    own = at_clock(own).groupBy("stream_id", "at").agg(best.alias("a")).select("stream_id", "at", "a.said_type", "a.said_confidence", "a.said")
     return at_clock(probes).join(own, ["stream_id", "at"]).drop("at")
 
 
